@@ -3,8 +3,8 @@
 Terms are words and word beginnings of 4 to 6 letters (for endings vary). From a bounded sample of labelled rows
 (MAX_EXAMPLES) come the terms whose presence depends on the label (chi-square) and the examples; inverse document
 frequencies of these terms are counted over all documents. The index keeps, for each term, its examples by block of 64
-with the largest weight in each block; a query visits blocks in falling order of their upper bound and ends where that
-is not above the k-th best similarity, so the k nearest are exact. Votes weigh by distance, shrink to the rate among
+with the largest weight in each block; a query first scores the blocks of the highest upper bounds, then those whose
+bound still reaches the k-th best similarity found, and no others, so the k nearest are exact. Votes weigh by distance, shrink to the rate among
 texts without any such term, and are calibrated on the examples, each without itself. The nearest are the evidence.
 """
 
@@ -57,29 +57,37 @@ class BlockMaxIndex:
         self.example, self.weight, term = example[order], weight[order], term[order]
         self.bound = np.zeros((n_terms, self.blocks))
         np.maximum.at(self.bound, (term, self.example // BLOCK), self.weight)
-        cell = term * self.blocks + self.example // BLOCK
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
+        self.start = np.searchsorted(term, np.arange(n_terms + 1))
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Exact similarities of the examples in the marked blocks, 0 elsewhere."""
+        spans = [np.arange(self.start[t], self.start[t + 1]) for t in terms]
+        at = np.concatenate(spans)
+        share = np.repeat(weights, [len(s) for s in spans])
+        keep = blocks[self.example[at] // BLOCK]
+        at, share = at[keep], share[keep]
+        return np.bincount(self.example[at], share * self.weight[at], minlength=self.n)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places of the nearest examples of positive similarity, nearest first (ties: the earlier one), and the similarities."""
         bound = weights @ self.bound[terms]
-        best_s, best_i = np.empty(0), np.empty(0, int)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best_s) == k and bound[b] < best_s[-1] - 1e-12):
-                break
-            acc = np.zeros(BLOCK)
-            for t, q in zip(terms, weights, strict=True):
-                cell = t * self.blocks + b
-                lo, hi = self.start[cell], self.start[cell + 1]
-                if hi > lo:
-                    acc[self.example[lo:hi] - b * BLOCK] += q * self.weight[lo:hi]
-            if 0 <= without - b * BLOCK < BLOCK:
-                acc[without - b * BLOCK] = 0
-            hit = np.flatnonzero(acc > 0)
-            s, i = np.concatenate([best_s, acc[hit]]), np.concatenate([best_i, hit + b * BLOCK])
-            top = np.lexsort((i, -np.round(s, 12)))[:k]
-            best_s, best_i = s[top], i[top]
-        return best_i, best_s
+        order = np.argsort(-bound, kind="stable")
+        first = order[: max(4, 2 * k // BLOCK + 1)]
+        done = np.zeros(self.blocks, bool)
+        done[first] = True
+        scores = self._scores(terms, weights, done)
+        if without >= 0:
+            scores[without] = 0
+        positive = scores[scores > 0]
+        least = np.partition(positive, -k)[-k] if len(positive) >= k else 0.0
+        more = (bound > 0) & (bound >= least - 1e-12) & ~done
+        if more.any():  # only blocks that can hold one of the k nearest
+            scores += self._scores(terms, weights, more)
+            if without >= 0:
+                scores[without] = 0
+        hit = np.flatnonzero(scores > 0)
+        top = hit[np.lexsort((hit, -np.round(scores[hit], 12)))[:k]]
+        return top, scores[top]
 
 
 @dataclasses.dataclass
@@ -95,6 +103,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self._seen: dict = {}
+        self._heads = {t[: _BEGINNINGS[0]] for t in self.vocabulary}  # most words share their first letters with no term
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_seen": {}}
@@ -105,8 +114,10 @@ class Model:
     def known_terms(self, text: str) -> dict[int, int]:
         """terms_of, only those of the vocabulary."""
         found: dict[int, int] = {}
-        vocabulary = self.vocabulary
+        vocabulary, heads = self.vocabulary, self._heads
         for word, n in Counter(_WORD.findall(text.lower())).items():
+            if word[: _BEGINNINGS[0]] not in heads:
+                continue
             if word in vocabulary:
                 found[vocabulary[word]] = n
             for k in _BEGINNINGS:
@@ -162,7 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MO
                 ["doc_id", "label", "terms", "counts"],
             )
 
-    chosen = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")  # sample: at most max_examples rows
+    chosen = texts.join(F.broadcast(sample), "doc_id")  # sample: at most max_examples rows
+    # One example for each text, or copies would make any of its words look like a sign of its label.
+    once = chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("label").alias("label"), F.max("label").alias("most"))
+    chosen = once.where(F.col("label") == F.col("most")).select("doc_id", "text", "label")
     rows = runtime.stored(chosen.mapInArrow(count, "doc_id long, label int, terms array<string>, counts array<int>"), "toxicity-sample")
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     by_term = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("a"))
