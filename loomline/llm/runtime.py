@@ -23,7 +23,7 @@ _written: list[tuple[SparkSession, str]] = []
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of long texts fits in a Python worker."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,12 +88,10 @@ def join_by_frequency(left: DataFrame, right: DataFrame, key: str, weight: str,
     cut = max(1000, total // HEAVY_SHARE)
     heavy = right.where(F.col(weight) > cut)
     light = right.where(F.col(weight) <= cut)
-    heavy_keys = [r[0] for r in heavy.select(key).limit(HEAVY_SHARE).collect()]
-    if not heavy_keys:
+    if not heavy.take(1):
         return left.join(right, key, how)
-    is_heavy = F.col(key).isin(heavy_keys)
-    hot = left.where(is_heavy).join(F.broadcast(heavy), key, "inner")
-    rest = left.where(~is_heavy | F.col(key).isNull()).join(light, key, how)
+    hot = left.join(F.broadcast(heavy), key, "inner")
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
     return hot.unionByName(rest)
 
 
