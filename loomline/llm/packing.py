@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import runtime
-from .tokenizer import PieceEncoder
+from .tokenizer import encoder_of
 
 CAPACITY = 2048
 END_ID = 0
@@ -225,7 +225,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, joine
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, local_rank long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer, joined)
+        encoder = encoder_of(tokenizer, joined)
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
