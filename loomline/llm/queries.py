@@ -75,7 +75,7 @@ WITH RECURSIVE w AS (
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN []
                       WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-                      ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i : i + 4], ' '))) END AS sh
+                      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS sh
   FROM w
 ), e AS (
   SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s
