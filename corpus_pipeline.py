@@ -1,15 +1,59 @@
-"""From raw documents to packed training sequences: each stage works on all that the one before kept."""
+"""From raw documents to packed training sequences: each stage works on all that the one before kept.
+
+Toxic documents go, then those of low quality, then all but one of each group of near copies, then those that hold a
+passage of the benchmark; what stays is packed. The classifiers learn from the labelled documents that reach them.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import quality, packing, runtime, toxicity
+from loomline.llm import decontam, neardup, packing, quality, runtime, toxicity
+
+#: Documents of a lower quality score go.
+LEAST_QUALITY = 0.5
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality.fit(docs, _labels(spark, sf_dir)), LEAST_QUALITY)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_good),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_benchmark),
+    ("pack", pack),
+]
 
-STAGES: list = []
+#: The classifiers and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over documents, each result written as Parquet in the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = runtime.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
