@@ -28,7 +28,11 @@ def best_widths(ids: np.ndarray) -> list[int]:
     if not len(ids):
         return [8]
     top = max(1, int(ids.max()).bit_length())
-    longer = [len(ids)] + [int(np.count_nonzero(ids >> np.uint32(s))) for s in range(1, top)]  # ids with more than s bits
+    if top <= 20:  # ids with more than s bits, from how often each id occurs
+        counts = np.bincount(ids)
+        longer = [int(counts[1 << s :].sum()) if s else len(ids) for s in range(top)]
+    else:
+        longer = [len(ids)] + [int(np.count_nonzero(ids >> np.uint32(s))) for s in range(1, top)]
     cost, step = [0.0] * (top + 1), [0] * (top + 1)
     for s in range(top - 1, -1, -1):
         cost[s], step[s] = min((longer[s] * (e - s + (e < top)) + cost[e], e) for e in range(s + 1, top + 1))
@@ -40,22 +44,24 @@ def best_widths(ids: np.ndarray) -> list[int]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
+    kind = np.dtype("<u1" if width <= 8 else "<u2" if width <= 16 else "<u4")
     out = []
-    shifts = np.arange(width, dtype=np.uint32)
     for i in range(0, len(values), 1 << 19):  # whole bytes, for the number is a multiple of 8
-        bits = ((values[i : i + (1 << 19), None] >> shifts) & np.uint32(1)).astype(np.uint8)
+        part = values[i : i + (1 << 19)].astype(kind)
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, kind.itemsize), axis=1, count=width, bitorder="little")
         out.append(np.packbits(bits.reshape(-1), bitorder="little").tobytes())
     return b"".join(out)
 
 
 def _unpack(data: memoryview, count: int, width: int) -> np.ndarray:
-    out = np.zeros(count, np.uint32)
+    kind = np.dtype("<u1" if width <= 8 else "<u2" if width <= 16 else "<u4")
+    out = np.empty(count, np.uint32)
     for i in range(0, count, 1 << 19):
         n = min(1 << 19, count - i)
         raw = np.frombuffer(data, np.uint8, (n * width + 7) // 8, i * width // 8)
-        bits = np.unpackbits(raw, count=n * width, bitorder="little").reshape(n, width)
-        for j in range(width):
-            out[i : i + n] |= bits[:, j].astype(np.uint32) << np.uint32(j)
+        bits = np.zeros((n, 8 * kind.itemsize), np.uint8)
+        bits[:, :width] = np.unpackbits(raw, count=n * width, bitorder="little").reshape(n, width)
+        out[i : i + n] = np.packbits(bits.reshape(-1), bitorder="little").view(kind)
     return out
 
 

@@ -10,9 +10,17 @@ import re
 
 import numpy as np
 
-_KEEP = 400_000
+_KEEP = 700_000
 _LONG = 64
 _TWO_SPACES = re.compile(r"\s\s")
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def encoder_of(path: str, joined: bool) -> PieceEncoder:
+    """The process's encoder: a Python worker serves many tasks, which share the tokenizer and what it has kept."""
+    if (path, joined) not in _encoders:
+        _encoders[path, joined] = PieceEncoder(path, joined)
+    return _encoders[path, joined]
 
 
 class PieceEncoder:
@@ -58,6 +66,10 @@ class PieceEncoder:
         lead = " " if self._joined else ""
         odd = [p for p in missing if not p or len(p) > _LONG or "~" in p]
         extra = dict(zip(odd, self._encode([lead + p for p in odd]), strict=True))
+        if self._joined:  # a text with white space beside such a space is encoded as a whole
+            loose = {p for p in missing if not p or p[0].isspace() or p[-1].isspace() or _TWO_SPACES.search(p)}
+            missing = missing.difference(loose)
+            extra = {p: ids for p, ids in extra.items() if p not in loose}
         new = list(missing.difference(extra))
         for i in range(0, len(new), 512):
             part = new[i : i + 512]
@@ -66,36 +78,29 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        whole: list[str] = []
+        split = [text.split(" ") for text in texts]
         missing: set[str] = set()
-        for text in texts:
-            if self._joined and _TWO_SPACES.search(text):
-                split.append(None)
-                whole.append(text)
-                continue
-            pieces = text.split(" ")
-            if self._joined:  # the first piece has no space before it
-                whole.append(pieces[0])
-                pieces = pieces[1:]
-            split.append(pieces)
+        for pieces in split:
             missing.update(pieces)
-        missing = missing.difference(self._known)
         if len(self._known) > _KEEP:  # two generations: what is still used comes back from the older one
-            missing = {p for pieces in split if pieces for p in pieces}
             self._known, self._older = {}, self._known
+        missing = missing.difference(self._known)
         back = {p: self._older[p] for p in missing if p in self._older}
         self._known.update(back)
         extra = self._learn(missing.difference(back))
-        firsts = iter(self._encode(whole))
-        out = []
-        for pieces in split:
-            if pieces is None:
-                out.append(next(firsts))
-                continue
-            first = next(firsts) if self._joined else b""
-            if not extra:
-                out.append(first + b"".join(map(self._known.__getitem__, pieces)))
-            else:
-                out.append(first + b"".join([self._known[p] if p in self._known else extra[p] for p in pieces]))
+        known = self._known
+        lookup = {**{p: known[p] for pieces in split for p in pieces if p in known}, **extra}.__getitem__ if extra else known.__getitem__
+        # The first piece has no space before it: with byte-level BPE it is another one.
+        firsts = self._encode([pieces[0] for pieces in split]) if self._joined else [b""] * len(texts)
+        out, whole = [], []
+        for k, (first, pieces) in enumerate(zip(firsts, split, strict=True)):
+            try:
+                if self._joined and (pieces[0][-1:].isspace() or _TWO_SPACES.search(pieces[0])):
+                    raise KeyError
+                out.append(first + b"".join(map(lookup, pieces[1:] if self._joined else pieces)))
+            except KeyError:
+                out.append(b"")
+                whole.append(k)
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
+            out[k] = ids
         return out
