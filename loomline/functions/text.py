@@ -155,7 +155,7 @@ _PAGE_MARK = re.compile(r"-?\s*\d+\s*-?")
 
 def normalized(text: str | None) -> str:
     """Entities resolved, odd spaces and zero-width signs gone, lines trimmed, at most one blank line in a row."""
-    text = html.unescape(text or "").replace("\x00", " ").replace(" ", " ")
+    text = html.unescape(text or "").replace("\x00", " ").replace("\u00a0", " ")
     text = _ZERO_WIDTH.sub("", text).replace("\r\n", "\n").replace("\r", "\n")
     lines = [re.sub(r"[ \t\f\v]+", " ", line).strip(" ") for line in text.split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
