@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
-from .words import WordHashes, mix, shingle_set, words_of
+from .words import WordHashes, mix, shingle_hashes, words_of
 
 BINS, BITS = 512, 4
 _ATTEMPTS = 64
@@ -27,14 +27,22 @@ class Fingerprinter:
     def __init__(self, bins: int = BINS, bits: int = BITS) -> None:
         self.bins, self.bits = bins, bits
         self._hashes = WordHashes()
+        self._drawn: dict[int, np.ndarray] = {}
 
     def _draws(self, first: int) -> np.ndarray:
-        """For attempts from first on and every bin: the bin to take from."""
+        """For attempts from first on and every bin: the bin to take from. The first ones, which most texts need, are kept."""
+        if first not in self._drawn:
+            if first >= 64 * _ATTEMPTS:
+                return self._draw(first)
+            self._drawn[first] = self._draw(first)
+        return self._drawn[first]
+
+    def _draw(self, first: int) -> np.ndarray:
         attempt = np.arange(first, first + _ATTEMPTS, dtype=np.uint64)[:, None]
         return (mix(attempt * np.uint64(0x9E3779B97F4A7C15) + np.arange(self.bins, dtype=np.uint64)) % np.uint64(self.bins)).astype(np.int64)
 
     def values(self, shingles: np.ndarray) -> np.ndarray:
-        """Each bin's low-order bits; no shingle: no value."""
+        """Each bin's low-order bits, from shingle hashes that may repeat; no shingle: no value."""
         if not len(shingles):
             return np.empty(0, np.uint8)
         at = (shingles % np.uint64(self.bins)).astype(np.int64)
@@ -57,8 +65,20 @@ class Fingerprinter:
             first += _ATTEMPTS
         return (mix(least) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
 
+    def words(self, text: str) -> np.ndarray:
+        """Hashes of the text's words, in order."""
+        return self._hashes.of(words_of(text))
+
     def of_text(self, text: str) -> np.ndarray:
-        return self.values(shingle_set(words_of(text), self._hashes))
+        return self.values(shingle_hashes(self.words(text)))
+
+    def edited_words(self, text: str, words: np.ndarray, following: str) -> np.ndarray:
+        """words of edited(text, following); only those after the last white space before the cut are hashed."""
+        k = len(text) // 4
+        cut = len(text) - k
+        space = max(text.rfind(c, 0, cut) for c in " \t\n\v\f\r") + 1
+        kept = len(words) - len(words_of(text[space:]))
+        return np.concatenate([words[:kept], self.words(text[space:cut] + following[:k])])
 
     def packed(self, values: np.ndarray) -> str:
         """Hexadecimal; a text without words has the empty fingerprint."""
@@ -111,12 +131,12 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         printer = Fingerprinter(bins, bits)
-        held: tuple[int | None, str, np.ndarray] | None = None
+        held: tuple[int | None, str, np.ndarray, np.ndarray] | None = None
         closed = False
 
-        def row(name: int | None, text: str, values: np.ndarray, following: str, next_values: np.ndarray) -> tuple:
+        def row(name: int | None, text: str, words: np.ndarray, values: np.ndarray, following: str, next_values: np.ndarray) -> tuple:
             new = edited(text, following)
-            new_values = values if new == text else printer.of_text(new)
+            new_values = values if new == text else printer.values(shingle_hashes(printer.edited_words(text, words, following)))
             return (name, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), printer.packed(values), printer.packed(new_values), printer.likeness(values, new_values), printer.likeness(values, next_values))
 
         for batch in batches:
@@ -124,10 +144,11 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFra
             for name, text, guest in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 if guest and closed:
                     continue  # a later row that might have followed
-                values = printer.of_text(text)
+                words = printer.words(text)
+                values = printer.values(shingle_hashes(words))
                 if held is not None:
                     out.append(row(*held, text, values))
-                held = (name, text, values)
+                held = (name, text, words, values)
                 if guest:
                     closed, held = True, None
             if out:

@@ -36,14 +36,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles. Fewer words: the whole sequence as one shingle. None: empty."""
-    n = len(words)
+def shingle_hashes(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the word shingles, in order, from the words' hashes. Fewer words: the whole sequence as one shingle. None: empty."""
+    n = len(h)
     if n == 0:
         return np.empty(0, np.uint64)
-    h = hashes.of(words)
     m = max(1, n - width + 1)
     out = np.full(m, min(n, width), np.uint64)
     for j in range(min(n, width)):
-        out = mix(out * _MULTIPLIER + h[j : j + m])
-    return np.unique(out)
+        out = out * _MULTIPLIER + h[j : j + m]
+    return mix(out)
+
+
+def shingle_set(words: list[bytes], hashes: WordHashes, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(shingle_hashes(hashes.of(words), width))
