@@ -37,7 +37,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     A line's number needs its file read as a whole: each file is one row, taken apart in the executors.
     """
-    files = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_name").alias("original_file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("original_file"))
     lines = files.select("original_file", F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).where(F.trim("line") != "")
     return lines.select("original_file", (F.col("i") + 1).cast("long").alias("record_position"), F.from_json("line", schema).alias("r")).select("original_file", "record_position", "r.*")
 
@@ -83,7 +83,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def markdown_sections(spark: SparkSession, path: str) -> DataFrame:
     """Each paragraph line of a Markdown file with the headings of levels 2 to 4 above it."""
-    files = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("i", "line"))
     level = F.length(F.regexp_extract("line", r"^(#{2,4})\s", 1))
     own = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
