@@ -5,7 +5,7 @@ POSTED coordinates as (coordinate, value). Two sets of the wanted similarity agr
 chance of MISS; so they share one of the POSTED - t + 1 rarest of either (prefix), and a class with fewer than t values
 that occur elsewhere has no partner. Only those prefix lists are merged; the other coordinates, frequent values above
 all, are skipped and counted by lookup in the signatures, of which COORDINATES must give at least t' matches. Pairs
-that pass are confirmed on the full sets.
+that pass are confirmed on the full sets. Before that, what a candidate has alone bounds its intersections.
 
 A long list is a group of near copies, whose pairs would grow with its square. There, members are first compared with
 one pivot of the list; those that turn out connected need no further comparison, and what remains are pairs between
@@ -31,6 +31,10 @@ COORDINATES, POSTED = 128, 64
 MISS = 1e-6
 #: Lists longer than this go through pivots first; rounds of these; members of a list in one block.
 LONG_LIST, PIVOT_ROUNDS, BLOCK = 64, 2, 256
+#: Rows with signatures that are broadcast at most.
+WIDE_ROWS = 10_000
+#: Rows with signatures, and with full sets, in one file.
+WIDE_FILE, SET_FILE = 50_000, 5_000
 _NO_ID = -(2**63)
 
 
@@ -91,7 +95,7 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
-    """c and the full set, 8 bytes a shingle, of the candidate classes: only the documents that stand for one are read again."""
+    """c and the full set of the candidate classes: only the documents that stand for one are read again."""
     n = candidates.count()
     stand = F.coalesce(F.col("label"), F.lit(_NO_ID)).alias("stand")
     rows = runtime.docs_of(docs).withColumn("stand", F.coalesce(F.col("doc_id"), F.lit(_NO_ID)))
@@ -101,10 +105,16 @@ def _full_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
         sketcher = _sketcher(width)
         for batch in batches:
             sets = [sketcher.shingles(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([sketcher.digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([sketcher.digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["digest", "shingles"])
 
-    sets = rows.select("text").mapInArrow(run, "digest binary, shingles binary")
-    return runtime.stored(runtime.join_bounded(sets, candidates.select("digest", "c"), ["digest"], "inner", n).select("c", "shingles").dropDuplicates(["c"]), "sets")
+    sets = rows.select("text").mapInArrow(run, "digest binary, shingles array<long>")
+    return runtime.stored(runtime.join_bounded(sets, candidates.select("digest", "c"), ["digest"], "inner", n).select("c", "shingles").dropDuplicates(["c"]), "sets", n, SET_FILE)
+
+
+def _alone(sets: DataFrame) -> DataFrame:
+    """c and how many of its shingles no other candidate has: these are in no intersection, which bounds any similarity."""
+    owners = sets.select("c", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"))
+    return owners.where("n = 1").groupBy("c").agg(F.count(F.lit(1)).alias("n_alone"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -117,7 +127,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = (v.values.to_numpy() for v in (x, y))
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -128,7 +138,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _block_pairs(lists: DataFrame, similarity: int, least_posted: int, least_all: int) -> DataFrame:
-    """Pairs of different components in blocks of lists (token, x, y, c, comp, n_shingles, mask, signature, first), each pair in one list only."""
+    """Pairs of different components in blocks of lists (token, x, y, c, comp, n_shingles, n_alone, mask, signature, first), each pair in one list only."""
 
     def compare(token: int, g: dict[str, np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray] | None:
         if same:
@@ -136,8 +146,9 @@ def _block_pairs(lists: DataFrame, similarity: int, least_posted: int, least_all
         else:
             left, right = np.flatnonzero(g["first"]), np.flatnonzero(~g["first"])
             i, j = (v.reshape(-1) for v in np.meshgrid(left, right, indexing="ij"))
-        n = g["n_shingles"]
-        ok = (g["comp"][i] != g["comp"][j]) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+        n, most = g["n_shingles"], g["n_shingles"] - g["n_alone"]
+        common = np.minimum(most[i], most[j])  # at best
+        ok = (g["comp"][i] != g["comp"][j]) & (100 * common >= similarity * (n[i] + n[j] - common))
         i, j = i[ok], j[ok]
         out = []
         for k in range(0, len(i), 8192):
@@ -169,7 +180,7 @@ def _block_pairs(lists: DataFrame, similarity: int, least_posted: int, least_all
                 return [], rest
             flat = table.column("signature").combine_chunks()
             signatures = flat.flatten().to_numpy().reshape(-1, COORDINATES)
-            columns = {k: table.column(k).to_numpy() for k in ("c", "comp", "n_shingles", "first")}
+            columns = {k: table.column(k).to_numpy() for k in ("c", "comp", "n_shingles", "n_alone", "first")}
             columns["mask"] = table.column("mask").to_numpy().view(np.uint64)
             columns["signature"] = signatures
             found = []
@@ -195,7 +206,7 @@ def _block_pairs(lists: DataFrame, similarity: int, least_posted: int, least_all
             yield from out(groups(held.combine_chunks(), True)[0])
 
     ordered = lists.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-    return ordered.select("token", "x", "y", "c", "comp", "n_shingles", "mask", "signature", "first").mapInArrow(run, "a long, b long")
+    return ordered.select("token", "x", "y", "c", "comp", "n_shingles", "n_alone", "mask", "signature", "first").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE) -> DataFrame:
@@ -211,26 +222,26 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int =
     base = runtime.stored(sketches(docs, width), "sketches")
     n_docs = base.count()
     grouped = base.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("label"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    classes = runtime.stored(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
+    classes = runtime.stored(grouped.withColumn("c", F.monotonically_increasing_id()), "classes", n_docs, WIDE_FILE)
     n_classes = classes.count()
 
     # Values that more than one class has, and for each class the rarest of its own.
     tokens = classes.select("c", F.posexplode(F.slice("signature", 1, POSTED)).alias("k", "v"))
     tokens = tokens.select("c", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
-    shared = runtime.stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "shared-values")
+    shared = runtime.stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "shared-values", n_classes * POSTED // 2)
     mine = runtime.join_by_frequency(tokens, shared, "token", "n", n_classes * POSTED)
     mine = mine.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("values")).where(F.size("values") >= t_posted)
     prefix = F.transform(F.slice("values", F.lit(1), F.size("values") - t_posted + 1), lambda v: v["token"])
     mask = F.aggregate("prefix", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(_bit(t)))
-    posted = runtime.stored(mine.select("c", prefix.alias("prefix")).select("c", F.explode("prefix").alias("token"), mask.alias("mask")), "postings")
-    lengths = runtime.stored(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "list-lengths")
+    posted = runtime.stored(mine.select("c", prefix.alias("prefix")).select("c", F.explode("prefix").alias("token"), mask.alias("mask")), "postings", n_classes * (POSTED - t_posted + 1))
     n_posted = posted.count()
+    lengths = runtime.stored(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "list-lengths", n_posted)
     if not n_posted:
         links = spark.createDataFrame([], "a long, b long")
     else:
-        postings = runtime.stored(runtime.join_by_frequency(posted, lengths, "token", "n", n_posted), "lists")
+        postings = runtime.stored(runtime.join_by_frequency(posted, lengths, "token", "n", n_posted), "lists", n_posted)
         wanted = postings.select("c").distinct()
-        candidates = runtime.stored(runtime.join_bounded(classes, wanted, ["c"], "left_semi"), "candidates")
+        candidates = runtime.stored(runtime.join_bounded(classes, wanted, ["c"], "left_semi"), "candidates", min(n_posted, n_classes), WIDE_FILE)
         sets = _full_sets(docs, candidates, width)
         links = _links(postings, lengths, candidates, sets, similarity, t_posted, t_all)
 
@@ -240,7 +251,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int =
     linked = runtime.join_bounded(labels, least, ["root"], "inner").select(F.col("node").alias("c"), "component", F.lit(True).alias("linked"))
     known = classes.select("c", "digest", "label", "n_copies").join(linked, "c", "left")
     known = known.where((F.col("n_copies") > 1) | F.col("linked")).select("digest", "n_copies", F.coalesce("component", "label").alias("component"), F.lit(True).alias("grouped"))
-    known = runtime.stored(known, "grouped-classes")
+    known = runtime.stored(known, "grouped-classes", n_classes)
     rows = runtime.join_by_frequency(base.select("doc_id", "n_shingles", "digest"), known, "digest", "n_copies", n_docs, "left")
     component = F.when(F.col("grouped"), F.col("component")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
@@ -253,41 +264,49 @@ def _bit(token):
 
 def _links(postings: DataFrame, lengths: DataFrame, candidates: DataFrame, sets: DataFrame, similarity: int, t_posted: int, t_all: int) -> DataFrame:
     """Confirmed pairs that connect all that is connected."""
-    facts = candidates.select("c", "n_shingles", "signature")
+    facts = candidates.select("c", "n_shingles", "signature").join(_alone(sets), "c", "left").fillna(0, ["n_alone"])
+    n_facts = candidates.count()
+    n_rows = postings.count()
+    facts = runtime.stored(facts, "facts", n_facts, WIDE_FILE)
     found = None
     parts = postings.select("c").distinct().select(F.col("c"), F.col("c").alias("comp"))
     if lengths.where(F.col("n") > LONG_LIST).take(1):
-        long_lists = runtime.stored(postings.where(F.col("n") > LONG_LIST).select("token", "c", "n"), "long-lists")
+        alone = facts.select("c", (F.col("n_alone") / F.col("n_shingles")).alias("alone"))
+        long_lists = runtime.join_bounded(postings.where(F.col("n") > LONG_LIST).select("token", "c", "n"), alone, ["c"], "inner", n_facts)
+        long_lists = runtime.stored(long_lists, "long-lists", n_rows)
         total = long_lists.count()
         tested = None
         for r in range(PIVOT_ROUNDS):
             members = runtime.join_bounded(long_lists, parts, ["c"], "inner")
-            pivots = members.groupBy("token").agg(F.min_by(F.struct("c", "comp"), F.xxhash64("c", F.lit(r))).alias("p"), F.first("n").alias("size"))
-            met = runtime.join_by_frequency(members.drop("n"), runtime.stored(pivots, "pivots"), "token", "size", total)
+            # First the member with the least of its own, which is nearest to what the copies were made from; then any.
+            order = F.col("alone") if r == 0 else F.lit(0.0)
+            pivots = members.groupBy("token").agg(F.min_by(F.struct("c", "comp"), F.struct(order, F.xxhash64("c", F.lit(r)))).alias("p"), F.first("n").alias("size"))
+            met = runtime.join_by_frequency(members.drop("n", "alone"), runtime.stored(pivots, "pivots", total // LONG_LIST), "token", "size", total)
             pairs = met.where(F.col("comp") != F.col("p.comp")).select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             for side in ("a", "b"):
-                own = facts.select(F.col("c").alias(side), F.col("signature").alias(side + "_signature"), F.col("n_shingles").alias(side + "_n"))
-                pairs = runtime.join_bounded(pairs, own, [side], "inner")
+                own = facts.select(F.col("c").alias(side), F.col("signature").alias(side + "_signature"), F.col("n_shingles").alias(side + "_n"), (F.col("n_shingles") - F.col("n_alone")).alias(side + "_most"))
+                pairs = runtime.join_bounded(pairs, own, [side], "inner", n_facts, WIDE_ROWS)
             equal = F.size(F.filter(F.zip_with("a_signature", "b_signature", lambda x, y: x == y), lambda e: e))
-            near = (equal >= t_all) & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * similarity)
-            pairs = runtime.stored(pairs.where(near).select("a", "b"), "pivot-pairs")
+            common = F.least("a_most", "b_most")  # at best
+            near = (equal >= t_all) & (common * 100 >= (F.col("a_n") + F.col("b_n") - common) * similarity)
+            pairs = runtime.stored(pairs.where(near).select("a", "b"), "pivot-pairs", total)
             tested = pairs if tested is None else tested.unionByName(pairs)
-            new = runtime.stored(confirmed(pairs, sets, similarity), "links")
+            new = runtime.stored(confirmed(pairs, sets, similarity), "links", 10 * pairs.count(), 100_000)
             found = new if found is None else found.unionByName(new)
             roots = graph.components(found)
-            parts = runtime.stored(postings.select("c").distinct().join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("comp")), "parts")
+            parts = runtime.stored(postings.select("c").distinct().join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("comp")), "parts", n_facts)
     members = runtime.join_bounded(postings, parts, ["c"], "inner")
     open_lists = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n_open")).where(F.col("lo") < F.col("hi")).select("token", "n_open")
-    members = runtime.join_by_frequency(members, runtime.stored(open_lists, "open-lists"), "token", "n_open", max(1, postings.count()))
+    members = runtime.join_by_frequency(members, runtime.stored(open_lists, "open-lists", n_rows), "token", "n_open", max(1, n_rows))
     blocks = F.ceil(F.col("n_open") / BLOCK).cast("int")
     members = members.select("token", "c", "comp", "mask", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
     units = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select("token", "c", "comp", "mask", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"))
-    lists = runtime.join_bounded(units, facts, ["c"], "inner")
+    lists = runtime.join_bounded(units, facts, ["c"], "inner", n_facts, WIDE_ROWS)
     pairs = runtime.stored(_block_pairs(lists, similarity, t_posted, t_all).distinct(), "block-pairs")
-    rest = runtime.stored(confirmed(pairs, sets, similarity), "links")
+    rest = runtime.stored(confirmed(pairs, sets, similarity), "links", 10 * pairs.count(), 100_000)
     return rest if found is None else found.unionByName(rest)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a size-checked broadcast may have; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 #: A key with more than 1/HEAVY_SHARE of all rows is joined by broadcast: there are at most HEAVY_SHARE such keys.
 HEAVY_SHARE = 1000
 
@@ -65,11 +65,14 @@ def _clean() -> None:
             return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and lost executors cost nothing."""
+def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 500_000) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and lost executors cost nothing.
+
+    rows: at most how many there are, where that is known; then no more files than that many rows want.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // per_file + 1)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
