@@ -199,15 +199,15 @@ def indexed_share_avg_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.indexed(brand_prevalence(spark, sf_dir), BRAND, "annual_document_prevalence", 3).select(*BRAND, "year", "base_year", "index_value")
 
 
-@query(f"WITH {_CORR_SQL} SELECT macro_topic, brand, source_a, source_b, lag, n_overlap_years, round(correlation, 6) AS correlation FROM corrs")
+@query(f"WITH {_CORR_SQL} SELECT macro_topic, brand, source_a, source_b, lag, n_overlap_years, correlation FROM corrs")
 def lag_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.lag_correlation(aligned_pairs(spark, sf_dir), PAIR, LEAST).withColumn("correlation", F.round("correlation", 6))
+    return series.lag_correlation(aligned_pairs(spark, sf_dir), PAIR, LEAST)
 
 
-@query(f"WITH {_CORR_SQL} SELECT macro_topic, brand, source_a, source_b, best_lag, round(best_correlation, 6) AS best_correlation, best_overlap, valid_lags, close_second, valid_lags < 3 OR close_second AS unstable_series_flag FROM best")
+@query(f"WITH {_CORR_SQL} SELECT macro_topic, brand, source_a, source_b, best_lag, best_correlation, best_overlap, valid_lags, close_second, valid_lags < 3 OR close_second AS unstable_series_flag FROM best")
 def best_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pair_best(spark, sf_dir)
-    return rows.withColumn("unstable_series_flag", relations.unstable(F.col("valid_lags"), F.col("close_second"))).withColumn("best_correlation", F.round("best_correlation", 6))
+    return rows.withColumn("unstable_series_flag", relations.unstable(F.col("valid_lags"), F.col("close_second")))
 
 
 _CLASS_SQL = f"""{_CORR_SQL}, classed AS (
@@ -270,9 +270,9 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("spearman_p", F.round(stats.t_two_sided_p(F.col("spearman_r"), F.col("n_overlap_years")), 9))
 
 
-@query(f"WITH {_SPEAR_SQL} SELECT macro_topic, brand, source_a, source_b, lag, n_overlap_years, round(spearman_r, 6) AS spearman_r, round(spearman_p, 6) AS spearman_p FROM pv")
+@query(f"WITH {_SPEAR_SQL} SELECT macro_topic, brand, source_a, source_b, lag, n_overlap_years, spearman_r, p9 AS spearman_p FROM q")
 def spearman_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spearman(spark, sf_dir).select(*PAIR, "lag", "n_overlap_years", F.round("spearman_r", 6).alias("spearman_r"), F.round("spearman_p", 6).alias("spearman_p"))
+    return spearman(spark, sf_dir).select(*PAIR, "lag", "n_overlap_years", "spearman_r", "spearman_p")
 
 
 def with_q(rows: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ _REL_SQL = f"""{_SPEAR_SQL}, ranked_s AS (
 
 
 @query(
-    f"""WITH {_REL_SQL} SELECT macro_topic, brand, source_a, source_b, lag AS best_lag, round(spearman_r, 6) AS best_spearman_r, round(q_table, 6) AS best_spearman_q_table, ambiguous AS ambiguous_best_lag_flag,
+    f"""WITH {_REL_SQL} SELECT macro_topic, brand, source_a, source_b, lag AS best_lag, spearman_r AS best_spearman_r, round(q_table, 6) AS best_spearman_q_table, ambiguous AS ambiguous_best_lag_flag,
 CASE WHEN abs(spearman_r) < 0.30 OR lag = 0 THEN 'synchronous_or_unclear' WHEN lag > 0 THEN 'external_leads' ELSE 'corporate_leads' END AS temporal_relation_label,
 CASE WHEN abs(spearman_r) < 0.30 THEN 'correlation_below_floor' WHEN lag > 0 THEN 'positive_best_lag_external_leads' || CASE WHEN ambiguous THEN '_ambiguous' ELSE '' END WHEN lag < 0 THEN 'negative_best_lag_corporate_leads' || CASE WHEN ambiguous THEN '_ambiguous' ELSE '' END ELSE 'zero_best_lag' END AS temporal_relation_reason FROM rel"""
 )
@@ -302,11 +302,11 @@ def relation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_q(spearman(spark, sf_dir))
     best = relations.relation_label(series.best_lag(rows, PAIR, "spearman_r", nearest_zero=True))
     q = rows.select(*PAIR, F.col("lag").alias("best_lag"), F.round("q_table", 6).alias("best_spearman_q_table"))
-    return best.join(q, [*PAIR, "best_lag"]).select(*PAIR, "best_lag", F.round("best_correlation", 6).alias("best_spearman_r"), "best_spearman_q_table", F.col("close_second").alias("ambiguous_best_lag_flag"), "temporal_relation_label", "temporal_relation_reason")
+    return best.join(q, [*PAIR, "best_lag"]).select(*PAIR, "best_lag", F.col("best_correlation").alias("best_spearman_r"), "best_spearman_q_table", F.col("close_second").alias("ambiguous_best_lag_flag"), "temporal_relation_label", "temporal_relation_reason")
 
 
 @query(
-    f"""WITH {_SPEAR_SQL} SELECT macro_topic, brand, source_a, round(spearman_r, 6) AS same_year_spearman_r, round(q_table, 6) AS same_year_spearman_q_table,
+    f"""WITH {_SPEAR_SQL} SELECT macro_topic, brand, source_a, spearman_r AS same_year_spearman_r, round(q_table, 6) AS same_year_spearman_q_table,
 CASE WHEN spearman_r IS NULL THEN 'not_available' WHEN spearman_r > 0 THEN 'same_direction' WHEN spearman_r < 0 THEN 'opposite_direction' ELSE 'no_monotonic_association' END AS same_year_relation_direction,
 CASE WHEN spearman_r IS NULL THEN 'not_available' WHEN abs(spearman_r) >= 0.70 THEN 'strong' WHEN abs(spearman_r) >= 0.50 THEN 'moderate' WHEN abs(spearman_r) >= 0.30 THEN 'weak' ELSE 'very_weak' END AS same_year_relation_strength,
 CASE WHEN q_table < 0.05 THEN 'q_lt_0_05' WHEN q_table < 0.10 THEN 'q_lt_0_10' ELSE 'not_significant' END AS same_year_significance FROM adj WHERE lag = 0"""
@@ -314,7 +314,7 @@ CASE WHEN q_table < 0.05 THEN 'q_lt_0_05' WHEN q_table < 0.10 THEN 'q_lt_0_10' E
 def zero_lag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_q(spearman(spark, sf_dir)).where("lag = 0")
     r, q = F.col("spearman_r"), F.col("q_table")
-    return rows.select("macro_topic", "brand", "source_a", F.round(r, 6).alias("same_year_spearman_r"), F.round(q, 6).alias("same_year_spearman_q_table"), numbers.relation_direction(r).alias("same_year_relation_direction"), numbers.relation_strength(r).alias("same_year_relation_strength"), numbers.significance(q).alias("same_year_significance"))
+    return rows.select("macro_topic", "brand", "source_a", r.alias("same_year_spearman_r"), F.round(q, 6).alias("same_year_spearman_q_table"), numbers.relation_direction(r).alias("same_year_relation_direction"), numbers.relation_strength(r).alias("same_year_relation_strength"), numbers.significance(q).alias("same_year_significance"))
 
 
 _LEAD_SQL = """, pairs_ab(source_from, source_to) AS (
@@ -326,7 +326,7 @@ _LEAD_SQL = """, pairs_ab(source_from, source_to) AS (
 ), cs AS (
   SELECT {g} macro_topic, source_from, source_to, method AS transform_method, lag, count(*) FILTER (xv IS NOT NULL AND yv IS NOT NULL) AS n_overlap_years,
          CASE WHEN count(*) FILTER (xv IS NOT NULL AND yv IS NOT NULL) >= {least} AND count(DISTINCT xv) FILTER (yv IS NOT NULL) > 1 AND count(DISTINCT yv) FILTER (xv IS NOT NULL) > 1
-              THEN round(covar_pop(xv, yv) / nullif(stddev_pop(xv) FILTER (yv IS NOT NULL) * stddev_pop(yv) FILTER (xv IS NOT NULL), 0), 6) END AS correlation
+              THEN round(covar_pop(xv, yv) / nullif(stddev_pop(xv) FILTER (yv IS NOT NULL) * stddev_pop(yv) FILTER (xv IS NOT NULL), 0), 9) END AS correlation
   FROM al GROUP BY ALL
 )"""
 _SHARE_SQL = f"""{BASE_SQL}, lags(lag) AS (SELECT unnest([-2, -1, 0, 1, 2])), sh AS (
@@ -351,7 +351,7 @@ def lead_lag(values: DataFrame, extra: list[str], least: int) -> DataFrame:
     left = melted.withColumnRenamed("v", "x").withColumn("source_to", F.explode(others)).withColumnRenamed("source", "source_from")
     right = melted.withColumnRenamed("v", "y").withColumn("source_from", F.explode(others)).withColumnRenamed("source", "source_to")
     keys = [*extra, "macro_topic", "source_from", "source_to", "transform_method"]
-    return series.lag_correlation(series.lagged(left, right, keys, LAGS), keys, least).withColumn("correlation", F.round("correlation", 6))
+    return series.lag_correlation(series.lagged(left, right, keys, LAGS), keys, least)
 
 
 @query(

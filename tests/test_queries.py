@@ -27,7 +27,7 @@ def plain(value):
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return bool(value)
     if isinstance(value, float) or type(value).__name__.startswith("float"):
-        return round(float(value), 6) + 0.0
+        return round(float(value), 9) + 0.0
     return int(value) if type(value).__name__.startswith(("int", "uint")) else value
 
 
