@@ -22,7 +22,7 @@ from .tokenizer import encoder_of
 
 END_ID = 2
 #: Ids in a segment, beyond which a new one begins; a longer document has one of its own.
-SEGMENT_IDS = 6_000_000
+SEGMENT_IDS = 4_000_000
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, joined: bool = True) -> None:

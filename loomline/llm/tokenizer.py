@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 
-_KEEP = 700_000
+_KEEP = 550_000
 _LONG = 64
 _TWO_SPACES = re.compile(r"\s\s")
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
