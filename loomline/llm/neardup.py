@@ -34,7 +34,7 @@ LONG_LIST, PIVOT_ROUNDS, BLOCK = 64, 2, 256
 #: Rows with signatures that are broadcast at most.
 WIDE_ROWS = 10_000
 #: Rows with signatures, and with full sets, in one file.
-WIDE_FILE, SET_FILE = 50_000, 5_000
+WIDE_FILE, SET_FILE = 20_000, 4_000
 _NO_ID = -(2**63)
 
 
@@ -291,9 +291,9 @@ def _links(postings: DataFrame, lengths: DataFrame, candidates: DataFrame, sets:
             equal = F.size(F.filter(F.zip_with("a_signature", "b_signature", lambda x, y: x == y), lambda e: e))
             common = F.least("a_most", "b_most")  # at best
             near = (equal >= t_all) & (common * 100 >= (F.col("a_n") + F.col("b_n") - common) * similarity)
-            pairs = runtime.stored(pairs.where(near).select("a", "b"), "pivot-pairs", total)
+            pairs = runtime.stored(pairs.where(near).select("a", "b"), "pivot-pairs", total, WIDE_FILE)
             tested = pairs if tested is None else tested.unionByName(pairs)
-            new = runtime.stored(confirmed(pairs, sets, similarity), "links", 10 * pairs.count(), 100_000)
+            new = runtime.stored(confirmed(pairs, sets, similarity), "links", pairs.count(), SET_FILE)
             found = new if found is None else found.unionByName(new)
             roots = graph.components(found)
             parts = runtime.stored(postings.select("c").distinct().join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("comp")), "parts", n_facts)
@@ -306,7 +306,7 @@ def _links(postings: DataFrame, lengths: DataFrame, candidates: DataFrame, sets:
     units = units.select("token", "c", "comp", "mask", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"))
     lists = runtime.join_bounded(units, facts, ["c"], "inner", n_facts, WIDE_ROWS)
     pairs = runtime.stored(_block_pairs(lists, similarity, t_posted, t_all).distinct(), "block-pairs")
-    rest = runtime.stored(confirmed(pairs, sets, similarity), "links", 10 * pairs.count(), 100_000)
+    rest = runtime.stored(confirmed(pairs, sets, similarity), "links", pairs.count(), SET_FILE)
     return rest if found is None else found.unionByName(rest)
 
 
