@@ -293,7 +293,9 @@ def _links(postings: DataFrame, lengths: DataFrame, candidates: DataFrame, sets:
             near = (equal >= t_all) & (common * 100 >= (F.col("a_n") + F.col("b_n") - common) * similarity)
             pairs = runtime.stored(pairs.where(near).select("a", "b"), "pivot-pairs", total, WIDE_FILE)
             tested = pairs if tested is None else tested.unionByName(pairs)
-            new = runtime.stored(confirmed(pairs, sets, similarity), "links", pairs.count(), SET_FILE)
+            met = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+            near_sets = runtime.join_bounded(sets, met, ["c"], "left_semi")
+            new = runtime.stored(confirmed(pairs, near_sets, similarity), "links", pairs.count() + n_facts, SET_FILE)
             found = new if found is None else found.unionByName(new)
             roots = graph.components(found)
             parts = runtime.stored(postings.select("c").distinct().join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("comp")), "parts", n_facts)
@@ -306,7 +308,7 @@ def _links(postings: DataFrame, lengths: DataFrame, candidates: DataFrame, sets:
     units = units.select("token", "c", "comp", "mask", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"))
     lists = runtime.join_bounded(units, facts, ["c"], "inner", n_facts, WIDE_ROWS)
     pairs = runtime.stored(_block_pairs(lists, similarity, t_posted, t_all).distinct(), "block-pairs")
-    rest = runtime.stored(confirmed(pairs, sets, similarity), "links", pairs.count(), SET_FILE)
+    rest = runtime.stored(confirmed(pairs, sets, similarity), "links", pairs.count() + n_facts, SET_FILE)
     return rest if found is None else found.unionByName(rest)
 
 
