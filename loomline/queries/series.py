@@ -10,6 +10,7 @@ from ..functions import numbers, stats, text
 from ..operators import matching, relations, series
 from ..operators.relational import until_share
 from ..plans.corpus import BASE_SQL, DYADS, chunks
+from ..storage import stored
 from .registry import query
 
 LAGS = [-2, -1, 0, 1, 2]
@@ -276,6 +277,8 @@ def spearman_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_q(rows: DataFrame) -> DataFrame:
+    """Both kinds of q-values; the correlations, which they read several times, are written once."""
+    rows = stored(rows)
     within = stats.bh_within(rows, "spearman_p", "q_relation", PAIR, ["lag"])
     return stats.bh_table(within, "spearman_p", "q_table", [*PAIR, "lag"])
 
@@ -299,7 +302,7 @@ CASE WHEN abs(spearman_r) < 0.30 OR lag = 0 THEN 'synchronous_or_unclear' WHEN l
 CASE WHEN abs(spearman_r) < 0.30 THEN 'correlation_below_floor' WHEN lag > 0 THEN 'positive_best_lag_external_leads' || CASE WHEN ambiguous THEN '_ambiguous' ELSE '' END WHEN lag < 0 THEN 'negative_best_lag_corporate_leads' || CASE WHEN ambiguous THEN '_ambiguous' ELSE '' END ELSE 'zero_best_lag' END AS temporal_relation_reason FROM rel"""
 )
 def relation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_q(spearman(spark, sf_dir))
+    rows = stored(with_q(spearman(spark, sf_dir)))
     best = relations.relation_label(series.best_lag(rows, PAIR, "spearman_r", nearest_zero=True))
     q = rows.select(*PAIR, F.col("lag").alias("best_lag"), F.round("q_table", 6).alias("best_spearman_q_table"))
     return best.join(q, [*PAIR, "best_lag"]).select(*PAIR, "best_lag", F.col("best_correlation").alias("best_spearman_r"), "best_spearman_q_table", F.col("close_second").alias("ambiguous_best_lag_flag"), "temporal_relation_label", "temporal_relation_reason")
