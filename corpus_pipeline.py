@@ -13,6 +13,8 @@ from loomline.llm import decontam, neardup, packing, quality, runtime, toxicity
 
 #: Documents of a lower quality score go.
 LEAST_QUALITY = 0.5
+#: Documents whose shingle sets share so much, per cent, are near copies. op5_near_dedup has its own bar.
+NEAR_COPIES = 80
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, NEAR_COPIES)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,19 @@ def test_stages(spark, data):
     assert got == {d for d, _ in left if d in clean}
 
 
+def test_near_copies_from_eighty_per_cent(spark):
+    """Pairs from 0.80 up to 0.85 are near copies to the stage, those just below are not."""
+    def pair(i, fresh):
+        words = [f"w{i}x{k}" for k in range(104)]
+        return [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:104 - fresh] + [f"v{i}x{k}" for k in range(fresh)]))]
+
+    rows = [r for i in range(30) for r in pair(i, 9 + i % 3)]  # Jaccard 91/109, 90/110, 89/111
+    rows += [r for i in range(30, 40) for r in pair(i, 12)]  # 88/112
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == {d for d, _ in rows if d % 2 == 0 or d >= 60}
+
+
 def test_shape(spark, data):
     root = data[0]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "decontaminate", "pack"]
