@@ -1,9 +1,10 @@
 """License scan (op9): sparse TF-IDF cosine to templates, then inheritance from the nearest directory; DataFrame functions only.
 
-Notices (lines of a file) and whole files are compared with templates. A line or file reaches a cosine of t only if it
-has one of a template's heaviest terms, those without which what is left of the template's vector is shorter than t
-(Cauchy-Schwarz); so only files with such a term are taken apart. Document frequencies are counted over all files. A
-file without a license of its own takes that of the nearest directory above it that has a license file.
+Notices (lines of a file, and runs of lines as long as a template), the comment at a file's head and whole files are
+compared with templates. A text reaches a cosine of t only if it has one of a template's rarest terms, those without
+which what is left of the template's vector is shorter than t (Cauchy-Schwarz); so only files with such a term are taken
+apart, and into runs only where all their terms together are enough for the template. Document frequencies are counted
+over all files. A file without a license of its own takes that of the nearest directory above it that has a license file.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 
 from . import runtime
 
-#: Least cosine of a line to a notice, and of a whole file to a notice or a license text.
+#: Least cosine of a line or run of lines to a notice, and of a whole file or its head to a notice or a license text.
 LEAST_LINE, LEAST_FILE = 0.75, 0.6
 # License notices and characteristic paragraphs of license texts, as their stewards publish them.
 TEMPLATES: list[tuple[str, str]] = [
@@ -38,8 +39,48 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "Copyright. All rights reserved. No part may be reproduced without permission."),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("CC-BY-4.0", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License."),
+    ("CC-BY-SA-4.0", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License."),
+    ("CC-BY-NC-4.0", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License."),
+    ("CC0-1.0", "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an owner) of an original work of authorship and/or a database (each, a Work)."),
 ]
 _GAP = r"[^a-z0-9]+"
+_LINE_END = r"\r\n|\r|\n"
+#: What a line of comment begins with, and a comment between marks, at the head of a file.
+_COMMENT_LINE = r"^\s*(?:#|//|--|;|%|\*|/\*|rem\b|dnl\b|$)"
+_COMMENT_BLOCK = r"\A\s*(?:#![^\r\n]*\s+)?(/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\(\*[\s\S]*?\*\)|\{-[\s\S]*?-\}|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})"
 
 
 def terms(text: Column) -> Column:
@@ -58,12 +99,12 @@ def _template_vectors(templates: list[tuple[str, str]], idf: dict[str, float]) -
     return out
 
 
-def needed_terms(vectors: list[dict[str, float]], least: float) -> set[str]:
-    """Terms one of which any text must have to reach the least cosine with a template."""
+def needed_terms(vectors: list[dict[str, float]], least: float, idf: dict[str, float] | None = None) -> set[str]:
+    """Terms one of which any text must have to reach the least cosine with a template; with idf the rarest, which the fewest texts have."""
     out: set[str] = set()
     for vector in vectors:
         rest = 1.0
-        for term, weight in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        for term, weight in sorted(vector.items(), key=lambda x: (-idf[x[0]] if idf else 0, -x[1], x[0])):
             if rest < least * least - 1e-9:
                 break
             out.add(term)
@@ -82,10 +123,54 @@ def _best_template(units: DataFrame, keys: list[str], vocabulary: DataFrame, unk
     return best.select(*keys, (-F.col("b.t")).alias("template"), F.col("b.similarity").alias("similarity"))
 
 
+def _any_of(words: set[str]) -> str:
+    """A pattern of any of the words as a whole term, by first letters."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_first.setdefault(w[0], []).append(w[1:])
+    return r"(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + r")(?![a-z0-9])"
+
+
+def head_comment(text: Column) -> Column:
+    """The comment that a file begins with: between marks, or else its first lines that are comments."""
+    lines = F.split(text, _LINE_END)
+    code = F.array_position(F.transform(lines, lambda x: F.lower(x).rlike(_COMMENT_LINE)), False).cast("int")
+    block = F.regexp_extract(text, _COMMENT_BLOCK, 1)
+    return F.when(block != "", block).otherwise(F.array_join(F.slice(lines, F.lit(1), F.when(code > 0, code - 1).otherwise(F.size(lines))), "\n"))
+
+
+def _line_runs(some: DataFrame, weights: DataFrame, shapes: DataFrame, least: float) -> DataFrame:
+    """row, line, last, words of runs of lines about as long as a template that the file has enough terms of.
+
+    From every line: up to the line with the template's last word, one less and one more.
+    """
+    has = some.select("row", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(F.broadcast(weights), "term")
+    near = has.groupBy("row", "template").agg(F.sum(F.col("weight") * F.col("weight")).alias("mass")).where(F.col("mass") >= least * least - 1e-9).select("row", "template")
+    near = runtime.stored(near, "license-near")
+    lines = F.filter(F.transform(F.split("text", _LINE_END), terms), lambda w: F.size(w) > 0)
+    cut = runtime.join_bounded(some, near.select("row").distinct(), ["row"], "left_semi").select("row", lines.alias("lines")).where(F.size("lines") > 1)
+    cut = cut.select("row", F.flatten("lines").alias("words"), F.flatten(F.transform("lines", lambda w, k: F.array_repeat(k, F.size(w)))).alias("line"))
+    # Stored between the steps, for an expression inside a function of elements is evaluated for each element.
+    cut = runtime.stored(cut, "license-words")
+    n = F.size("words")
+    ends = F.filter(F.sequence(F.lit(1), n), lambda p: (p == n) | (F.get("line", p) != F.get("line", p - 1)))
+    cut = runtime.stored(cut.select("*", ends.alias("ends")), "license-lines")
+
+    def from_line(k: Column) -> Column:
+        start = F.coalesce(F.get("ends", k - 1), F.lit(0))
+        last = F.get("line", F.least(start + F.col("length"), n) - 1)
+        lasts = F.filter(F.sequence(last - 1, last + 1), lambda j: (j > k) & (j < F.size("ends")))
+        return F.transform(lasts, lambda j: F.struct(k.alias("line"), j.alias("last"), F.slice("words", start + 1, F.get("ends", j) - start).alias("words")))
+
+    runs = F.flatten(F.transform("ends", lambda _, k: F.filter(from_line(k), lambda r: F.arrays_overlap(r["words"], F.col("needed")))))
+    units = runtime.join_bounded(near.join(F.broadcast(shapes), "template"), cut, ["row"], "inner", limit=0).select("row", F.explode(runs).alias("r"))
+    return units.groupBy("row", "r.line", "r.last").agg(F.first("r.words").alias("words"))
+
+
 def license_scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least_line: float = LEAST_LINE, least_file: float = LEAST_FILE) -> DataFrame:
     """files (file_id, path, text) to file_id, path, license, similarity, found_as, inherited_from.
 
-    found_as: file (the whole text is a license or notice), notice (one of its lines is) or inherited. A file named like
+    found_as: file (the whole text is a license or notice), notice (a line, run of lines or its head is) or inherited. A file named like
     a license or whose whole text is one stands for its directory; of several the most similar does, then the least
     path. A NULL text is empty, a NULL path has no directory; rows that repeat a file_id or path are files of their own.
     """
@@ -102,14 +187,19 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] | None = Non
     vectors = _template_vectors(templates, idf)
     vocabulary = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     weights = spark.createDataFrame([(t, i, w) for i, v in enumerate(vectors) for t, w in sorted(v.items())], "term string, template int, weight double")
-    needed = needed_terms(vectors, min(least_line, least_file))
-    pattern = r"(?<![a-z0-9])(?:" + "|".join(sorted(needed)) + r")(?![a-z0-9])"
+    needed = needed_terms(vectors, min(least_line, least_file), idf)
+    pattern = _any_of(needed)
     # Without a needed term there is no license to find, so only these few files keep their text.
     some = rows.where(F.lower("text").rlike(pattern)).select("file_id", "path", "text")
     some = runtime.stored(some.withColumn("row", F.monotonically_increasing_id()), "license-candidates")
-    lines = some.select("row", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "content"))
+    lines = some.select("row", F.posexplode(F.split("text", _LINE_END)).alias("line", "content"))
     lines = lines.where(F.lower("content").rlike(pattern)).select("row", "line", terms(F.col("content")).alias("words"))
     notices = _best_template(lines, ["row", "line"], vocabulary, unknown, weights, least_line)
+    shapes = [(i, sum(1 for _ in re.finditer(r"[a-z0-9]+", text.lower())), sorted(needed_terms([v], least_line, idf))) for i, ((_, text), v) in enumerate(zip(templates, vectors, strict=True))]
+    runs = _line_runs(some, weights, spark.createDataFrame(shapes, "template int, length int, needed array<string>"), least_line)
+    runs = _best_template(runtime.stored(runs, "license-runs"), ["row", "line", "last"], vocabulary, unknown, weights, least_line)
+    heads = _best_template(some.select("row", terms(head_comment(F.col("text"))).alias("words")), ["row"], vocabulary, unknown, weights, least_file)
+    notices = notices.unionByName(runs.drop("last")).unionByName(heads.withColumn("line", F.lit(0)))
     notices = notices.groupBy("row").agg(F.max(F.struct("similarity", (-F.col("line")).alias("l"), "template")).alias("b")).select("row", F.col("b.similarity").alias("line_similarity"), F.col("b.template").alias("line_template"))
     whole = _best_template(some.select("row", terms(F.col("text")).alias("words")), ["row"], vocabulary, unknown, weights, least_file)
     whole = whole.select("row", F.col("similarity").alias("file_similarity"), F.col("template").alias("file_template"))

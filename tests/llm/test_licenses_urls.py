@@ -32,6 +32,34 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def wrapped(name, mark, longest=70):
+    """The longest template of that name as a wrapped comment above code."""
+    import textwrap
+
+    text = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+    return "\n".join([f"{mark} Copyright 2020 Some Author", mark, *(f"{mark} {x}" for x in textwrap.wrap(text, longest)), "", *(f"call_{i}(value_{i}, other_{i})" for i in range(300))])
+
+
+def test_wrapped_headers_above_code(spark):
+    names = ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0"]
+    files = [(k * 10 + j, f"d{k}{j}/f", wrapped(n, mark)) for k, n in enumerate(names) for j, mark in enumerate(["#", "//", " *"])]
+    files += [(900 + k, f"e{k}/f", "\n".join(["first_call(x)"] * 200) + "\n" + wrapped(n, "#", 50)) for k, n in enumerate(names)]  # not at the head
+    files += [(1000 + k, f"g{k}/f", "/*\n" + wrapped(n, "").replace("\n\ncall_0", "\n*/\ncall_0")) for k, n in enumerate(names)]
+    files += [(2000, "z/f", "import licenses\n" * 100)]
+    got = {r.file_id: r.license for r in licenses.license_scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    want = {k * 10 + j: n for k, n in enumerate(names) for j in range(3)} | {b + k: n for k, n in enumerate(names) for b in (900, 1000)}
+    assert got == want | {2000: None}
+
+
+def test_head_comment(spark):
+    texts = ["# a\n# b\n\ncode # c", "/* a\n b */ code", "#!/bin/sh\n# a\nx", "code", "", '"""a\nb"""\ncode', "// a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    from pyspark.sql import functions as F
+
+    got = [r.w for r in rows.orderBy("i").select(licenses.terms(licenses.head_comment(F.col("t"))).alias("w")).collect()]
+    assert got == [["a", "b"], ["a", "b"], ["bin", "sh", "a"], [], [], ["a", "b"], ["a"]]
+
+
 def test_similar_notices_are_told_apart(spark):
     df = spark.createDataFrame([(i, f"d{i}/f", t) for i, (_, t) in enumerate(licenses.TEMPLATES)], "file_id long, path string, text string")
     got = {r.file_id: (r.license, r.similarity) for r in licenses.license_scan(df).collect()}
