@@ -83,9 +83,9 @@ def display_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH i AS (SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || strftime(o_orderdate, '%y') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS acc, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_orderkey < 100000) SELECT o_orderkey, acc AS accession, '7A' AS item, d AS filing_date FROM i")
 def filing_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accession, item and date out of an identifier."""
-    identifier = F.concat(F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lit("-"), F.date_format("o_orderdate", "yy"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit("_item7A_"), F.date_format("o_orderdate", "yyyyMMdd"))
-    rows = table(spark, sf_dir, "orders").where(F.col("o_orderkey") < 100000).select("o_orderkey", serving.filing_parts(identifier).alias("p"))
+    """Accession, item and date out of an identifier, which has the last six digits of the key. All orders; the SQL has those with a key below 100000."""
+    identifier = F.concat(F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lit("-"), F.date_format("o_orderdate", "yy"), F.lit("-"), F.lpad((F.col("o_orderkey") % 1_000_000).cast("string"), 6, "0"), F.lit("_item7A_"), F.date_format("o_orderdate", "yyyyMMdd"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", serving.filing_parts(identifier).alias("p"))
     return rows.select("o_orderkey", F.col("p.accession").alias("accession"), F.col("p.item").alias("item"), F.col("p.date").alias("filing_date"))
 
 

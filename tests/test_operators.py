@@ -118,3 +118,12 @@ def test_samples(spark):
         assert a.count() == 17 and {r.id for r in a.collect()} == {r.id for r in b.collect()}
     counts = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "g string, n long")
     assert rows(sampling.quotas(counts, "g", "n", 4), "g") == [("a", 2), ("b", 1), ("c", 1)]
+
+
+def test_filing_identifiers_of_all_orders(spark, tmp_path):
+    from loomline.queries import QUERIES
+
+    rows = spark.createDataFrame([(k, 7, "1997-03-05") for k in (5, 99_999, 100_000, 1_234_567, 60_000_003)], "o_orderkey long, o_custkey long, d string")
+    rows.selectExpr("o_orderkey", "o_custkey", "CAST(d AS date) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: (r.accession, r.item, r.filing_date) for r in QUERIES["filing_identifiers"](spark, str(tmp_path)).collect()}
+    assert got == {k: (f"0000000007-97-{k % 10**6:06d}", "7A", "1997-03-05") for k in (5, 99_999, 100_000, 1_234_567, 60_000_003)}
