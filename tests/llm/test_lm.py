@@ -81,3 +81,19 @@ def test_groups_agree_with_sql(spark, word):
 
     got = spark.createDataFrame([(bytearray(word),)], "w binary").select((F.crc32(F.substring("w", -3, 3)) % lm.UNITS).alias("u")).first().u
     assert got == lm.unit_of(word)
+
+
+def test_words_outside_the_core_get_classes_of_their_own(spark, monkeypatch):
+    """Words of one ending in two kinds of places go to the classes of the frequent words there."""
+    monkeypatch.setattr(lm, "HEAD", 30)  # the core is no larger, and classes of words outside the head count as well
+    draw = np.random.default_rng(3)
+    one, two = [f"a{i}xyz" for i in range(40)], [f"b{i}xyz" for i in range(40)]
+    first, second = one + [f"c{i}" for i in range(10)] * 4, two + [f"d{i}" for i in range(10)] * 4
+    rows = [(i, " ".join(f"p {draw.choice(first)} q r {draw.choice(second)} s" for _ in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(docs)
+    place = {int(h): int(c) for h, c in zip(model.hashes, model.learned, strict=True)}
+    classes = [{place[h] for h in lm._hashes_of([w.encode() for w in ws]).tolist() if h in place} for ws in (one, two)]
+    assert all(classes) and not classes[0] & classes[1]
+    assert np.allclose((10**model.transitions).sum(1), 1) and model.class_tokens.sum() == sum(len(t.split()) for _, t in rows)
+    assert lm.score(docs, model).where("score <= base_score").count() == 0
