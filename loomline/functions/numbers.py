@@ -30,8 +30,9 @@ def safe_share(a: Column, b: Column) -> Column:
 
 
 def sector(code: Column) -> Column:
-    """Two digits of a four-digit industry code."""
-    return F.lpad(F.floor(whole(code) / 100).cast("string"), 2, "0")
+    """An industry code without its last two digits, of two digits at least."""
+    digits = F.floor(whole(code) / 100).cast("string")
+    return F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
 
 
 def industry(two_digits: Column) -> Column:

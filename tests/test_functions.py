@@ -109,3 +109,9 @@ def test_bh(spark, how):
 def test_vectors(spark):
     assert one(spark, vectors.dot(vectors.unit(F.array(F.lit(3.0), F.lit(4.0))), F.array(F.lit(1.0), F.lit(0.0)))) == pytest.approx(0.6)
     assert one(spark, vectors.unit(F.array(F.lit(0.0), F.lit(0.0)))) == [0.0, 0.0]
+
+
+def test_sector_of_codes_of_any_width(spark):
+    codes = {7: "00", 99: "00", 100: "01", 2834: "28", 9999: "99", 10_000: "100", 123_456: "1234", None: None}
+    rows = spark.createDataFrame([(c,) for c in codes], "c long")
+    assert {r.c: r.s for r in rows.select("c", numbers.sector(F.col("c")).alias("s")).collect()} == codes
