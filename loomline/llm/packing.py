@@ -3,13 +3,14 @@
 Only the number of pieces of each length reaches the driver, at most `capacity` numbers whatever the input. There,
 lengths above a cut are rounded up within groups of equal cardinality, the few group sizes are packed by a
 configuration linear programme (column generation), its whole part is taken with actual lengths in place of rounded
-ones, and what is left, with all small lengths, is placed by best fit. The plan is a list of bin kinds with their
+ones, and the few that it leaves, then all small lengths, are placed by best fit. The plan is a list of bin kinds with their
 multiplicity; pieces find their place by their rank among pieces of equal length, which is counted per partition.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,9 +28,9 @@ from .tokenizer import encoder_of
 CAPACITY = 2048
 END_ID = 0
 #: Lengths of at most this share of the capacity are small.
-SMALL_SHARE = 0.4
-#: Groups of equal cardinality.
-GROUPS = 64
+SMALL_SHARE = 1 / 4
+#: Numbers of groups of equal cardinality that are tried.
+GROUPS = (16, 24, 32)
 
 
 def _best_pattern(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, list[int]]:
@@ -131,77 +132,80 @@ class _Bins:
         return sorted(merged.items(), reverse=True)
 
 
-def plan_bins(lengths: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_share: float = SMALL_SHARE) -> list[tuple[tuple[int, ...], int]]:
-    """Kinds of bins (their lengths) with multiplicities that hold exactly the given number of pieces of each length."""
-    left = {k: v for k, v in lengths.items() if v > 0}
-    if any(k < 1 or k > capacity for k in left):
+def plan_bins(lengths: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, small_share: float = SMALL_SHARE) -> list[tuple[tuple[int, ...], int]]:
+    """Kinds of bins (their lengths) with multiplicities that hold exactly the given number of pieces of each length.
+
+    Whole pieces fill bins alone. The large ones go by configurations of grouped sizes; the few that the whole part of
+    the programme leaves, and then the small ones, go by best fit into what room there is. Of the numbers of groups, the
+    one with the fewest bins counts, the first of equal ones.
+    """
+    if any(k < 1 or k > capacity for k, v in lengths.items() if v > 0):
         raise ValueError("a piece has no tokens or more than fit")
-    bins = _Bins(capacity)
-    bins.add((capacity,), left.pop(capacity, 0))
     cut = int(capacity * small_share)
-    large = {k: left.pop(k) for k in sorted(left, reverse=True) if k > cut}
-    for pool in _grouped_bins(large, capacity, groups, bins).values():
-        for length, count in pool.items():
-            left[length] = left.get(length, 0) + count
-    for length in sorted(left, reverse=True):
-        bins.best_fit(length, left[length])
-    # Rounding leaves room in bins that no small length filled: those bins' lengths go by best fit once more, if that saves any.
-    kinds = bins.kinds()
-    again = _Bins(capacity)
-    loose: dict[int, int] = defaultdict(int)
-    for inside, count in kinds:
-        if sum(inside) == capacity and min(inside) > cut:
-            again.add(inside, count)
-        else:
-            for length in inside:
-                loose[length] += count
-    for length in sorted(loose, reverse=True):
-        again.best_fit(length, loose[length])
-    return min(kinds, again.kinds(), key=lambda x: sum(count for _, count in x))
+    plans = []
+    for n in groups:
+        left = {k: v for k, v in lengths.items() if v > 0}
+        bins = _Bins(capacity)
+        bins.add((capacity,), left.pop(capacity, 0))
+        large = {k: left.pop(k) for k in sorted(left) if k > cut}
+        if large:
+            _configured_bins(large, capacity, n, bins)
+        for length in [*sorted(large, reverse=True), *sorted(left, reverse=True)]:
+            bins.best_fit(length, (large if length > cut else left)[length])
+        plans.append(bins.kinds())
+    return min(plans, key=lambda kinds: sum(count for _, count in kinds))
 
 
-def _grouped_bins(large: dict[int, int], capacity: int, groups: int, bins: _Bins) -> dict[int, dict[int, int]]:
-    """Linear grouping: adds bins for the large lengths, returns by rounded size what the whole part of the programme left."""
+def group_sizes(large: dict[int, int], groups: int) -> tuple[list[int], list[int]]:
+    """Linear grouping: the largest length of each of the groups of equal cardinality, falling, and how many pieces round up to it."""
     total = sum(large.values())
-    if not total:
-        return {}
-    # Groups of equal cardinality, from the largest length down; a group's size is its largest length.
-    pools: dict[int, dict[int, int]] = {}
-    n, before, size = min(groups, total), 0, 0
+    sizes, before = [], 0
     for length in sorted(large, reverse=True):
-        count = large[length]
-        while count:
-            group = before * n // total
-            first = -(-group * total // n)
-            if before == first or not size:
-                size = length
-            take = min(count, -(-(group + 1) * total // n) - before)
-            pool = pools.setdefault(size, {})
-            pool[length] = pool.get(length, 0) + take
-            before += take
-            count -= take
-    sizes = sorted(pools, reverse=True)
-    demand = [sum(pools[s].values()) for s in sizes]
+        # A group begins where its first piece, by rank from the largest, has this length.
+        if -(-before * groups // total) < -(-(before + large[length]) * groups // total):
+            sizes.append(length)
+        before += large[length]
+    demand = [0] * len(sizes)
+    for length, count in large.items():
+        demand[max(i for i, s in enumerate(sizes) if s >= length)] += count
+    return sizes, demand
+
+
+def _configured_bins(large: dict[int, int], capacity: int, groups: int, bins: _Bins) -> int:
+    """Adds the bins of the whole part of the programme over grouped sizes, takes their pieces from large, returns how many bins.
+
+    A slot of a configuration gets the largest piece left that rounds up to its size; the last slot, and then the room
+    that actual lengths leave of the bin, the largest left that fits. As many bins at a time as take the same lengths.
+    """
+    sizes, demand = group_sizes(large, groups)
+    stock = sorted(large)  # lengths left, rising
+    made = 0
     for pattern, amount in sorted(configurations(sizes, demand, capacity), key=lambda x: -x[1]):
+        slots = [s for s, k in zip(sizes, pattern, strict=True) for _ in range(k)]
         times = int(amount + 1e-9)
-        while times:
-            # Actual lengths in place of the rounded ones, as many bins at a time as take the same lengths.
-            take: dict[tuple[int, int], int] = defaultdict(int)
-            for s, k in zip(sizes, pattern, strict=True):
-                for length, count in pools[s].items():
-                    if k:
-                        take[s, length] = min(k, count)
-                        k -= take[s, length]
-            if sum(take.values()) < sum(pattern) or not take:
-                break  # a size has run out: what is left goes by best fit
-            same = max(1, min([times, *(pools[s][length] // k for (s, length), k in take.items() if k)]))
-            for (s, length), k in take.items():
-                pools[s][length] -= k * same
-                if not pools[s][length]:
-                    del pools[s][length]
-            bins.add(tuple(length for (_, length), k in take.items() for _ in range(k)), same)
+        while times and slots:
+            take: dict[int, int] = {}
+            room = capacity
+            for k in itertools.count(1):
+                at = bisect.bisect_right(stock, slots[k - 1] if k < len(slots) else room) - 1
+                while at >= 0 and large[stock[at]] <= take.get(stock[at], 0):
+                    at -= 1
+                if at < 0:
+                    break
+                take[stock[at]] = take.get(stock[at], 0) + 1
+                room -= stock[at]
+            if sum(take.values()) < len(slots):
+                break  # nothing is left for a slot: the next pass or best fit places the rest
+            same = min([times, *(large[length] // k for length, k in take.items())])
+            for length, k in take.items():
+                large[length] -= k * same
+                if not large[length]:
+                    del large[length]
+                    stock.remove(length)
+            bins.add(tuple(length for length, k in take.items() for _ in range(k)), same)
             times -= same
-    return pools
+            made += same
+    return made
 
 
 def place_table(kinds: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +249,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, joine
     return runtime.stored(runtime.docs_of(docs).mapInArrow(cut, schema), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, joined: bool = False, groups: int = GROUPS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, joined: bool = False, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """Every piece of every document with its place: sequence_id and offset.
 
     A document is its ids and the end id; one longer than capacity is cut into pieces of that length, the last may be
