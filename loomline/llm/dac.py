@@ -6,7 +6,8 @@ bitmap that says which of them go on to level k + 1; a rank directory over the b
 over the histogram of bit lengths). Nothing is coded in blocks, so an id is read by one chunk per level.
 
 A segment, little-endian: header; n_docs rows (doc_id int64, first id uint64, 1 if doc_id is NULL uint8) as three
-arrays; for each level chunks, bitmap and directory, each padded with 8 zero bytes; crc32 of all that.
+arrays; for each level chunks, bitmap and directory, each padded with 8 zero bytes; crc32 of all that. A file holds
+segments, a byte after each, and last their directory: the places where they begin as uint64, their number, a mark.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import numpy as np
 MAGIC = b"LLDAC001"
 _HEAD = struct.Struct("<8sIIQQI")  # magic, part, sequence in the part, documents, ids, levels
 _LEVEL = struct.Struct("<BQ")  # chunk width, ids at this level
+_TAIL = struct.Struct("<Q8s")  # segments in the file, mark
+_TAIL_MAGIC = b"LLDIR001"
 _BLOCK = 512
 _PAD = b"\0" * 8
 
@@ -90,6 +93,21 @@ def encode(part: int, sequence: int, doc_ids: list[int | None], starts: list[int
     return out + struct.pack("<I", zlib.crc32(out))
 
 
+def directory(sizes: list[int]) -> bytes:
+    """The end of a file of segments of these sizes, with what stands between them."""
+    return np.cumsum([0, *sizes[:-1]]).astype("<u8").tobytes() + _TAIL.pack(len(sizes), _TAIL_MAGIC)
+
+
+def places(data) -> list[int]:
+    """Where the segments of a file begin, by its directory; one more byte, a line end, may follow that."""
+    view = memoryview(data)
+    for end in (len(view) - 1, len(view)):
+        if end >= _TAIL.size and view[end - 8 : end] == _TAIL_MAGIC:
+            count, _ = _TAIL.unpack_from(view, end - _TAIL.size)
+            return np.frombuffer(view, "<u8", count, end - _TAIL.size - 8 * count).tolist()
+    raise ValueError("not a file of segments of token ids")
+
+
 class Segment:
     """A segment over a buffer, which may be a memory map: get reads the bytes of one id only."""
 

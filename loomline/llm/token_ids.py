@@ -1,8 +1,8 @@
 """Token-id output (op1): whole texts as token ids in files of directly addressable codes, and back.
 
 Documents go to ordered ranges of doc_id by one shuffle of their text, each range is tokenised and written as
-segments of bounded size through Spark's own writer (one segment a file, on any file system that Spark can write), and
-the files are read again as binary files. Places of first ids come from sums over segments, never over documents.
+segments of bounded size through Spark's own writer (several segments and their directory a file, on any file system
+that Spark can write), and the files are read again as binary files. Places of first ids come from sums over segments, never over documents.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from .tokenizer import encoder_of
 
 END_ID = 2
 #: Ids in a segment, beyond which a new one begins; a longer document has one of its own.
-SEGMENT_IDS = 4_000_000
+SEGMENT_IDS = 2_000_000
+#: Segments in a file, which ends with a directory of where they begin; so many megabytes are read at once.
+FILE_SEGMENTS = 16
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, joined: bool = True) -> None:
@@ -34,7 +36,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     spark = docs.sparkSession
     runtime.prepare(spark)
     rows = runtime.docs_of(docs)
-    n = runtime.partitions(spark)
+    n = max(runtime.partitions(spark), rows.rdd.getNumPartitions())  # ranges grow with the input
     bounds = runtime.order_bounds(rows, "doc_id", n)
     ranged = rows.repartitionById(max(1, len(bounds)), runtime.bucket_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
@@ -47,15 +49,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         starts: list[int] = []
         count = 0
 
-        def close() -> pa.RecordBatch:
+        sizes: list[int] = []
+
+        def close(last: bool = False) -> Iterator[pa.RecordBatch]:
             payload = dac.encode(part, sequence, names, starts, np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_pydict({"payload": pa.array([payload], pa.binary())})
+            sizes.append(len(payload) + 1)
+            yield pa.RecordBatch.from_pydict({"payload": pa.array([payload], pa.binary())})
+            if last or len(sizes) == FILE_SEGMENTS:
+                yield pa.RecordBatch.from_pydict({"payload": pa.array([dac.directory(sizes)], pa.binary())})
+                sizes.clear()
 
         for batch in batches:
             ids_of = encoder.encode(batch.column(1).to_pylist())
             for name, ids in zip(batch.column(0).to_pylist(), ids_of, strict=True):
                 if names and count + len(ids) // 4 + 1 > segment_ids:
-                    yield close()
+                    yield from close()
                     sequence += 1
                     held, names, starts, count = [], [], [], 0
                 names.append(name)
@@ -63,11 +71,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 held += [ids, end]
                 count += len(ids) // 4 + 1
         if names:
-            yield close()
+            yield from close(last=True)
 
     payloads = ranged.mapInArrow(segments, "payload binary")
     # The text writer puts a value's bytes as they are; the line end becomes one byte after the segment.
-    payloads.select(F.col("payload").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    payloads.select(F.col("payload").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_SEGMENTS + 1).option("lineSep", "\n").text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -78,24 +86,22 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 data = content.as_buffer()
-                if not data.size:
-                    continue
-                segment = dac.Segment(data, verify=True)
-                ids = segment.all().astype("<u4")
-                raw = memoryview(ids.tobytes())
-                ends = [*segment.starts[1:].tolist(), segment.n_ids]
-                starts = segment.starts.tolist()
-                n = segment.n_docs
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array([segment.part] * n, pa.int64()),
-                        "segment": pa.array([segment.sequence] * n, pa.int64()),
-                        "doc_id": pa.array(segment.doc_ids, pa.int64()),
-                        "local_start": pa.array(starts, pa.int64()),
-                        "n_tokens": pa.array([e - s for s, e in zip(starts, ends, strict=True)], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts, ends, strict=True)], pa.int64()),
-                    }
-                )
+                for first in dac.places(data) if data.size else ():
+                    segment = dac.Segment(memoryview(data)[first:], verify=True)
+                    raw = memoryview(segment.all().astype("<u4").tobytes())
+                    starts = segment.starts.tolist()
+                    ends = [*starts[1:], segment.n_ids]
+                    n = segment.n_docs
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "part": pa.array([segment.part] * n, pa.int64()),
+                            "segment": pa.array([segment.sequence] * n, pa.int64()),
+                            "doc_id": pa.array(segment.doc_ids, pa.int64()),
+                            "local_start": pa.array(starts, pa.int64()),
+                            "n_tokens": pa.array([e - s for s, e in zip(starts, ends, strict=True)], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts, ends, strict=True)], pa.int64()),
+                        }
+                    )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     rows = runtime.stored(files.mapInArrow(decode, schema), "token-rows")
