@@ -1,106 +1,144 @@
-"""Whole texts to token ids with a tokenizer of the tokenizers library, through ids kept for pieces seen lately.
+"""Whole texts to token ids with a tokenizer of the tokenizers library, through ids kept for the parts of words seen lately.
 
-Both pre-tokenizers cut a text before a space that has no white space beside it (byte-level BPE takes that space into
-the next piece; BPE with word ends drops it), so a text's ids are those of its pieces between such spaces, joined.
+A text is cut into the pre-tokenizer's own parts (letters, digits, other signs, contractions, white space); only parts
+that are not kept reach the library, many in one call and without the steps that change nothing in them. That holds for
+ASCII, common punctuation and Latin letters without combining marks, where cutting and lowering are certain. A text
+with any other sign is first cut before each space that has no white space beside it (byte-level BPE takes that space
+into the next piece; BPE with word ends drops it), and its pieces with other signs are encoded by the library as they
+are; so is a text with the string of a special token, which means what it means to the library.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 
-_KEEP = 550_000
-_LONG = 64
-_TWO_SPACES = re.compile(r"\s\s")
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+#: Parts that are kept; of them, when there are more, those seen first, which are the frequent ones; signs of one that is not kept.
+_KEEP, _STAY, _LONG = 600_000, 150_000, 64
+#: Signs cut at once: a longer text is cut between words, a call takes so many signs together.
+_CHUNK = 1 << 19
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
+_NUMBERS = "0-9²³¹¼-¾"
+_PLAIN = re.compile(r"[\n\x20-\x7e\xa1-įı-ſ\u2010-\u2027\u2030-\u205e€]*")  # without U+0130, which lowers to two signs
+_CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
+_JOINED_PARTS = re.compile(rf"{_CONTRACTED}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+_WORD_PARTS = re.compile(rf"{_CONTRACTED}|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_WORD_END = "</w>"
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_OTHER = "\0"  # begins what is kept of a piece with other signs
+_encoders: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def encoder_of(path: str, joined: bool) -> PieceEncoder:
+def encoder_of(path: str, joined: bool) -> TextEncoder:
     """The process's encoder: a Python worker serves many tasks, which share the tokenizer and what it has kept."""
     if (path, joined) not in _encoders:
-        _encoders[path, joined] = PieceEncoder(path, joined)
+        _encoders[path, joined] = TextEncoder(path, joined)
     return _encoders[path, joined]
 
 
-class PieceEncoder:
-    """joined: the space before a piece is part of it (byte-level BPE). False: spaces are dropped (BPE with word ends)."""
+def _byte_signs() -> dict[str, str]:
+    """The sign that byte-level models have for each byte (as a latin-1 sign): itself if it is printable, else the next from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = itertools.count(256)
+    return {chr(b): chr(b if b in printable else next(others)) for b in range(256)}
+
+
+class TextEncoder:
+    """joined: the space before a word is part of it (byte-level BPE). False: spaces are dropped and letters lowered (BPE with word ends)."""
 
     def __init__(self, path: str, joined: bool) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._joined = joined
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        # The same model for parts alone, one a line, whose bytes already have the signs that the model has for them:
+        # nothing to normalise or to cut in them.
+        self._lines = Tokenizer.from_file(path)
+        self._lines.normalizer = None
+        self._lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self._signs = str.maketrans(_byte_signs() | {"\n": "\n"})
         vocabulary = self._tokenizer.get_vocab()
-        if joined:  # the ids that begin with a space begin a piece
-            self._begins = np.zeros(max(vocabulary.values()) + 1, bool)
-            self._begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        else:  # a sign that stands alone between two pieces
-            (self._sign,) = self._tokenizer.encode("~", add_special_tokens=False).ids
+        self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of a token; its string has one sign a byte
+        for token, i in vocabulary.items():
+            self._bytes[i] = len(token) - (0 if joined else len(_WORD_END) * token.endswith(_WORD_END))
+        self._known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The pieces as one text, cut again where a piece begins; piece by piece if that doesn't give as many."""
-        lead = " " if self._joined else ""
-        text = " " + " ".join(pieces) if self._joined else " ~ ".join(pieces)
-        ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        if self._joined:
-            cuts = np.flatnonzero(self._begins[ids])
-            starts, ends = cuts, np.append(cuts[1:], len(ids))
-        else:
-            cuts = np.flatnonzero(ids == self._sign)
-            starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-        if len(starts) != len(pieces):
-            return self._encode([lead + p for p in pieces])
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The parts as lines of one text, cut again by the bytes of its tokens; part by part if that doesn't give the parts."""
+        if not parts:
+            return []
+        lines = "\n".join(parts).encode().decode("latin-1").translate(self._signs)
+        ids = np.array(self._lines.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(list(map(len, lines.split("\n"))))
+        behind = np.cumsum(self._bytes[ids])
+        cuts = np.searchsorted(behind, ends)
+        if not len(ids) or cuts[-1] != len(ids) - 1 or not np.array_equal(behind[cuts], ends):
+            return self._encode(parts)
         raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Takes up pieces; those too long to be kept are returned."""
-        lead = " " if self._joined else ""
-        odd = [p for p in missing if not p or len(p) > _LONG or "~" in p]
-        extra = dict(zip(odd, self._encode([lead + p for p in odd]), strict=True))
-        if self._joined:  # a text with white space beside such a space is encoded as a whole
-            loose = {p for p in missing if not p or p[0].isspace() or p[-1].isspace() or _TWO_SPACES.search(p)}
-            missing = missing.difference(loose)
-            extra = {p: ids for p, ids in extra.items() if p not in loose}
-        new = list(missing.difference(extra))
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            self._known.update(zip(part, self._encode_pieces(part), strict=True))
-        return extra
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(cuts[:-1] + 1).tolist()], (cuts + 1).tolist(), strict=True)]
+
+    def _cut(self, text: str) -> list[str]:
+        """A text as parts, and as pieces marked _OTHER where there are other signs."""
+        if _PLAIN.fullmatch(text):
+            return _JOINED_PARTS.findall(text) if self._joined else _WORD_PARTS.findall(text.lower())
+        pieces = text.split(" ")
+        if not self._joined:
+            return [part for piece in pieces for part in (_WORD_PARTS.findall(piece.lower()) if _PLAIN.fullmatch(piece) else [_OTHER + piece])]
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in pieces):
+            return [_OTHER + text]
+        pieces[1:] = [" " + p for p in pieces[1:]]
+        return [part for piece in pieces for part in (_JOINED_PARTS.findall(piece) if _PLAIN.fullmatch(piece) else [_OTHER + piece])]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        known = self._known
+        if len(known) > _KEEP:
+            known = self._known = dict(itertools.islice(known.items(), _STAY))
+        cut = list(map(self._cut, texts))
+        new = set(itertools.filterfalse(known.__contains__, itertools.chain.from_iterable(cut)))
+        lone = [p for p in new if len(p) > _LONG or p[0] == _OTHER or p.isspace()]
+        alone = dict(zip(lone, self._encode([p.removeprefix(_OTHER) for p in lone]), strict=True))
+        order = list(new.difference(lone))
+        for i in range(0, len(order), 512):
+            some = order[i : i + 512]
+            known.update(zip(some, self._encode_parts(some), strict=True))
+        known.update((p, ids) for p, ids in alone.items() if len(p) <= _LONG)
+        if any(len(p) > _LONG for p in lone):
+            return [b"".join([alone[p] if p in alone else known[p] for p in parts]) for parts in cut]
+        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+
+    def _chunks(self, text: str) -> list[str]:
+        """The text, cut between words if it is long."""
+        out = []
+        while len(text) > _CHUNK and (between := _BETWEEN.search(text, _CHUNK)):
+            out.append(text[: between.start()])
+            text = text[between.start() :]
+        return [*out, text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [text.split(" ") for text in texts]
-        missing: set[str] = set()
-        for pieces in split:
-            missing.update(pieces)
-        if len(self._known) > _KEEP:  # two generations: what is still used comes back from the older one
-            self._known, self._older = {}, self._known
-        missing = missing.difference(self._known)
-        back = {p: self._older[p] for p in missing if p in self._older}
-        self._known.update(back)
-        extra = self._learn(missing.difference(back))
-        known = self._known
-        lookup = {**{p: known[p] for pieces in split for p in pieces if p in known}, **extra}.__getitem__ if extra else known.__getitem__
-        # The first piece has no space before it: with byte-level BPE it is another one.
-        firsts = self._encode([pieces[0] for pieces in split]) if self._joined else [b""] * len(texts)
-        out, whole = [], []
-        for k, (first, pieces) in enumerate(zip(firsts, split, strict=True)):
-            try:
-                if self._joined and (pieces[0][-1:].isspace() or _TWO_SPACES.search(pieces[0])):
-                    raise KeyError
-                out.append(first + b"".join(map(lookup, pieces[1:] if self._joined else pieces)))
-            except KeyError:
-                out.append(b"")
-                whole.append(k)
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        places: list[int] = []
+        held: list[str] = []
+        signs = 0
+        for k, text in enumerate(texts):
+            if any(s in text for s in self._special):
+                out[k] = self._encode([text])
+                continue
+            for chunk in self._chunks(text):
+                if signs and signs + len(chunk) > _CHUNK:
+                    for place, ids in zip(places, self._ids(held), strict=True):
+                        out[place].append(ids)
+                    places, held, signs = [], [], 0
+                places.append(k)
+                held.append(chunk)
+                signs += len(chunk)
+        for place, ids in zip(places, self._ids(held), strict=True):
+            out[place].append(ids)
+        return [b"".join(ids) for ids in out]

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loomline.llm import dac, runtime, token_ids
-from loomline.llm.tokenizer import PieceEncoder
+from loomline.llm.tokenizer import TextEncoder
 
 from tests.llm.conftest import ROWS
 
@@ -41,21 +41,33 @@ def test_damage_is_seen():
 
 
 @pytest.mark.parametrize(("name", "joined"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-@settings(max_examples=40, deadline=None)
-@given(texts=st.lists(st.text(alphabet=st.sampled_from(list("ab'sZ1 \n\t~é字\u00a0\u0301<|.")), max_size=40), max_size=8))
-def test_pieces_are_the_tokenizer(name, joined, texts):
-    plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
-    encoder = _encoders.setdefault(name, PieceEncoder(public_tokenizers.path(name), joined))
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from([*"ab'sZΣ1² \n\t~éßºÇ×ſŉ–…字İ\u00a0\u0301<|._", "<|endoftext|>", "  ", "word"]), max_size=40).map("".join), max_size=8))
+def test_parts_are_the_tokenizer(name, joined, texts):
+    if name not in _encoders:
+        path = public_tokenizers.path(name)
+        _encoders[name] = TextEncoder(path, joined), Tokenizer.from_file(path)
+    encoder, plain = _encoders[name]
     assert encoder.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize(("name", "joined"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_long_texts_are_cut_between_words(monkeypatch, name, joined):
+    from loomline.llm import tokenizer
+
+    monkeypatch.setattr(tokenizer, "_CHUNK", 50)
+    monkeypatch.setattr(tokenizer, "_KEEP", 40)
+    monkeypatch.setattr(tokenizer, "_STAY", 10)
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = [" ".join(f"Wörd{i % 37}{' ' * (i % 11 == 0)}\n{i}, it's" for i in range(600)), "字 " * 200, "", "x" * 300]
+    assert TextEncoder(public_tokenizers.path(name), joined).encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 _encoders: dict = {}
 
 
 def expected(rows):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     out, start = [], 0
     for doc, text in sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
@@ -70,6 +82,12 @@ def test_documents_come_back(odd, segment_ids):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == expected(ROWS)
 
 
+def test_many_segments_a_file(odd, monkeypatch):
+    monkeypatch.setattr(token_ids, "FILE_SEGMENTS", 2)
+    got = token_ids.token_ids(odd.coalesce(1), PATH, segment_ids=8).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == expected(ROWS)
+
+
 def test_files_give_random_access(spark, odd):
     path = runtime.scratch_path(spark, "t")
     token_ids.write_token_files(odd, path, PATH)
@@ -77,7 +95,8 @@ def test_files_give_random_access(spark, odd):
     assert len(rows) == 1
     import glob
 
-    segments = [dac.Segment(open(f, "rb").read()) for f in glob.glob(f"{runtime.local_path(path)}/part-*")]
+    files = [open(f, "rb").read() for f in glob.glob(f"{runtime.local_path(path)}/part-*")]
+    segments = [dac.Segment(memoryview(f)[at:]) for f in files if f for at in dac.places(f)]
     segment = next(s for s in segments if (s.part, s.sequence) == (rows[0].part, rows[0].segment))
     ids = [segment.get(rows[0].local_start + i) for i in range(rows[0].n_tokens)]
     assert Tokenizer.from_file(PATH).decode(ids[:-1]) == ROWS[0][1] and ids[-1] == 2
