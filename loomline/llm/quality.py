@@ -1,11 +1,12 @@
 """Quality by compression (op4): zstandard dictionaries of good and of bad labelled text.
 
-A text is compressed in blocks with either dictionary; the normalised difference of the two sizes says which of them
-knows the text better. A logistic function of that difference, of the better size per byte and of the text's length
-(what a difference means depends on both: a repeated word is small under either) calibrates it to P(label 1).
+A text is compressed in blocks with either dictionary; the normalised difference of the two sizes (by the smaller one
+and by the bytes of the text) says which of them knows the text better, and a logistic function calibrates it to
+P(label 1).
 
-The classifier is fitted on a bounded sample of labelled rows (SAMPLE_PER_LABEL, two thirds of them for the
-dictionaries and one third for the calibration); every whole text is scored.
+The classifier is fitted on a bounded sample of labelled rows (SAMPLE_PER_LABEL rows of either label, two thirds of them
+for the dictionaries and one third for the calibration, and of the former as many, in a hash order, as SAMPLE_BYTES
+hold), whose texts are taken whole, in blocks; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import labels as labelled
 from . import runtime
@@ -27,8 +29,10 @@ MOD, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 #: Labelled rows of either label that the fit reads.
 SAMPLE_PER_LABEL = 3000
-#: Bytes of a dictionary; characters of a sampled row that go into one, at a hashed place; bytes compressed at once.
-DICTIONARY_BYTES, WINDOW_CHARS, BLOCK = 112_640, 4096, 2048
+#: Bytes of sampled rows of a label that train its dictionary: rows beyond them are left out, never cut.
+SAMPLE_BYTES = 12_000_000
+#: Bytes of a dictionary; bytes compressed at once.
+DICTIONARY_BYTES, BLOCK = 112_640, 2048
 LEVEL = 3
 
 
@@ -76,7 +80,7 @@ class Model:
     def features(sizes: np.ndarray) -> np.ndarray:
         n, g, b = np.maximum(sizes, 1).astype(float).T
         least = np.minimum(g, b)
-        return np.stack([(b - g) / least, (b - g) / n, least / n, np.log(n)], axis=1)
+        return np.stack([(b - g) / least, (b - g) / n], axis=1)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and scores; an empty text has the base rate as its score."""
@@ -86,7 +90,11 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int = MOD, held_out: int = HELD_OUT, per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """Dictionaries and calibration from labelled rows outside the held-out fold."""
+    """Dictionaries and calibration from labelled rows outside the held-out fold.
+
+    NULL and empty texts and NULL ids teach nothing; rows that repeat a labelled doc_id are read each. Without rows of a
+    label its dictionary is empty, without any the score is 0.5.
+    """
     spark = docs.sparkSession
     runtime.prepare(spark)
     rows = labelled.usable(labels, column, mod, held_out)
@@ -94,12 +102,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int =
     sample = chosen[0].unionByName(chosen[1])  # at most 2 * per_label rows
     texts = runtime.docs_of(docs).join(F.broadcast(sample), "doc_id")
     texts = texts.withColumn("use", (F.abs(F.xxhash64("doc_id", F.lit(44))) % 3 < 2).cast("int"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(45)), F.greatest(F.lit(1), F.length("text") - WINDOW_CHARS + 1)).cast("int") + 1
-    window = F.when(F.col("use") == 1, F.substring(F.col("text"), place, F.lit(WINDOW_CHARS)))
-    rest = F.when(F.col("use") == 0, F.col("text"))
-    taken = runtime.stored(texts.select("doc_id", "label", window.alias("window"), rest.alias("rest")), "quality-sample")
-    windows = taken.where(F.col("window") != "").select("label", "window", "doc_id").orderBy("label", "doc_id").collect()
-    dictionaries = [build_dictionary([r[1].encode("utf-8", "surrogatepass") for r in windows if r[0] == k]) for k in (0, 1)]
+    # Rows for the dictionaries: whole texts in a hash order, as long as all before them fit in the bytes.
+    size = F.octet_length("text").cast("long")
+    before = Window.partitionBy("label", "use").orderBy(F.xxhash64("doc_id", F.lit(45)), "doc_id", "text")  # at most 2 * per_label rows
+    slim = texts.where(F.col("text") != "").withColumn("through", F.sum(size).over(before))
+    taken = runtime.stored(slim.where((F.col("use") == 0) | (F.col("through") <= SAMPLE_BYTES)).select("doc_id", "label", "use", "text"), "quality-sample")
+    rows = taken.where("use = 1").select("label", "text", "doc_id").orderBy("label", "doc_id", "text").collect()
+    dictionaries = [build_dictionary([raw[i : i + BLOCK] for r in rows if r[0] == k for raw in [r[1].encode("utf-8", "surrogatepass")] for i in range(0, len(raw), BLOCK)]) for k in (0, 1)]
     model = Model(dictionaries[1], dictionaries[0])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int =
             sizes = np.array([model.sizes(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sizes.T)], ["label", "n", "g", "b"])
 
-    measured = taken.where(F.col("rest") != "").select("label", "rest").mapInArrow(measure, "label int, n long, g long, b long").orderBy("label", "n", "g", "b").collect()
+    measured = taken.where("use = 0").select("label", "text").mapInArrow(measure, "label int, n long, g long, b long").orderBy("label", "n", "g", "b").collect()
     values = np.array([tuple(r) for r in measured], np.int64).reshape(-1, 4)
     model.calibration = Logistic(Model.features(values[:, 1:]), values[:, 0])
     return model
@@ -127,7 +136,7 @@ def score(docs: DataFrame, model: Model, mod: int = MOD, held_out: int = HELD_OU
 
 
 def keep_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows, all columns, whose text scores at least `least`."""
+    """The rows, all columns, whose text scores at least `least`. A NULL text is empty: the base rate is its score. Equal texts go or stay together."""
     runtime.prepare(docs.sparkSession)
 
     @F.pandas_udf("double")

@@ -18,7 +18,7 @@ import numpy as np
 #: Parts that are kept; of them, when there are more, those seen first, which are the frequent ones; signs of one that is not kept.
 _KEEP, _STAY, _LONG = 600_000, 150_000, 64
 #: Signs cut at once: a longer text is cut between words, a call takes so many signs together.
-_CHUNK = 1 << 19
+_CHUNK = 1 << 21
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
 _PLAIN = re.compile(r"[\n\x20-\x7e\xa1-įı-ſ\u2010-\u2027\u2030-\u205e€]*")  # without U+0130, which lowers to two signs
@@ -101,17 +101,20 @@ class TextEncoder:
         if len(known) > _KEEP:
             known = self._known = dict(itertools.islice(known.items(), _STAY))
         cut = list(map(self._cut, texts))
-        new = set(itertools.filterfalse(known.__contains__, itertools.chain.from_iterable(cut)))
+        wanted: set[str] = set().union(*cut)
+        new = wanted.difference(known)
         lone = [p for p in new if len(p) > _LONG or p[0] == _OTHER or p.isspace()]
         alone = dict(zip(lone, self._encode([p.removeprefix(_OTHER) for p in lone]), strict=True))
-        order = list(new.difference(lone))
+        new.difference_update(lone)
+        wanted.difference_update(lone)
+        order = list(new)
         for i in range(0, len(order), 512):
             some = order[i : i + 512]
             known.update(zip(some, self._encode_parts(some), strict=True))
         known.update((p, ids) for p, ids in alone.items() if len(p) <= _LONG)
-        if any(len(p) > _LONG for p in lone):
-            return [b"".join([alone[p] if p in alone else known[p] for p in parts]) for parts in cut]
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        # Each word of these texts is looked up once among all that are kept, then in a table that fits in a cache.
+        near = dict(zip(wanted, map(known.__getitem__, wanted), strict=True)) | alone
+        return [b"".join(map(near.__getitem__, parts)) for parts in cut]
 
     def _chunks(self, text: str) -> list[str]:
         """The text, cut between words if it is long."""

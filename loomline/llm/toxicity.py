@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples (op2): exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and word beginnings of 4 to 6 letters (for endings vary). From a bounded sample of labelled rows
-(MAX_EXAMPLES) come the terms whose presence depends on the label (chi-square) and the examples; inverse document
-frequencies of these terms are counted over all documents. The index keeps, for each term, its examples by block of 64
-with the largest weight in each block; a query first scores the blocks of the highest upper bounds, then those whose
-bound still reaches the k-th best similarity found, and no others, so the k nearest are exact. Votes weigh by distance, shrink to the rate among
+(MAX_EXAMPLES) come the examples and all terms whose presence depends on the label (chi-square); inverse document
+frequencies of these terms are counted over all documents. The index keeps postings by term and block of 64 examples,
+with the largest weight in each; a query first reads the blocks of the highest upper bounds, then those whose bound
+still reaches the k-th best similarity found, and no others, so the k nearest in the space of those terms are exact. Votes weigh by distance, shrink to the rate among
 texts without any such term, and are calibrated on the examples, each without itself. The nearest are the evidence.
 """
 
@@ -26,8 +26,9 @@ from .calibrate import Logistic
 
 MOD, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: Labelled rows that the fit reads; terms that it keeps; nearest examples that vote.
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS = 12_000, 4096, 15
+#: Labelled rows that the fit reads; nearest examples that vote.
+MAX_EXAMPLES, NEIGHBOURS = 12_000, 15
+#: A term counts if so many examples have it and its chi-square is so high: a rule, whatever the number of terms.
 LEAST_COUNT, LEAST_CHI2 = 3, 20.0
 BLOCK = 64
 _WORD = re.compile(r"[^\W_]+")
@@ -56,16 +57,16 @@ class BlockMaxIndex:
         order = np.lexsort((example, term))
         self.example, self.weight, term = example[order], weight[order], term[order]
         self.bound = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.bound, (term, self.example // BLOCK), self.weight)
-        self.start = np.searchsorted(term, np.arange(n_terms + 1))
+        cell = term * self.blocks + self.example // BLOCK
+        np.maximum.at(self.bound.reshape(-1), cell, self.weight)
+        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))  # of each term's postings in each block
 
     def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Exact similarities of the examples in the marked blocks, 0 elsewhere."""
-        spans = [np.arange(self.start[t], self.start[t + 1]) for t in terms]
-        at = np.concatenate(spans)
-        share = np.repeat(weights, [len(s) for s in spans])
-        keep = blocks[self.example[at] // BLOCK]
-        at, share = at[keep], share[keep]
+        """Exact similarities of the examples in the given blocks, 0 elsewhere; only their postings are read."""
+        cell = (terms[:, None] * self.blocks + blocks).reshape(-1)
+        first, n = self.start[cell], self.start[cell + 1] - self.start[cell]
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        share = np.repeat(np.repeat(weights, len(blocks)), n)
         return np.bincount(self.example[at], share * self.weight[at], minlength=self.n)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +76,14 @@ class BlockMaxIndex:
         first = order[: max(4, 2 * k // BLOCK + 1)]
         done = np.zeros(self.blocks, bool)
         done[first] = True
-        scores = self._scores(terms, weights, done)
+        scores = self._scores(terms, weights, first)
         if without >= 0:
             scores[without] = 0
         positive = scores[scores > 0]
         least = np.partition(positive, -k)[-k] if len(positive) >= k else 0.0
         more = (bound > 0) & (bound >= least - 1e-12) & ~done
         if more.any():  # only blocks that can hold one of the k nearest
-            scores += self._scores(terms, weights, more)
+            scores += self._scores(terms, weights, np.flatnonzero(more))
             if without >= 0:
                 scores[without] = 0
         hit = np.flatnonzero(scores > 0)
@@ -142,7 +143,7 @@ class Model:
                 self._seen.clear()
             share, near = self.vote(*_unit(found, self.idf))
             value = float(self.calibration(_odds(np.array([share])))[0]) if self.calibration else share
-            self._seen[key] = (value, near[:3])
+            self._seen[key] = (value, near)
         return self._seen[key]
 
 
@@ -158,8 +159,12 @@ def _odds(share: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))[:, None]
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MOD, held_out: int = HELD_OUT, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> Model:
-    """Terms, examples and calibration from labelled rows outside the held-out fold; document frequencies from all documents."""
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MOD, held_out: int = HELD_OUT, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
+    """Terms, examples and calibration from labelled rows outside the held-out fold; document frequencies from all documents.
+
+    NULL texts are empty; NULL doc_ids have no label. Rows that repeat a text are one example, which stands for none if
+    their labels differ; all rows count for document frequencies. Without examples the score is that of an empty text.
+    """
     spark = docs.sparkSession
     runtime.prepare(spark)
     texts = runtime.docs_of(docs)
@@ -185,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MO
     spread = m * (n - m) * float(ones) * float(n - ones)
     chi2 = F.pow(a * float(n) - m * float(ones), 2) * float(n) / F.nullif(spread, F.lit(0.0))
     kept = by_term.where(m >= LEAST_COUNT).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    vocabulary = {r[0]: i for i, r in enumerate(sorted(kept.orderBy(F.desc("chi2"), "term").limit(max_terms).select("term").collect()))}
+    vocabulary = {r[0]: i for i, r in enumerate(sorted(kept.select("term").collect()))}
     model = Model(vocabulary, np.ones(len(vocabulary)), [], np.empty(0), BlockMaxIndex([], len(vocabulary)), 0.0, k=k)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +226,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MO
 
 
 def score(docs: DataFrame, model: Model, mod: int = MOD, held_out: int = HELD_OUT, threshold: float = THRESHOLD) -> DataFrame:
-    """Every whole text's score with its three nearest examples. A NULL text is empty: the score of a text without terms."""
+    """Every whole text's score with the nearest examples that voted (doc_id:similarity:label).
+
+    A NULL text is empty: the score of a text without terms. NULL and repeated doc_ids are rows like any other.
+    """
     spark = docs.sparkSession
     runtime.prepare(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_TERMS
+    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +245,7 @@ def score(docs: DataFrame, model: Model, mod: int = MOD, held_out: int = HELD_OU
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, all columns, whose text scores below the threshold."""
+    """The rows, all columns, whose text scores below the threshold. A NULL text is empty, and so clean. Equal texts go or stay together."""
     spark = docs.sparkSession
     runtime.prepare(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -74,6 +74,41 @@ def test_block_max_search_is_exact():
         assert np.allclose(sims, np.sort(want)[::-1][:10]) and np.allclose(want[near], sims)
 
 
+def test_votes_equal_brute_force(labelled):
+    """Cosines of every document with every example by their definition, over the documents' own frequencies."""
+    docs, labels, truth = labelled
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    terms = {i: {t: n for t, n in toxicity.terms_of(t).items() if t in model.vocabulary} for i, t in texts.items()}
+    df = {t: sum(t in c for c in terms.values()) for t in model.vocabulary}
+
+    def unit(counts):
+        w = {t: (1 + np.log(n)) * (np.log((len(texts) + 1) / (df[t] + 1)) + 1) for t, n in counts.items()}
+        norm = np.sqrt(sum(v * v for v in w.values()))
+        return {t: v / norm for t, v in w.items()}
+
+    vectors = {i: unit(c) for i, c in terms.items()}
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert any(terms.values())
+    for i, v in vectors.items():
+        sims = sorted(((round(sum(w * vectors[j].get(t, 0) for t, w in v.items()), 12), -k) for k, j in enumerate(model.ids)), reverse=True)
+        sims = [(s, model.ids[-k]) for s, k in sims if s > 0][: toxicity.NEIGHBOURS]
+        pull = np.array([1 / (1.05 - min(s, 1)) for s, _ in sims])
+        share = (pull @ np.array([truth[j][2] for _, j in sims], float) + model.rate) / (pull.sum() + 1) if sims else model.rate
+        assert abs(got[i].score - float(model.calibration(toxicity._odds(np.array([share])))[0])) < 1e-6
+        assert len([e for e in got[i].evidence.split("; ") if e]) == len(sims)
+
+
+def test_ties_and_clashing_columns(spark, labelled):
+    """Rows of equal similarity: the earlier example; columns of other names don't matter."""
+    docs, labels, _ = labelled
+    model = toxicity.fit(docs, labels)
+    twice = docs.unionByName(docs).selectExpr("*", "1 AS score", "2 AS label", "3 AS Toxic_Score")
+    a, b = (sorted(map(tuple, toxicity.score(d, model).distinct().collect())) for d in (docs, twice))
+    assert a == b and toxicity.score(twice, model).count() == 2 * docs.count()
+    assert len(quality.score(twice, quality.fit(twice, labels.withColumn("text", labels.quality)), ).collect()) == 2 * docs.count()
+
+
 def test_logistic_with_one_label():
     assert 0.9 < Logistic(np.zeros((20, 1)), np.ones(20)).base() < 1
     assert Logistic(np.empty((0, 1)), np.empty(0)).base() == pytest.approx(0.5)
