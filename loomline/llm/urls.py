@@ -3,7 +3,8 @@
 Concatenated host names are split by the most likely sequence of words under a unigram model (Viterbi), whose counts
 come from all pages' visible text. Only the substrings of the distinct host parts are looked up in it, by a join, so
 the vocabulary is never sent around. A multinomial naive Bayes classifier over segmented host and path tokens learns
-from the pages themselves: a URL with one of the seed words counts as blocked, any other as allowed.
+from the pages that a rule fits, with the rule's verdict as label, and judges the pages that none fits; hosts and paths
+that rules name are no tokens of it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,10 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-# Rules as (host and path, verdict), and words of unwanted sites.
+# Rules as (host and path, verdict).
 RULES: list[tuple[str, str]] = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-SEEDS: list[str] = ["adult", "ads", "bet", "bets", "casino", "escort", "gambling", "lottery", "malware", "phishing", "pills", "poker", "porn", "scam", "sex", "spam", "tracker", "track", "viagra", "warez", "xxx"]
-LONGEST_WORD = 20
-#: Occurrences that a seed word has at least in the unigram model.
-SEED_COUNT = 50
+#: No label of a host name is longer, so a longer run of letters is one word.
+LONGEST_LABEL = 63
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,20 +61,20 @@ def path_tokens(path: Column) -> Column:
     return F.filter(F.split(plain, r"[^a-z0]+"), lambda p: p != "")
 
 
-def unigrams(pages: DataFrame, seeds: list[str]) -> DataFrame:
-    """word, n over the visible text of all pages; seed words have SEED_COUNT at least."""
+def unigrams(pages: DataFrame) -> DataFrame:
+    """word, n over the visible text of all pages."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(F.lower(text), r"[^a-z]+")).alias("word")).where((F.col("word") != "") & (F.length("word") <= LONGEST_WORD))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    known = pages.sparkSession.createDataFrame([(s, SEED_COUNT) for s in seeds], "word string, n long") if seeds else counts.limit(0)
-    return counts.unionByName(known).groupBy("word").agg(F.max("n").alias("n"))
+    words = pages.select(F.explode(F.split(F.lower(text), r"[^a-z]+")).alias("word")).where(F.col("word") != "")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_split(part: str, known: dict[str, float], unknown: float) -> list[str]:
     """The most likely words; an unknown one of k letters has the log probability unknown - k * log 10."""
+    if len(part) > LONGEST_LABEL:
+        return [part]
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(part) + 1):
-        best.append(max((best[start][0] + known.get(part[start:end], unknown - (end - start) * math.log(10)), start) for start in range(max(0, end - LONGEST_WORD), end)))
+        best.append(max((best[start][0] + known.get(part[start:end], unknown - (end - start) * math.log(10)), start) for start in range(end)))
     words, end = [], len(part)
     while end:
         start = best[end][1]
@@ -87,12 +86,13 @@ def best_split(part: str, known: dict[str, float], unknown: float) -> list[str]:
 def segmented(parts: DataFrame, counts: DataFrame) -> DataFrame:
     """part, words for each row of parts (part: distinct), by the unigram counts (word, n)."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    some = parts.where(F.length("part") <= LONGEST_LABEL)
     starts = F.sequence(F.lit(1), F.length("part"))
-    subs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("part") - i + 1)), lambda k: F.substring(F.col("part"), i, k))))
-    pieces = parts.select("part", F.explode(F.array_distinct(subs)).alias("word"))
+    subs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("part") - i + 1), lambda k: F.substring(F.col("part"), i, k))))
+    pieces = some.select("part", F.explode(F.array_distinct(subs)).alias("word"))
     used = pieces.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
     known = runtime.stored(used.join(counts, "word"), "known-substrings")
-    met = runtime.join_by_frequency(pieces, known, "word", "uses", max(1, parts.count() * LONGEST_WORD))
+    met = runtime.join_by_frequency(pieces, known, "word", "uses", max(1, parts.count() * LONGEST_LABEL))
     rows = parts.join(met.groupBy("part").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("counts")), "part", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,36 +117,53 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     return hosts.join(words, "host", "left").select("host", "n_pages", F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words"))
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str]] | None = None, seeds: list[str] | None = None) -> DataFrame:
+def beside_rules(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """Host and path without what rules can say: the longest host of a rule that it ends with, the longest path that it begins with.
+
+    For every page, whether a rule fits it or not, or else words of rules would tell labelled pages from the others.
+    """
+    host, path = F.col("host"), F.col("path")
+    for name in sorted({r.partition("/")[0] for r, _ in rules}, key=len):
+        ends = (F.col("host") == name) | F.endswith("host", F.lit("." + name))
+        host = F.when(ends, F.expr(f"left(host, length(host) - {len(name)})")).otherwise(host)
+    for begin in sorted({"/" + r.partition("/")[2] for r, _ in rules}, key=len):
+        path = F.when(F.startswith("path", F.lit(begin)), F.substring("path", len(begin) + 1, 1 << 30)).otherwise(path)
+    return host, path
+
+
+def url_filter(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block) and host_words for every row of pages.
 
-    A NULL or malformed url has an empty host and path and no tokens, so the prior decides. Without any blocked URL to
-    learn from all others are allowed. Repeated rows count as often as they occur.
+    A NULL or malformed url has an empty host and path and no tokens, so the prior decides. Even odds, and all odds where
+    no rule blocks or none allows any page, mean allow. Repeated rows count as often as they occur.
     """
-    rules, seeds = RULES if rules is None else rules, SEEDS if seeds is None else seeds
+    rules = RULES if rules is None else rules
     spark: SparkSession = pages.sparkSession
     runtime.prepare(spark)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = runtime.stored(rows.withColumn("row", F.monotonically_increasing_id()), "urls")
+    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    host, path = beside_rules(rules)
+    rows = runtime.stored(rows.select("*", host.alias("own"), path.alias("own_path")).withColumn("row", F.monotonically_increasing_id()), "urls")
     total = rows.count()
-    counts = runtime.stored(unigrams(pages, seeds), "unigrams")
-    hosts = runtime.stored(host_words(runtime.stored(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")), "hosts"), counts), "host-words")
-    joined = runtime.join_by_frequency(rows, hosts, "host", "n_pages", total)
-    tokens = F.concat(F.transform("host_words", lambda w: F.concat(F.lit("h:"), w)), F.transform(path_tokens(F.col("path")), lambda w: F.concat(F.lit("p:"), w)))
-    is_seed = F.lit(False)
-    if seeds:
-        words = F.concat("host_words", path_tokens(F.col("path")))
-        is_seed = F.arrays_overlap(words, F.array(*map(F.lit, seeds)))
-    urls = runtime.stored(joined.select("row", "page_id", "host", "path", "host_words", tokens.alias("tokens"), F.coalesce(is_seed, F.lit(False)).cast("int").alias("bad")), "url-tokens")
-    bad, n_bad_tokens, n_tokens = urls.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum(F.col("bad") * F.size("tokens")), F.lit(0)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    counts = runtime.stored(unigrams(pages), "unigrams")
+    names = rows.select("host").unionByName(rows.select(F.col("own").alias("host")))
+    hosts = runtime.stored(host_words(runtime.stored(names.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")), "hosts"), counts), "host-words")
+    joined = runtime.join_by_frequency(rows, hosts, "host", "n_pages", 2 * total)
+    own_words = hosts.select(F.col("host").alias("own"), F.col("host_words").alias("own_words"), "n_pages")
+    joined = runtime.join_by_frequency(joined.drop("n_pages"), own_words, "own", "n_pages", 2 * total)
+    tokens = F.concat(F.transform("own_words", lambda w: F.concat(F.lit("h:"), w)), F.transform(path_tokens(F.col("own_path")), lambda w: F.concat(F.lit("p:"), w)))
+    label = F.when(F.col("fit").isNotNull(), (F.col("fit.verdict") == "block").cast("int"))
+    urls = runtime.stored(joined.select("row", "page_id", "host", "path", "fit", "host_words", tokens.alias("tokens"), label.alias("bad")), "url-tokens")
+    size = F.size("tokens")
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("bad"), 1 - F.col("bad"), F.col("bad") * size, (1 - F.col("bad")) * size, size)]
+    bad, good, bad_tokens, good_tokens, n_tokens = urls.agg(*sums).first()
     each = urls.select("row", "bad", F.explode("tokens").alias("token"))
-    by_token = runtime.stored(each.groupBy("token").agg(F.sum("bad").alias("n_bad"), F.count(F.lit(1)).alias("n")), "url-token-counts")
-    kinds = by_token.count()
-    weight = F.log((F.col("n_bad") + 1.0) / (n_bad_tokens + kinds + 1.0)) - F.log((F.col("n") - F.col("n_bad") + 1.0) / (n_tokens - n_bad_tokens + kinds + 1.0))
+    by_token = runtime.stored(each.groupBy("token").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"), F.coalesce(F.sum(1 - F.col("bad")), F.lit(0)).alias("n_good"), F.count(F.lit(1)).alias("n")), "url-token-counts")
+    kinds = by_token.where("n_bad + n_good > 0").count()
+    weight = F.log((F.col("n_bad") + 1.0) / (bad_tokens + kinds + 1.0)) - F.log((F.col("n_good") + 1.0) / (good_tokens + kinds + 1.0))
     scored = runtime.join_by_frequency(each.select("row", "token"), by_token.select("token", "n", weight.alias("weight")), "token", "n", max(1, n_tokens))
-    sums = scored.groupBy("row").agg(F.sum("weight").alias("sum"))
-    prior = math.log((bad + 1) / (total - bad + 1))
-    out = urls.join(sums, "row", "left").withColumn("score", F.round(F.coalesce("sum", F.lit(0.0)) + prior, 9))
-    out = out.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    learned = F.when((F.col("score") > 0) & F.lit(bad > 0), "block").otherwise("allow")
+    odds = scored.groupBy("row").agg(F.sum("weight").alias("sum"))
+    prior = math.log((bad + 1) / (good + 1))
+    out = urls.join(odds, "row", "left").withColumn("score", F.round(F.coalesce("sum", F.lit(0.0)) + prior, 9))
+    learned = F.when((F.col("score") > 0) & F.lit(bad > 0 and good > 0), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), learned).alias("verdict"), "score", F.array_join("host_words", " ").alias("host_words"))
