@@ -3,8 +3,10 @@
 Notices (lines of a file, and runs of lines as long as a template), the comment at a file's head and whole files are
 compared with templates. A text reaches a cosine of t only if it has one of a template's rarest terms, those without
 which what is left of the template's vector is shorter than t (Cauchy-Schwarz); so only files with such a term are taken
-apart, and into runs only where all their terms together are enough for the template. Document frequencies are counted
-over all files. A file without a license of its own takes that of the nearest directory above it that has a license file.
+apart, and into runs only where all their terms together are enough for the template. Document frequencies of all terms
+are counted over all files. What is most similar decides, where a template of LONG_TEMPLATE terms counts a tenth more than a
+short one, for it says more; a text just as near to templates of two licenses is no evidence of either. A file without a license of its own takes that of
+the nearest directory above it that has a license file.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import runtime
 
 #: Least cosine of a line or run of lines to a notice, and of a whole file or its head to a notice or a license text.
 LEAST_LINE, LEAST_FILE = 0.75, 0.6
+LONG_TEMPLATE = 200
 # License notices and characteristic paragraphs of license texts, as their stewards publish them.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -76,6 +78,42 @@ LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON A
     ("CC-BY-NC-4.0", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License."),
     ("CC0-1.0", "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an owner) of an original work of authorship and/or a database (each, a Work)."),
 ]
+# Fixed values, continued: the notices of the GNU licenses, which differ by name and version; lines of identifiers; short texts.
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+See the {name} for more details.
+You should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_GNU_NAMES = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_GNU_IDS = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+TEMPLATES += [(i, _GNU.format(name=_GNU_NAMES[i.partition("-")[0]], version=i.partition("-")[2].removesuffix(".0"))) for i in _GNU_IDS]
+_SPDX = ["Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
+TEMPLATES += [(i, f"SPDX-License-Identifier: {i}") for i in _SPDX]
+TEMPLATES += [(i, f"SPDX-License-Identifier: {i}-{which}") for i in _GNU_IDS for which in ("only", "or-later")]
+TEMPLATES += [
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+]
 _GAP = r"[^a-z0-9]+"
 _LINE_END = r"\r\n|\r|\n"
 #: What a line of comment begins with, and a comment between marks, at the head of a file.
@@ -112,15 +150,17 @@ def needed_terms(vectors: list[dict[str, float]], least: float, idf: dict[str, f
     return out
 
 
-def _best_template(units: DataFrame, keys: list[str], vocabulary: DataFrame, unknown_idf: float, weights: DataFrame, least: float) -> DataFrame:
-    """keys, template, similarity of the nearest template of each unit (keys, words), where it is at least `least`."""
+def _best_template(units: DataFrame, keys: list[str], idf: DataFrame, weights: DataFrame, least: float) -> DataFrame:
+    """keys, template, similarity of the nearest template of each unit (keys, words), where it is at least `least` and no other license's is as near."""
     tf = units.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(F.broadcast(vocabulary), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown_idf)))
+    tf = runtime.join_bounded(tf, idf, ["term"], "inner").withColumn("w", F.col("tf") * F.col("idf"))
     norms = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(F.broadcast(weights), "term").groupBy(*keys, "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    sims = dots.join(norms, keys).withColumn("similarity", F.col("dot") / F.col("norm")).where(F.col("similarity") >= least)
-    best = sims.groupBy(*keys).agg(F.max(F.struct(F.round("similarity", 9).alias("similarity"), (-F.col("template")).alias("t"))).alias("b"))
-    return best.select(*keys, (-F.col("b.t")).alias("template"), F.col("b.similarity").alias("similarity"))
+    dots = tf.join(F.broadcast(weights), "term").groupBy(*keys, "template").agg(F.first("name").alias("name"), F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    sims = dots.join(norms, keys).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("similarity") >= least)
+    by_name = sims.groupBy(*keys, "name").agg(F.max(F.struct("similarity", (-F.col("template")).alias("t"))).alias("b"))
+    best = by_name.groupBy(*keys).agg(F.sort_array(F.collect_list("b"), asc=False).alias("b"))  # a struct per license
+    clear = (F.size("b") < 2) | (F.get("b", F.lit(0))["similarity"] > F.get("b", F.lit(1))["similarity"])
+    return best.where(clear).select(*keys, (-F.get("b", F.lit(0))["t"]).alias("template"), F.get("b", F.lit(0))["similarity"].alias("similarity"))
 
 
 def _any_of(words: set[str]) -> str:
@@ -178,49 +218,47 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] | None = Non
     spark = files.sparkSession
     words = sorted({t for _, text in templates for t in re.findall(r"[a-z0-9]+", text.lower())})
     rows = files.select(F.col("file_id"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # Document frequencies over all files: each file sends those of the templates' terms that it has.
-    present = rows.select(F.explode(F.array_append(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, words))), F.lit(""))).alias("term"))
-    df = {r[0]: r[1] for r in present.groupBy("term").agg(F.count(F.lit(1))).collect()}  # a row per term of the templates
+    # Document frequencies over all files: each file sends its distinct terms, which tasks add up before they shuffle.
+    present = rows.select(F.explode(F.array_append(F.array_distinct(terms(F.col("text"))), F.lit(""))).alias("term"))
+    frequencies = runtime.stored(present.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "license-frequencies")
+    df = {r[0]: r[1] for r in frequencies.where(F.col("term").isin(["", *words])).collect()}  # a row per term of the templates
     n = df.pop("", 0)
     idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in words}
-    unknown = math.log(n + 1) + 1
     vectors = _template_vectors(templates, idf)
-    vocabulary = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    weights = spark.createDataFrame([(t, i, w) for i, v in enumerate(vectors) for t, w in sorted(v.items())], "term string, template int, weight double")
+    weights = spark.createDataFrame([(t, i, templates[i][0], w) for i, v in enumerate(vectors) for t, w in sorted(v.items())], "term string, template int, name string, weight double")
     needed = needed_terms(vectors, min(least_line, least_file), idf)
     pattern = _any_of(needed)
     # Without a needed term there is no license to find, so only these few files keep their text.
     some = rows.where(F.lower("text").rlike(pattern)).select("file_id", "path", "text")
     some = runtime.stored(some.withColumn("row", F.monotonically_increasing_id()), "license-candidates")
+    # Inverse document frequencies of the terms that the candidates have.
+    theirs = some.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
+    log = F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1
+    vocabulary = runtime.stored(frequencies.join(theirs, "term", "left_semi").select("term", log.alias("idf")), "license-idf")
     lines = some.select("row", F.posexplode(F.split("text", _LINE_END)).alias("line", "content"))
     lines = lines.where(F.lower("content").rlike(pattern)).select("row", "line", terms(F.col("content")).alias("words"))
-    notices = _best_template(lines, ["row", "line"], vocabulary, unknown, weights, least_line)
+    notices = _best_template(lines, ["row", "line"], vocabulary, weights, least_line)
     shapes = [(i, sum(1 for _ in re.finditer(r"[a-z0-9]+", text.lower())), sorted(needed_terms([v], least_line, idf))) for i, ((_, text), v) in enumerate(zip(templates, vectors, strict=True))]
     runs = _line_runs(some, weights, spark.createDataFrame(shapes, "template int, length int, needed array<string>"), least_line)
-    runs = _best_template(runtime.stored(runs, "license-runs"), ["row", "line", "last"], vocabulary, unknown, weights, least_line)
-    heads = _best_template(some.select("row", terms(head_comment(F.col("text"))).alias("words")), ["row"], vocabulary, unknown, weights, least_file)
-    notices = notices.unionByName(runs.drop("last")).unionByName(heads.withColumn("line", F.lit(0)))
-    notices = notices.groupBy("row").agg(F.max(F.struct("similarity", (-F.col("line")).alias("l"), "template")).alias("b")).select("row", F.col("b.similarity").alias("line_similarity"), F.col("b.template").alias("line_template"))
-    whole = _best_template(some.select("row", terms(F.col("text")).alias("words")), ["row"], vocabulary, unknown, weights, least_file)
-    whole = whole.select("row", F.col("similarity").alias("file_similarity"), F.col("template").alias("file_template"))
-    name_of = F.get(F.array(*[F.lit(n) for n, _ in templates]), F.coalesce("file_template", "line_template"))
-    found = some.select("row", "file_id", "path").join(whole, "row", "left").join(notices, "row", "left")
-    found = found.where(F.col("file_template").isNotNull() | F.col("line_template").isNotNull())
+    runs = _best_template(runtime.stored(runs, "license-runs"), ["row", "line", "last"], vocabulary, weights, least_line)
+    heads = _best_template(some.select("row", terms(head_comment(F.col("text"))).alias("words")), ["row"], vocabulary, weights, least_file)
+    whole = _best_template(some.select("row", terms(F.col("text")).alias("words")), ["row"], vocabulary, weights, least_file)
+    every = notices.unionByName(runs.drop("last")).unionByName(heads.withColumn("line", F.lit(0))).withColumn("whole", F.lit(False))
+    every = every.unionByName(whole.select("row", F.lit(0).alias("line"), "template", "similarity", F.lit(True).alias("whole")))
+    size_of = F.get(F.array(*[F.lit(length) for _, length, _ in shapes]), F.col("template"))
+    name_of = F.get(F.array(*[F.lit(n) for n, _ in templates]), F.col("b.template"))
+    order = F.struct((F.col("similarity") + 0.1 * F.least(F.lit(1.0), size_of / LONG_TEMPLATE)).alias("strength"), "similarity", "whole", (-F.col("line")).alias("l"), (-F.col("template")).alias("t"), "template")
+    best = every.groupBy("row").agg(F.max(order).alias("b"), F.bool_or("whole").alias("is_file"))
+    found = some.select("row", "file_id", "path").join(best, "row")
     found = runtime.stored(
-        found.select(
-            "file_id",
-            "path",
-            name_of.alias("license"),
-            F.coalesce("file_similarity", "line_similarity").alias("similarity"),
-            F.when(F.col("file_template").isNotNull(), "file").otherwise("notice").alias("found_as"),
-        ).distinct(),
+        found.select("file_id", "path", name_of.alias("license"), F.col("b.similarity").alias("similarity"), F.when(F.col("is_file"), "file").otherwise("notice").alias("found_as")).distinct(),
         "licenses-found",
     )
     base = F.regexp_extract("path", r"([^/]*)$", 1)
     stands = (F.col("found_as") == "file") | F.upper(base).rlike(r"^(LICEN[CS]E|COPYING|NOTICE|UNLICENSE)")
     by_folder = found.where(stands & F.col("path").isNotNull()).withColumn("folder", folder_of(F.col("path")))
-    first = Window.partitionBy("folder").orderBy(F.desc("similarity"), "path", "license")
-    by_folder = by_folder.withColumn("k", F.row_number().over(first)).where("k = 1").select("folder", F.col("license").alias("folder_license"), F.col("path").alias("inherited_from"))
+    first = F.min_by(F.struct("license", "path"), F.struct(-F.col("similarity"), "path", "license")).alias("b")
+    by_folder = by_folder.groupBy("folder").agg(first).select("folder", F.col("b.license").alias("folder_license"), F.col("b.path").alias("inherited_from"))
     by_folder = runtime.stored(by_folder, "license-folders")
     # Nearest above, per directory and not per file.
     folders = runtime.stored(rows.where(F.col("path").isNotNull()).groupBy(folder_of(F.col("path")).alias("own")).agg(F.count(F.lit(1)).alias("n_files")), "folders")
