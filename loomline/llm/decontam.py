@@ -22,7 +22,6 @@ BROADCAST_TERMS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP_SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
-_SIZE_MARK = "\x01"  # no word: its posting holds the number of words
 
 
 def raw_words(text: Column) -> Column:
@@ -38,30 +37,35 @@ def lowered(text: Column) -> Column:
 
 @dataclasses.dataclass
 class Index:
-    """postings: row, doc_id, term, pos; term -1: pos is the row's number of words. terms: word, key, term."""
+    """postings: row, doc_id, term, pos; term -1: pos is the row's number of words. terms: word, term. frequencies: term, frequency."""
 
     postings: DataFrame
     terms: DataFrame
+    frequencies: DataFrame
 
     def sizes(self) -> DataFrame:
         return self.postings.where(F.col("term") == -1).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
 
-    def frequencies(self) -> DataFrame:
-        return self.postings.where(F.col("term") >= 0).groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
-
 
 def build_index(docs: DataFrame, words: DataFrame) -> Index:
     """Postings of the given words (word: distinct, lowered) in all whole texts. A NULL text has no words."""
     spark = docs.sparkSession
-    mark = spark.range(1).select(F.lit(_SIZE_MARK).alias("word"), F.lit(-1).cast("long").alias("term"))
-    terms = words.select("word", F.monotonically_increasing_id().alias("term")).unionByName(mark)
-    terms = runtime.stored(terms.withColumn("key", F.lower("word")), "terms")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), raw_words(F.col("text")).alias("words"))
-    every = rows.select("row", "doc_id", F.posexplode(F.array_append("words", F.lit(_SIZE_MARK))).alias("pos", "raw"))
+    terms = runtime.stored(words.select("word", F.monotonically_increasing_id().alias("term")), "terms")
     # Lowered as a whole the words meet the terms, then A-Z alone decide; most words have no other capitals anyway.
-    met = runtime.join_bounded(every.withColumn("key", F.lower("raw")), terms, ["key"], "inner", limit=BROADCAST_TERMS)
-    postings = met.where(lowered(F.col("raw")) == F.col("word")).select("row", "doc_id", "term", "pos")
-    return Index(runtime.stored(postings, "postings"), terms)
+    by_key = runtime.stored(terms.groupBy(F.lower("word").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("word", "term"))).alias("found")), "term-keys")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), raw_words(F.col("text")).alias("words"))
+    # The number of words rides with the last word; a text without words has one empty word, which meets no term.
+    every = rows.select("row", "doc_id", F.posexplode(F.array_append("words", F.lit(""))).alias("pos", "raw")).withColumn("key", F.lower("raw"))
+    own = by_key.unionByName(spark.range(1).select(F.lit("").alias("key"), F.create_map(F.lit(""), F.lit(-1).cast("long")).alias("found")))
+    if by_key.count() < BROADCAST_TERMS:
+        met = every.join(F.broadcast(own), "key")
+    else:
+        words_only = runtime.join_skewed(every.where(F.col("raw") != ""), by_key, "key", BROADCAST_TERMS)
+        met = words_only.unionByName(every.where(F.col("raw") == "").withColumn("found", F.create_map(F.lit(""), F.lit(-1).cast("long"))))
+    postings = met.select("row", "doc_id", F.try_element_at("found", lowered(F.col("raw"))).alias("term"), "pos").where(F.col("term").isNotNull())
+    postings = runtime.stored(postings, "postings")
+    frequencies = postings.where(F.col("term") >= 0).groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
+    return Index(postings, terms, runtime.stored(frequencies, "term-frequencies"))
 
 
 def windows_of(items: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -76,19 +80,25 @@ def windows_of(items: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFr
 def phrase_terms(index: Index, phrases: DataFrame) -> DataFrame:
     """phrase, term, offset, length, rank (1: the rarest in the texts), for phrases all of whose terms occur."""
     each = phrases.select("phrase", F.size("words").alias("length"), F.posexplode("words").alias("offset", "word"))
-    each = runtime.join_bounded(each, index.terms.select("word", "term"), ["word"], "inner", limit=BROADCAST_TERMS)
-    each = runtime.join_bounded(each, index.frequencies(), ["term"], "left", limit=BROADCAST_TERMS)
+    known = index.terms.join(index.frequencies, "term", "left")
+    each = runtime.join_skewed(each, known, "word", BROADCAST_TERMS, index.terms.count())
     own = Window.partitionBy("phrase")
     ranked = each.withColumn("least", F.min(F.coalesce("frequency", F.lit(0))).over(own)).where(F.col("least") > 0)
     ranked = ranked.withColumn("rank", F.row_number().over(own.orderBy("frequency", "offset")))
-    return runtime.stored(ranked.select("phrase", "term", "offset", "length", "rank"), "phrase-terms")
+    return runtime.stored(ranked.select("phrase", "term", "offset", "length", "rank", "frequency"), "phrase-terms")
 
 
 def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
     """row, phrase, start, length of every exact occurrence."""
     wanted = phrase_terms(index, phrases)
     postings = index.postings.where(F.col("term") >= 0).select("row", "term", "pos")
-    rarest = runtime.join_bounded(postings, wanted.where(F.col("rank") <= 2), ["term"], "inner")
+    by_term = wanted.where(F.col("rank") <= 2).groupBy("term").agg(F.first("frequency").alias("frequency"), F.collect_list(F.struct("phrase", "offset", "length")).alias("uses"))
+    by_term = runtime.stored(by_term, "rare-terms")
+    if by_term.count() <= BROADCAST_TERMS:
+        rarest = postings.join(F.broadcast(by_term), "term")
+    else:
+        rarest = runtime.join_by_frequency(postings, by_term, "term", "frequency", by_term.agg(F.sum("frequency")).first()[0])
+    rarest = rarest.select("row", "pos", F.inline("uses"))
     places = rarest.groupBy("row", "phrase", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("length"))
     places = runtime.stored(places.where((F.col("n") == F.least("length", F.lit(2))) & (F.col("start") >= 0)).select("row", "phrase", "start", "length"), "phrase-places")
     done = places.where(F.col("length") <= 2)
@@ -109,7 +119,9 @@ def proximity_matches(index: Index, phrases: DataFrame, slop: int) -> DataFrame:
     """
     wanted = phrase_terms(index, phrases)
     postings = index.postings.where(F.col("term") >= 0).select("row", "term", "pos")
-    shifted = runtime.join_bounded(postings, wanted, ["term"], "inner").select("row", "phrase", "rank", "length", (F.col("pos") - F.col("offset")).alias("start"))
+    by_term = wanted.groupBy("term").agg(F.first("frequency").alias("frequency"), F.collect_list(F.struct("phrase", "rank", "length", "offset")).alias("uses"))
+    total = by_term.agg(F.coalesce(F.sum("frequency"), F.lit(0))).first()[0]
+    shifted = runtime.join_by_frequency(postings, by_term, "term", "frequency", total).select("row", "pos", F.inline("uses")).select("row", "phrase", "rank", "length", (F.col("pos") - F.col("offset")).alias("start"))
     cell = F.floor(F.col("start") / (slop + 1)).cast("long")
     anchors = shifted.where(F.col("rank") == 1).select("row", "phrase", "length", F.col("start").alias("anchor"), cell.alias("cell"))
     around = shifted.select("row", "phrase", "rank", "start", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
@@ -139,8 +151,12 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows, all columns, without any occurrence of a benchmark window."""
-    name, none = "__loomline_key", F.lit(-(2**63))
-    marked = contamination(docs, items, width).where("contaminated").select(F.coalesce("doc_id", none).alias(name)).distinct()
-    keyed = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), none))
-    return runtime.join_bounded(keyed, runtime.stored(marked, "contaminated-ids"), [name], "left_anti").drop(name)
+    """The rows, all columns, without any occurrence of a benchmark window.
+
+    Rows are told apart by a 64-bit hash of doc_id and text, so rows with a NULL or a repeated doc_id go or stay by their
+    own texts, and rows equal in both go or stay together. A NULL text is empty, and clean.
+    """
+    name = "__loomline_key"
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    found = contamination(docs.select(key.alias("doc_id"), "text"), items, width).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return runtime.join_bounded(docs.withColumn(name, key), runtime.stored(found, "contaminated-rows"), [name], "left_anti").drop(name)

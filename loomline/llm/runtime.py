@@ -98,6 +98,20 @@ def join_by_frequency(left: DataFrame, right: DataFrame, key: str, weight: str,
     return hot.unionByName(rest)
 
 
+def join_skewed(left: DataFrame, right: DataFrame, key: str, limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+    """left joined to right, of which each row has another key: by broadcast up to limit rows of right, else by frequency.
+
+    Beyond the limit the keys of left are counted first, in a pass of its own that tasks add up before they shuffle.
+    right should be stored or cheap.
+    """
+    if (right.count() if rows is None else rows) <= limit:
+        return left.join(F.broadcast(right), key)
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n_left"))
+    known = stored(right.join(counts, key), "key-frequencies")
+    total = known.agg(F.coalesce(F.sum("__n_left"), F.lit(0))).first()[0]
+    return join_by_frequency(left, known, key, "__n_left", total).drop("__n_left")
+
+
 def order_bounds(df: DataFrame, column: str, n: int) -> list[int]:
     """At most n values of the column, rising, the least first, that cut its rows into about equal ranges. Only that column is read."""
     if n <= 1:

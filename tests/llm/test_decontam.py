@@ -43,14 +43,16 @@ ITEMS = [(1, "beta gamma"), (2, "Of more than five words"), (2, "two words"), (3
 
 def test_odd_rows(spark, odd):
     items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("pos", F.lit(1))
-    short = [(d, None if t is None else t[:9000], *r) for d, t, *r in ROWS]
-    docs = odd.withColumn("text", F.substring("text", 1, 9000))
-    assert run(docs, items) == brute(short, ITEMS)
+    assert run(odd, items) == brute(ROWS, ITEMS)
 
 
-def test_random(spark):
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_random(spark, monkeypatch, limit):
+    """By broadcast and, with heavy keys, by shuffle: a third of all words is the same one."""
+    monkeypatch.setattr(decontam, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr("loomline.llm.runtime.HEAVY_SHARE", 10)
     draw = random.Random(8)
-    some = lambda n: " ".join(draw.choice("abcde") for _ in range(n))
+    some = lambda n: " ".join(draw.choice("aabcdeA") for _ in range(n))
     items = [(i, some(draw.choice([0, 1, 3, 9, 10, 11, 20]))) for i in range(25)]
     docs = [(i, some(draw.randint(0, 60)) + draw.choice(["", " ", "! "]) + draw.choice(items)[1].upper()) for i in range(60)]
     assert run(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")) == brute(docs, items)
@@ -65,7 +67,7 @@ def test_empty_tables(spark, odd, none):
 @pytest.mark.parametrize("limit", [0, 500_000])
 def test_both_ways_to_meet_terms(spark, monkeypatch, limit):
     monkeypatch.setattr(decontam, "BROADCAST_TERMS", limit)
-    docs, items = [(1, "a b c d"), (2, "b c")], [(7, "b c")]
+    docs, items = [(1, "a b c d"), (2, "b c"), (3, None), (None, "B İ c i̇")], [(7, "b c"), (8, "i̇"), (9, "İ")]
     assert run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")) == brute(docs, items)
 
 
@@ -82,3 +84,13 @@ def test_drop(spark, odd):
     items = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
     kept = decontam.drop_contaminated(odd, items)
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, None, 5, 8, 12, 13], key=str)
+
+
+def test_drop_goes_by_row(spark):
+    """A NULL or repeated doc_id doesn't take other texts with it."""
+    rows = [(None, "x red green y"), (None, "clean"), (4, "red green"), (4, "clean too"), (5, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS pos", "3 AS term")
+    items = spark.createDataFrame([(1, "red green")], "item_id long, text string")
+    kept = decontam.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([r for r in rows if "red" not in (r[1] or "")], key=str)
