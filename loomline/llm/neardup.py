@@ -118,10 +118,12 @@ def _alone(sets: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= similarity * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= similarity * union; pairs should be stored. A pivot's many pairs are split."""
     left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("left_set"))
     right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("right_set"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set")
+    rows = runtime.join_salted(pairs, left, "a", "b")
+    hot = pairs.groupBy("b").count().where("count > 2000").take(1)
+    rows = (runtime.join_salted(rows, right, "b", "a") if hot else rows.join(right, "b")).select("a", "b", "left_set", "right_set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,9 +287,13 @@ def _links(postings: DataFrame, lengths: DataFrame, candidates: DataFrame, sets:
             pairs = met.where(F.col("comp") != F.col("p.comp")).select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = runtime.stored(pairs, "pivot-meetings", total)
             for side in ("a", "b"):
                 own = facts.select(F.col("c").alias(side), F.col("signature").alias(side + "_signature"), F.col("n_shingles").alias(side + "_n"), (F.col("n_shingles") - F.col("n_alone")).alias(side + "_most"))
-                pairs = runtime.join_bounded(pairs, own, [side], "inner", n_facts, WIDE_ROWS)
+                if n_facts <= WIDE_ROWS:
+                    pairs = pairs.join(F.broadcast(own), side)
+                else:
+                    pairs = runtime.join_salted(pairs, own, side, "b" if side == "a" else "a")
             equal = F.size(F.filter(F.zip_with("a_signature", "b_signature", lambda x, y: x == y), lambda e: e))
             common = F.least("a_most", "b_most")  # at best
             near = (equal >= t_all) & (common * 100 >= (F.col("a_n") + F.col("b_n") - common) * similarity)

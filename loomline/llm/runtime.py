@@ -112,6 +112,23 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, limit: int = BROADC
     return join_by_frequency(left, known, key, "__n_left", total).drop("__n_left")
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, beside: str, cut: int = 2000) -> DataFrame:
+    """left joined to right, of which each row has another key and may be wide; no task gets many more than cut rows of left for one key.
+
+    A key that more rows of left have is split by a hash of the column beside, and its row of right goes to each part.
+    left should be stored or cheap.
+    """
+    hot = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / cut).cast("int").alias("__parts")).where("__parts > 1")
+    hot = stored(hot, "hot-keys")
+    if not hot.take(1):
+        return left.join(right, key)
+    parts = F.coalesce("__parts", F.lit(1))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    split = left.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(beside), parts).cast("int")).drop("__parts")
+    copies = right.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return split.join(copies, [key, "__part"]).drop("__part")
+
+
 def order_bounds(df: DataFrame, column: str, n: int) -> list[int]:
     """At most n values of the column, rising, the least first, that cut its rows into about equal ranges. Only that column is read."""
     if n <= 1:

@@ -60,6 +60,60 @@ def test_probabilities_add_up(spark):
     assert np.allclose((mass + unseen)[used], 1)
 
 
+def test_score_equals_brute_force(spark, monkeypatch):
+    """log10 of class transitions times word emissions, word by word, from the model's classes and the texts' own counts."""
+    monkeypatch.setattr(lm, "HEAD", 25)
+    monkeypatch.setattr(lm, "CORE", 1024)
+    monkeypatch.setattr(lm, "LEARNED", 3)
+    draw = np.random.default_rng(5)
+    pool = [f"w{i}{'abc'[i % 3]}" for i in range(80)]
+    rows = [(i, " ".join(draw.choice(pool, draw.integers(0, 40), p=np.arange(80, 0, -1) / 3240)) + f" rare{i} new{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.where("doc_id < 45")
+    model = lm.fit(train)
+    counts = Counter(w for i, t in rows if i < 45 for w in words(t))
+    core = {w: i for w, i in model.head.items() if i < lm.CORE}
+    learned = {int(h): int(c) for h, c in zip(model.hashes, model.learned, strict=True)}
+
+    def class_of(w):
+        if w in core:
+            return int(model.group[core[w]])
+        h = int(lm._hashes_of([w])[0])
+        return learned.get(h, int(model.group[lm.CORE + lm.unit_of(w)]))
+
+    tokens, types, after = Counter(), Counter(), Counter()
+    for w, n in counts.items():
+        tokens[class_of(w)] += n
+        types[class_of(w)] += 1
+    size, end = lm.CLASSES + 1, lm.CLASSES
+    for i, t in rows:
+        if i < 45:
+            chain = [end, *map(class_of, words(t)), end]
+            after.update(zip(chain, chain[1:], strict=False))
+    once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+    open_classes = {int(g) for g in model.group[lm.CORE : lm._END]}
+    d = lambda c: (once / (once + 2 * twice) if once and twice else lm.DISCOUNT) if c in open_classes else 0.0
+    rows_of, columns = Counter(), Counter()
+    for (a, b), n in after.items():
+        rows_of[a] += n
+        columns[b] += n
+
+    def step(a, b):
+        low = (columns[b] + 1) / (sum(columns.values()) + size)
+        free = sum(min(n, lm.DISCOUNT) for (x, _), n in after.items() if x == a)
+        return (max(after[a, b] - lm.DISCOUNT, 0) + free * low) / rows_of[a] if rows_of[a] else low
+
+    def emission(w):
+        c = class_of(w)
+        return (counts[w] - d(c)) / tokens[c] if counts[w] else (d(c) * types[c] / tokens[c] if tokens[c] and d(c) else 1.0)
+
+    got = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+    for i, t in rows:
+        chain = [end, *map(class_of, words(t)), end]
+        want = sum(math.log10(step(a, b)) for a, b in zip(chain, chain[1:], strict=False)) + sum(math.log10(emission(w)) for w in words(t))
+        assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_exchange_raises_likelihood():
     draw = np.random.default_rng(2)
     kind = draw.integers(0, 3, 30)

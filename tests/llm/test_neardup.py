@@ -86,6 +86,17 @@ def test_large_groups_are_exact(spark, copies, monkeypatch):
     assert run(spark.createDataFrame(copies, "doc_id long, text string").repartition(5)) == brute(copies)
 
 
+def test_pivots_of_many_are_split(spark, copies, monkeypatch):
+    """The wide joins beyond the broadcast limit, with every list and every key taken for a long one."""
+    from loomline.llm import runtime
+
+    salted = runtime.join_salted
+    monkeypatch.setattr(neardup, "LONG_LIST", 8)
+    monkeypatch.setattr(neardup, "WIDE_ROWS", 0)
+    monkeypatch.setattr(runtime, "join_salted", lambda *a: salted(*a, cut=3))
+    assert run(spark.createDataFrame(copies, "doc_id long, text string").repartition(3)) == brute(copies)
+
+
 def test_heavy_classes_are_joined_by_broadcast(spark, copies, monkeypatch):
     monkeypatch.setattr("loomline.llm.runtime.HEAVY_SHARE", 10**9)
     rows = copies + [(10_000 + i, "one two three four five six") for i in range(1200)]
