@@ -38,13 +38,13 @@ def label_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT conv_id, turn, nullif(trim(CASE WHEN role = 'user' THEN substr(text, 1, 20) END), '') AS question, nullif(trim(CASE WHEN role = 'assistant' THEN substr(text, 1, 20) END), '') AS answer, nullif(trim(CASE WHEN role = 'system' THEN substr(text, 1, 20) END), '') AS setting, text FROM conversations),
+    """WITH r AS (SELECT conv_id, turn, nullif(trim(CASE WHEN role = 'user' THEN text END), '') AS question, nullif(trim(CASE WHEN role = 'assistant' THEN text END), '') AS answer, nullif(trim(CASE WHEN role = 'system' THEN text END), '') AS setting, text FROM conversations),
 m AS (SELECT conv_id, arg_min(question, (turn, text)) FILTER (question IS NOT NULL) AS question, arg_min(answer, (turn, text)) FILTER (answer IS NOT NULL) AS answer, arg_min(setting, (turn, text)) FILTER (setting IS NOT NULL) AS setting FROM r GROUP BY conv_id)
 SELECT *, CAST((question IS NOT NULL)::INTEGER + (answer IS NOT NULL)::INTEGER + (setting IS NOT NULL)::INTEGER AS INTEGER) AS record_score, question IS NOT NULL AND answer IS NOT NULL AND setting IS NOT NULL AS is_ready FROM m"""
 )
 def merged_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first filled value of each field over a conversation's turns, and whether all fields are there."""
-    part = lambda role: F.when(F.col("role") == role, F.substring("text", 1, 20))
+    part = lambda role: F.when(F.col("role") == role, F.col("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", part("user").alias("question"), part("assistant").alias("answer"), part("system").alias("setting"))
     return serving.merged_records(rows, "conv_id", ["question", "answer", "setting"], [F.col("turn"), F.col("text")])
 
@@ -57,12 +57,12 @@ def nearest_year_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BASE_SQL}, b AS (SELECT source, macro_topic, year, list(DISTINCT brand) AS w FROM base WHERE size > 40 AND score > 60000 GROUP BY ALL), l AS (SELECT *, lag(w) OVER (PARTITION BY source, macro_topic ORDER BY year) AS p FROM b)
+    f"""WITH {BASE_SQL}, b AS (SELECT source, macro_topic, year, list(DISTINCT brand) AS w FROM base GROUP BY ALL), l AS (SELECT *, lag(w) OVER (PARTITION BY source, macro_topic ORDER BY year) AS p FROM b)
 SELECT source, macro_topic, year, CAST(len(w) AS INTEGER) AS words, round(len(list_intersect(w, p)) / (len(w) + len(p) - len(list_intersect(w, p))), 9) AS overlap_with_previous FROM l"""
 )
 def year_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much a year's set of words shares with the year before."""
-    rows = chunks(spark, sf_dir).where((F.col("size") > 40) & (F.col("score") > 60000)).groupBy("source", "macro_topic", "year").agg(F.collect_set("brand").alias("w"))
+    rows = chunks(spark, sf_dir).groupBy("source", "macro_topic", "year").agg(F.collect_set("brand").alias("w"))
     return serving.previous_overlap(rows, ["source", "macro_topic"], "w").select("source", "macro_topic", "year", F.size("w").alias("words"), "overlap_with_previous")
 
 
@@ -81,10 +81,16 @@ def display_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "kind", serving.reference_link(F.col("kind"), F.col("doc_id").cast("string")).alias("reference"), F.md5(serving.display_text(F.col("kind"), F.col("text"))).alias("display_md5"))
 
 
-@query("WITH i AS (SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || strftime(o_orderdate, '%y') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS acc, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_orderkey < 100000) SELECT o_orderkey, acc AS accession, '7A' AS item, d AS filing_date FROM i")
+@query(
+    r"""WITH i AS (SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || strftime(o_orderdate, '%y') || '-' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '_item' || (1 + o_orderkey % 9) || 'A' END || strftime(o_orderdate, '_%Y%m%d') AS id FROM orders),
+p AS (SELECT o_orderkey, regexp_extract(id, '^(\d{10}-\d{2}-\d{6})_item([0-9A-Za-z]+)_(\d{8})$', ['accession', 'item', 'day']) AS p FROM i)
+SELECT o_orderkey, nullif(p.accession, '') AS accession, nullif(p.item, '') AS item, CASE WHEN p.day = '' THEN '' ELSE substr(p.day, 1, 4) || '-' || substr(p.day, 5, 2) || '-' || substr(p.day, 7, 2) END AS filing_date FROM p"""
+)
 def filing_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accession, item and date out of an identifier, which has the last six digits of the key. All orders; the SQL has those with a key below 100000."""
-    identifier = F.concat(F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lit("-"), F.date_format("o_orderdate", "yy"), F.lit("-"), F.lpad((F.col("o_orderkey") % 1_000_000).cast("string"), 6, "0"), F.lit("_item7A_"), F.date_format("o_orderdate", "yyyyMMdd"))
+    """Accession, item and date out of an identifier, which has the last six digits of the key; one in five is malformed, without an item."""
+    key = F.col("o_orderkey")
+    item = F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("_item"), (1 + key % 9).cast("string"), F.lit("A")))
+    identifier = F.concat(F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lit("-"), F.date_format("o_orderdate", "yy"), F.lit("-"), F.lpad((key % 1_000_000).cast("string"), 6, "0"), item, F.date_format("o_orderdate", "_yyyyMMdd"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", serving.filing_parts(identifier).alias("p"))
     return rows.select("o_orderkey", F.col("p.accession").alias("accession"), F.col("p.item").alias("item"), F.col("p.date").alias("filing_date"))
 
@@ -139,13 +145,13 @@ def approved_topic_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BASE_SQL}, g AS (SELECT macro_topic, to_json(list_sort(list(DISTINCT brand))) AS members FROM base WHERE source = 'corporate' AND size > 48 GROUP BY macro_topic), x AS (SELECT DISTINCT macro_topic, unnest(from_json(members, '["VARCHAR"]')) AS brand FROM g)
+    f"""WITH {BASE_SQL}, g AS (SELECT macro_topic, to_json(list_sort(list(DISTINCT brand))) AS members FROM base WHERE source = 'corporate' GROUP BY macro_topic), x AS (SELECT DISTINCT macro_topic, unnest(from_json(members, '["VARCHAR"]')) AS brand FROM g)
 SELECT macro_topic, brand, count(DISTINCT document_id) AS documents FROM base JOIN x USING (macro_topic, brand) WHERE source = 'media' GROUP BY ALL"""
 )
 def exploded_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups kept as JSON lists, taken apart and joined again."""
     base = chunks(spark, sf_dir)
-    lists = base.where((F.col("source") == "corporate") & (F.col("size") > 48)).groupBy("macro_topic").agg(F.to_json(F.array_sort(F.collect_set("brand"))).alias("members"))
+    lists = base.where(F.col("source") == "corporate").groupBy("macro_topic").agg(F.to_json(F.array_sort(F.collect_set("brand"))).alias("members"))
     members = lists.select("macro_topic", F.explode(F.from_json("members", "array<string>")).alias("brand")).distinct()
     return base.where(F.col("source") == "media").join(F.broadcast(members), ["macro_topic", "brand"]).groupBy("macro_topic", "brand").agg(F.count_distinct("document_id").alias("documents"))
 

@@ -93,8 +93,8 @@ def term_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, unnest({_TERMS}) AS w FROM documents), df AS (SELECT w, count(*) AS n FROM t GROUP BY w), top AS (SELECT w FROM df ORDER BY n DESC, w LIMIT 12),
-k AS (SELECT doc_id, w FROM t WHERE w IN (SELECT w FROM top)), p AS (SELECT a.w AS term_a, b.w AS term_b, count(*) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY ALL), m AS (SELECT count(*) AS m FROM documents)
+    f"""WITH t AS MATERIALIZED (SELECT doc_id, unnest({_TERMS}) AS w FROM documents), df AS MATERIALIZED (SELECT w, count(*) AS n FROM t GROUP BY w), top AS MATERIALIZED (SELECT w FROM df ORDER BY n DESC, w LIMIT 12),
+k AS MATERIALIZED (SELECT doc_id, w FROM t WHERE w IN (SELECT w FROM top)), p AS (SELECT a.w AS term_a, b.w AS term_b, count(*) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY ALL), m AS (SELECT count(*) AS m FROM documents)
 SELECT term_a, term_b, p.n AS pair_documents, round(ln(p.n * m / (da.n * db.n)) / nullif(-ln(p.n / m), 0), 6) AS npmi FROM p CROSS JOIN m JOIN df da ON da.w = term_a JOIN df db ON db.w = term_b"""
 )
 def npmi_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,14 +143,14 @@ def conversation_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, lpad(CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS VARCHAR), 2, '0') AS sic2,
-CASE lpad(CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS VARCHAR), 2, '0') WHEN '01' THEN 'agriculture_crops' WHEN '02' THEN 'agriculture_livestock' WHEN '10' THEN 'metal_mining' WHEN '13' THEN 'oil_gas' WHEN '20' THEN 'food_manufacturing' END AS industry,
+    """WITH p AS (SELECT *, CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS VARCHAR) AS digits FROM part), s AS (SELECT *, CASE WHEN length(digits) < 2 THEN '0' || digits ELSE digits END AS sic2 FROM p)
+SELECT p_partkey, sic2, CASE sic2 WHEN '01' THEN 'agriculture_crops' WHEN '02' THEN 'agriculture_livestock' WHEN '10' THEN 'metal_mining' WHEN '13' THEN 'oil_gas' WHEN '20' THEN 'food_manufacturing' END AS industry,
 CAST(greatest(5, least(50, round_even(p_partkey * 0.02, 0))) AS INTEGER) AS min_topic_size, CAST(greatest(0, least(2010, 1995 + p_size) - greatest(2000, 1990 + p_size) + 1) AS INTEGER) AS overlap_years, round(ceil(p_retailprice / 100000 / 0.05) * 0.05, 6) AS axis_top
-FROM part WHERE p_partkey BETWEEN 100 AND 9999"""
+FROM s"""
 )
 def sector_and_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     two, size = numbers.sector(F.col("p_partkey")), F.col("p_size")
-    rows = table(spark, sf_dir, "part").where(F.col("p_partkey").between(100, 9999))
+    rows = table(spark, sf_dir, "part")
     years = numbers.overlap_years(F.lit(2000), F.lit(2010), 1990 + size, 1995 + size)
     return rows.select("p_partkey", two.alias("sic2"), numbers.industry(two).alias("industry"), numbers.least_topic_size(F.col("p_partkey")).alias("min_topic_size"), years.alias("overlap_years"), F.round(numbers.axis_top(F.col("p_retailprice") / 100000), 6).alias("axis_top"))
 
@@ -168,23 +168,36 @@ def topic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("lang", F.array_join("t", ", ").alias("top_terms"), text.profile_text(F.col("lang"), F.col("t"), F.array("lang")).alias("profile"))
 
 
-@query("SELECT conv_id, turn, lower(substr(text, 1, 3)) || CASE turn % 4 WHEN 0 THEN ' Yes, sure' WHEN 1 THEN ' não' WHEN 2 THEN ' SIM.' ELSE ' maybe' END AS answer, CASE turn % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'yes' END AS verdict FROM conversations")
+_YES_NO_SQL = f"regexp_extract(lower(coalesce(text, '')), '{text.YES_NO}', 1)"
+
+
+@query(f"SELECT conv_id, turn, md5(text) AS answer_md5, CASE WHEN {_YES_NO_SQL} IN ('yes', 'sim') THEN 'yes' WHEN {_YES_NO_SQL} <> '' THEN 'no' END AS verdict FROM conversations")
 def answer_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """yes or no out of free answers."""
-    tail = F.element_at(F.array(F.lit(" Yes, sure"), F.lit(" não"), F.lit(" SIM."), F.lit(" maybe")), (F.col("turn") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lower(F.substring("text", 1, 3)), tail).alias("answer"), tail.alias("t"))
-    return rows.select("conv_id", "turn", "answer", text.yes_or_no(F.col("t")).alias("verdict"))
+    """yes or no out of whole free answers."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("answer_md5"), text.yes_or_no(F.col("text")).alias("verdict"))
+
+
+_RAW_LABEL = "trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+_LABEL_SQL = f"regexp_replace(regexp_replace(lower(CASE WHEN lower({_RAW_LABEL}) IN ({', '.join(repr(w) for w in text.NULLISH)}) THEN '' ELSE {_RAW_LABEL} END), '[-\\s/]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+def class_sql(label: str, classes: list[tuple[str, list[str]]], otherwise: str) -> str:
+    """The first class that the label is, or one of whose words it has."""
+    cases = " ".join(f"WHEN {label} = '{name}' OR " + " OR ".join(f"contains({label}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in classes)
+    return f"CASE {cases} ELSE {otherwise} END"
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'technical_research' WHEN p_size % 3 = 1 THEN 'legal_compliance' ELSE 'foo_bar' END AS function_label FROM part")
+@query(f"WITH l AS (SELECT doc_id, {_LABEL_SQL} AS label FROM documents) SELECT doc_id, {class_sql('label', text.FUNCTION_KEYWORDS, 'md5(label)')} AS function_label FROM l")
 def function_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free labels to the first class that one of their words stands for."""
-    raw = F.when(F.col("p_size") % 3 == 0, "Scientific  engineering").when(F.col("p_size") % 3 == 1, "litigation/disclosure").otherwise("Foo-Bar")
-    return table(spark, sf_dir, "part").select("p_partkey", text.keyword_class(raw, text.FUNCTION_KEYWORDS).alias("function_label"))
+    """Free texts to the first class that one of their words stands for, others as a digest of the label they would be."""
+    label = text.keyword_class(F.col("text"), text.FUNCTION_KEYWORDS)
+    names = [name for name, _ in text.FUNCTION_KEYWORDS]
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(label.isin(names), label).otherwise(F.md5(label)).alias("function_label"))
 
 
-@query("SELECT doc_id, round(n / sum(n) OVER (PARTITION BY source), 6) AS share_of_source, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_id) AS INTEGER) AS position FROM (SELECT doc_id, source, length(text) AS n FROM documents)")
+@query("SELECT doc_id, round(n / sum(n) OVER (PARTITION BY source), 6) AS share_of_source FROM (SELECT doc_id, source, length(text) AS n FROM documents)")
 def document_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Window.partitionBy("source")
+    """Sums by source first, and a join of these: a window would keep a source's rows in one task."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"))
-    return rows.select("doc_id", F.round(F.col("n") / F.sum("n").over(own), 6).alias("share_of_source"), F.row_number().over(own.orderBy(F.desc("n"), "doc_id")).alias("position"))
+    totals = rows.groupBy("source").agg(F.sum("n").alias("total"))
+    return rows.join(totals, rows.source.eqNullSafe(totals.source), "left").select("doc_id", F.round(F.col("n") / F.col("total"), 6).alias("share_of_source"))
