@@ -7,6 +7,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +33,13 @@ SAME_ISSUE_KEYWORDS: list[tuple[str, list[str]]] = [
     ("adjacent_issue", ["adjacent", "related", "overlap", "complement", "partial"]),
     ("weak_match", ["weak", "different", "distinct", "mismatch", "no"]),
 ]
+SAME_ISSUE_SYNONYMS: list[tuple[str, list[str]]] = [("same_issue", ["yes", "true", "same", "sameissue", "strong_match", "direct_match"])]
+RELATION_KEYWORDS: list[tuple[str, list[str]]] = [
+    ("different_function", ["different", "complement", "contrast", "distinct", "divergent", "unrelated", "none"]),
+    ("same_function", ["same", "similar", "aligned"]),
+    ("unclear", ["unclear", "mixed", "partial", "unknown"]),
+]
+KEEP_WORDS = ["true", "yes", "1", "keep"]
 
 
 def clean_text(c: Column) -> Column:
@@ -106,16 +114,33 @@ def decision_status(decision: Column) -> Column:
     return F.when(decision == "delete", EXCLUDED_STATUS).when(decision == "not related", UNPAIRED_STATUS).otherwise(ALIGNED_STATUS)
 
 
-def keyword_class(c: Column, table: list[tuple[str, list[str]]]) -> Column:
-    """The first class one of whose words the text has, else the text with underscores."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(drop_nullish(c)), r"[-\s/]+", "_"), r"^_+|_+$", "")
+def keyword_class(c: Column, classes: list[tuple[str, list[str]]], synonyms: list[tuple[str, list[str]]] = ()) -> Column:
+    """A class that the text names, or is a synonym of, else the first one of whose words it has, else the text with underscores.
+
+    Words for nothing are judged as they are written: 'none' has 'no' in it.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.lower(clean_text(c)), r"[-\s/]+", "_"), r"^_+|_+$", "")
     out = text
-    for name, words in reversed(table):
+    for name, words in reversed(classes):
         hit = F.lit(False)
         for w in words:
             hit = hit | F.contains(text, F.lit(w))
-        out = F.when(text == name, name).when(hit, name).otherwise(out)
-    return out
+        out = F.when(hit, name).otherwise(out)
+    for name, words in reversed(synonyms):
+        out = F.when(text.isin(words), name).otherwise(out)
+    return F.when(text.isin([name for name, _ in classes]), text).otherwise(out)
+
+
+def keep_or_exclude(c: Column) -> Column:
+    """exclude only where it is said."""
+    return F.when(F.lower(clean_text(c)) == "exclude", "exclude").otherwise("keep")
+
+
+def without_stop_words(words: Column, stop_words: list[str] | None = None) -> Column:
+    """Without the given words, by default Spark's own list for English."""
+    if stop_words is None:
+        stop_words = StopWordsRemover.loadDefaultStopWords("english")
+    return F.filter(words, lambda w: ~w.isin(stop_words))
 
 
 def truthy(c: Column) -> Column:
@@ -149,6 +174,8 @@ def strip_ansi(c: Column) -> Column:
 _ZERO_WIDTH = re.compile("[\u200b-\u200f\u2060\ufeff]")
 _BLOCKS = {"p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
 _CELLS = {"td", "th"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_CONTAINERS = {"div", "table", "ul", "ol", "section", "article", "nav"}
 _SKIPPED = {"script", "style", "noscript"}
 _PAGE_MARK = re.compile(r"-?\s*\d+\s*-?")
 
@@ -161,49 +188,72 @@ def normalized(text: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+class _Element:
+    def __init__(self, tag: str, order: int) -> None:
+        self.tag, self.order = tag, order
+        self.texts: list[str] = []
+        self.inside: set[str] = set()
+
+    def is_paragraph(self) -> bool:
+        """A cell that holds paragraphs, blocks or items is none itself, nor is a row that has cells."""
+        if self.tag in _CELLS:
+            return not self.inside & {"p", "div", "li"}
+        if self.tag == "tr":
+            return not self.inside & _CELLS
+        return self.tag in _BLOCKS
+
+
 class _Paragraphs(HTMLParser):
-    """Collects the text of block elements; a p or li that is left open ends with the next block."""
+    """Collects the texts of block elements with all that is in them; elements left open end where their kind does."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, list[str], int]] = []
-        self.found: list[tuple[int, str, str]] = []
+        self.open: list[_Element] = []
+        self.found: list[_Element] = []
         self.everything: list[str] = []
         self.skip = 0
         self.order = 0
 
     def _close(self, down_to: int) -> None:
         while len(self.open) > down_to:
-            tag, parts, order = self.open.pop()
-            self.found.append((order, tag, normalized(" ".join(p.strip() for p in parts))))
+            self.found.append(self.open.pop())
+
+    def _close_last(self, tags: set[str], within: set[str]) -> None:
+        """Closes the innermost open element of the tags, unless one of `within` lies further inside."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i].tag in tags:
+                return self._close(i)
+            if self.open[i].tag in within:
+                return None
+        return None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _SKIPPED:
             self.skip += 1
-        if tag in _BLOCKS:
-            if self.open and self.open[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or self.open and self.open[-1][0] == tag:
-                self._close(len(self.open) - 1)
-            if self.open and self.open[-1][0] in _CELLS | {"tr"} and tag in _BLOCKS:
-                name, _, order = self.open[-1]
-                self.open[-1] = (name + "*", self.open[-1][1], order)  # holds other blocks: no paragraph itself
-            self.open.append((tag, [], self.order))
-            self.order += 1
-        elif tag in ("div", "table", "ul", "ol", "section", "article", "nav") and self.open and self.open[-1][0] == "p":
+        if tag in _BLOCKS | _CONTAINERS and self.open and self.open[-1].tag in ({"p"} | (_HEADINGS if tag in _BLOCKS else set())):
             self._close(len(self.open) - 1)
+        if tag == "li":
+            self._close_last({"li"}, {"ul", "ol", "table"})
+        elif tag in _CELLS:
+            self._close_last(_CELLS, {"tr", "table"})
+        elif tag == "tr":
+            self._close_last({"tr"}, {"table"})
+        for element in self.open:
+            element.inside.add(tag)
+        if tag in _BLOCKS | _CONTAINERS:
+            self.open.append(_Element(tag, self.order))
+            self.order += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SKIPPED and self.skip:
             self.skip -= 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0].rstrip("*") == tag:
-                self._close(i)
-                break
+        self._close_last({tag}, set())
 
     def handle_data(self, data: str) -> None:
         if not self.skip and data.strip():
             self.everything.append(data)
-            for _, parts, _ in self.open:
-                parts.append(data)
+            for element in self.open:
+                element.texts.append(data.strip())
 
 
 def paragraphs_of(raw: str | None) -> list[str]:
@@ -215,8 +265,9 @@ def paragraphs_of(raw: str | None) -> list[str]:
     parser.close()
     parser._close(0)
     out: list[str] = []
-    for _, tag, text in sorted(parser.found):
-        if text and not tag.endswith("*") and not _PAGE_MARK.fullmatch(text) and (not out or text != out[-1]):
+    for element in sorted(parser.found, key=lambda e: e.order):
+        text = normalized(" ".join(element.texts)) if element.is_paragraph() else ""
+        if text and not _PAGE_MARK.fullmatch(text) and (not out or text != out[-1]):
             out.append(text)
     if not out and (whole := normalized(" ".join(p.strip() for p in parser.everything))):
         out = [whole]

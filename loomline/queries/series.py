@@ -61,7 +61,8 @@ PAIR = ["macro_topic", "brand", "source_a", "source_b"]
 
 
 def brand_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.prevalence(chunks(spark, sf_dir), BRAND, ["source", "macro_topic"])
+    """Written once: a row per brand and year, that several series of a query are made of."""
+    return stored(series.prevalence(chunks(spark, sf_dir), BRAND, ["source", "macro_topic"]))
 
 
 def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

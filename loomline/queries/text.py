@@ -178,12 +178,15 @@ def answer_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RAW_LABEL = "trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
-_LABEL_SQL = f"regexp_replace(regexp_replace(lower(CASE WHEN lower({_RAW_LABEL}) IN ({', '.join(repr(w) for w in text.NULLISH)}) THEN '' ELSE {_RAW_LABEL} END), '[-\\s/]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_LABEL_SQL = f"regexp_replace(regexp_replace(lower({_RAW_LABEL}), '[-\\s/]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
 
-def class_sql(label: str, classes: list[tuple[str, list[str]]], otherwise: str) -> str:
-    """The first class that the label is, or one of whose words it has."""
-    cases = " ".join(f"WHEN {label} = '{name}' OR " + " OR ".join(f"contains({label}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in classes)
+def class_sql(label: str, classes: list[tuple[str, list[str]]], otherwise: str, synonyms: list[tuple[str, list[str]]] = ()) -> str:
+    """The class that the label is or is a synonym of, else the first one of whose words it has."""
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    cases = f"WHEN {label} IN ({quoted(name for name, _ in classes)}) THEN {label} "
+    cases += "".join(f"WHEN {label} IN ({quoted(words)}) THEN '{name}' " for name, words in synonyms)
+    cases += " ".join("WHEN " + " OR ".join(f"contains({label}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in classes)
     return f"CASE {cases} ELSE {otherwise} END"
 
 

@@ -115,3 +115,20 @@ def test_sector_of_codes_of_any_width(spark):
     codes = {7: "00", 99: "00", 100: "01", 2834: "28", 9999: "99", 10_000: "100", 123_456: "1234", None: None}
     rows = spark.createDataFrame([(c,) for c in codes], "c long")
     assert {r.c: r.s for r in rows.select("c", numbers.sector(F.col("c")).alias("s")).collect()} == codes
+
+
+def test_html_cells_and_nested_items():
+    assert text.paragraphs_of("<table><tr><td><div>x</div></td><td>cell <h2>t</h2></td></tr></table>") == ["cell t", "t"]
+    assert text.paragraphs_of("<ul><li>a<ul><li>b</li></ul></li><li>c</ul>") == ["a b", "b", "c"]
+    assert text.paragraphs_of("<table><tr><td>1a<td>x<tr><td>y</table>") == ["1a", "x", "y"]
+    assert text.paragraphs_of("<p>a<div>b</div><tr>r</tr>") == ["a", "r"]
+    assert text.paragraphs_of("<div>only <b>this</b></div>") == ["only this"]
+
+
+def test_classes_by_word_and_synonym(spark):
+    issue = lambda v: one(spark, text.keyword_class(lit(v), text.SAME_ISSUE_KEYWORDS, text.SAME_ISSUE_SYNONYMS))
+    assert [issue(v) for v in ("none", "Yes", "true", "direct-match", "Weak match", "partial overlap", "", None, "zzz")] == ["weak_match", "same_issue", "same_issue", "same_issue", "weak_match", "adjacent_issue", "", "", "zzz"]
+    relation = lambda v: one(spark, text.keyword_class(lit(v), text.RELATION_KEYWORDS))
+    assert [relation(v) for v in ("none", "Same function", "similar aims", "mixed", "unclear")] == ["different_function", "same_function", "same_function", "unclear", "unclear"]
+    assert [one(spark, text.keep_or_exclude(lit(v))) for v in (" Exclude ", "excluded", None)] == ["exclude", "keep", "keep"]
+    assert one(spark, text.without_stop_words(F.array(lit("the"), lit("grid")))) == ["grid"]
