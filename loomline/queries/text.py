@@ -168,7 +168,8 @@ def topic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("lang", F.array_join("t", ", ").alias("top_terms"), text.profile_text(F.col("lang"), F.col("t"), F.array("lang")).alias("profile"))
 
 
-_YES_NO_SQL = f"regexp_extract(lower(coalesce(text, '')), '{text.YES_NO}', 1)"
+# The words of text.YES_NO; DuckDB's expressions have no look-around, so the signs around are matched.
+_YES_NO_SQL = r"regexp_extract(lower(coalesce(text, '')), '(^|[^\p{L}\p{N}_])(yes|no|sim|nao|não)([^\p{L}\p{N}_]|$)', 2)"
 
 
 @query(f"SELECT conv_id, turn, md5(text) AS answer_md5, CASE WHEN {_YES_NO_SQL} IN ('yes', 'sim') THEN 'yes' WHEN {_YES_NO_SQL} <> '' THEN 'no' END AS verdict FROM conversations")
