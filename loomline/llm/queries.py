@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, decontam, fingerprint, licenses, lm, neardup, packing, quality, token_ids, toxicity, urls
+from . import audit, decontam, fingerprint, licenses, lm, neardup, packing, quality, slack, token_ids, toxicity, treap, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.mask_cells(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
+def op12_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_ids, op2_toxicity, op3_lm_score, op4_quality, op5_near_dedup, op6_fingerprints, op7_packing, op8_decontaminate, op9_licenses, op10_url_filter, op11_filter_audit)
+    for f in (op1_token_ids, op2_toxicity, op3_lm_score, op4_quality, op5_near_dedup, op6_fingerprints, op7_packing, op8_decontaminate, op9_licenses, op10_url_filter, op11_filter_audit, op12_slack_packing, op13_ranked_search)
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -156,5 +164,26 @@ WITH first AS (
   FROM seen GROUP BY ALL
 )
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM figures
+""",
+    "op13_ranked_search": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), i AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark
+), total AS (
+  SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d WHERE len(ts) > 0
+), tf AS (
+  SELECT doc_id, term, len(ts) AS n, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM d) GROUP BY doc_id, term, len(ts)
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs
+), it AS (
+  SELECT item, item_id, term, count(*) AS r FROM (SELECT item, item_id, unnest(ts) AS term FROM i) GROUP BY ALL
+), scored AS (
+  SELECT item, item_id, doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM it JOIN tf USING (term) JOIN w USING (term), total GROUP BY item, item_id, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
 """,
 }

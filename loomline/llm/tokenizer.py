@@ -64,6 +64,7 @@ class TextEncoder:
         self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of a token; its string has one sign a byte
         for token, i in vocabulary.items():
             self._bytes[i] = len(token) - (0 if joined else len(_WORD_END) * token.endswith(_WORD_END))
+        self.n_ids = len(self._bytes)
         self._known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
