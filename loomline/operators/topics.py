@@ -1,6 +1,7 @@
-"""Topics of vectors and texts: clusters, class-weighted terms, quality, supervised labels.
+"""Topics of vectors and texts: clusters of a given number, class-weighted terms, quality, supervised labels.
 
-The clusters stand in for density-based ones: k-means on unit vectors, with points below a similarity floor as -1.
+Clusters by density are in `density`; here k-means on unit vectors is the alternative with a fixed number of topics,
+points below a similarity floor as -1.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Queries over the tables of a data folder, and their SQL."""
 
-from . import comparisons, relational, review, sampling, series, serving, text, topics, vectors
+from . import comparisons, decisions, narratives, relational, review, sampling, series, serving, text, topics, vectors
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "comparisons", "relational", "review", "sampling", "series", "serving", "text", "topics", "vectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "comparisons", "decisions", "narratives", "relational", "review", "sampling", "series", "serving", "text", "topics", "vectors"]

@@ -24,7 +24,7 @@ FROM e LEFT JOIN b ON b.vec_id = e.vec_id AND k = 1 LEFT JOIN g ON g.vec_id = e.
 )
 def inclusion_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External topics with a corporate counterpart above the threshold, and the others with the reason."""
-    pairs = cross_source(spark, sf_dir).select(F.col("vec_id_a").alias("vec_id"), F.col("vec_id_b").alias("counterpart"), "similarity")
+    pairs = cross_source(spark, sf_dir, 1, 0.20).select(F.col("vec_id_a").alias("vec_id"), F.col("vec_id_b").alias("counterpart"), "similarity")
     topics = embedded(spark, sf_dir).where(F.col("source") != "corporate").select("vec_id", "source")
     return serving.include_by_best(pairs, topics, "vec_id", 0.20)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import topics
+from ..operators import density, topics
 from ..operators.relational import top_by
 from ..plans.corpus import BASE_SQL, chunks, table
 from .registry import query
@@ -50,6 +50,12 @@ def terms_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.class_terms(terms, "lang", "term", 8)
 
 
+@query()
+def topic_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of the vectors of each label by density; -1 is noise."""
+    return density.density_clusters(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding")
+
+
 @query()
 def topic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the vectors, fitted; -1 for those far from every center."""
