@@ -10,6 +10,7 @@ from ..functions import lists, numbers, text
 from ..operators.chunking import paragraph_chunks, token_chunks as chunk_windows
 from ..operators.relational import top_by
 from ..plans.corpus import table
+from ..storage import stored
 from .registry import query
 
 _SPACE = r"[ \t\n\x0B\f\r]+"
@@ -93,22 +94,23 @@ def term_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS MATERIALIZED (SELECT doc_id, unnest({_TERMS}) AS w FROM documents), df AS MATERIALIZED (SELECT w, count(*) AS n FROM t GROUP BY w), top AS MATERIALIZED (SELECT w FROM df ORDER BY n DESC, w LIMIT 12),
-k AS MATERIALIZED (SELECT doc_id, w FROM t WHERE w IN (SELECT w FROM top)), p AS (SELECT a.w AS term_a, b.w AS term_b, count(*) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY ALL), m AS (SELECT count(*) AS m FROM documents)
-SELECT term_a, term_b, p.n AS pair_documents, round(ln(p.n * m / (da.n * db.n)) / nullif(-ln(p.n / m), 0), 6) AS npmi FROM p CROSS JOIN m JOIN df da ON da.w = term_a JOIN df db ON db.w = term_b"""
+    f"""WITH d AS (SELECT {_TERMS} AS ws FROM documents), top AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM d) GROUP BY w ORDER BY n DESC, w LIMIT 12), k AS (SELECT list_sort(list_filter(tops, lambda t: list_contains(ws, t))) AS k FROM d, (SELECT list(w) AS tops FROM top)),
+p AS (SELECT term_a, term_b, count(*) AS n FROM (SELECT term_a, unnest(list_filter(k, lambda t: t > term_a)) AS term_b FROM (SELECT k, unnest(k) AS term_a FROM k)) GROUP BY ALL)
+SELECT term_a, term_b, p.n AS pair_documents, round(ln(p.n * m / (da.n * db.n)) / nullif(-ln(p.n / m), 0), 6) AS npmi FROM p, (SELECT count(*) AS m FROM documents), top da, top db WHERE da.w = term_a AND db.w = term_b"""
 )
 def npmi_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised pointwise mutual information of the pairs of the twelve most frequent terms, over documents."""
-    docs = table(spark, sf_dir, "documents")
-    each = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("w"))
-    df = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = df.orderBy(F.desc("n"), "w").limit(12)
+    """Normalised pointwise mutual information of the pairs of the twelve most frequent terms of all, over documents.
+
+    The texts are tokenised once, into stored word lists. Of topics, each with its own terms, see quality.topic_pair_npmi.
+    """
+    lists = stored(table(spark, sf_dir, "documents").select(F.array_distinct(text.tokens(F.col("text"))).alias("t")))
+    top = stored(lists.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(12))
     # The few terms of a document as one list, so that pairs come from within it.
-    mine = each.join(F.broadcast(top.select("w")), "w").groupBy("doc_id").agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    mine = lists.crossJoin(F.broadcast(top.agg(F.array_sort(F.collect_list("w")).alias("tops")))).select(F.array_intersect("tops", "t").alias("ws"))
     pairs = F.flatten(F.transform("ws", lambda a: F.transform(F.filter("ws", lambda b: b > a), lambda b: F.struct(a.alias("term_a"), b.alias("term_b")))))
     counts = mine.select(F.explode(pairs).alias("p")).groupBy("p.term_a", "p.term_b").agg(F.count(F.lit(1)).alias("pair_documents"))
     a, b = (top.select(F.col("w").alias(f"term_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
-    out = counts.join(F.broadcast(a), "term_a").join(F.broadcast(b), "term_b").crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("m"))))
+    out = counts.join(F.broadcast(a), "term_a").join(F.broadcast(b), "term_b").crossJoin(F.broadcast(lists.agg(F.count(F.lit(1)).alias("m"))))
     npmi = F.try_divide(F.log(F.col("pair_documents") * F.col("m") / (F.col("n_a") * F.col("n_b"))), -F.log(F.col("pair_documents") / F.col("m")))
     return out.select("term_a", "term_b", "pair_documents", F.round(npmi, 6).alias("npmi"))
 

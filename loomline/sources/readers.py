@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import number
 from ..operators.relational import ContractError, require_columns, require_unique
+from .lines import parsed_lines
 
 CHUNK_SCHEMA = (
     "doc_id string, chunk_id string, text string, year int, source string, company string, ticker string, sic string, sic2 string, industry string, item string, token_count int, chunk_start_token int, chunk_end_token int, "
@@ -35,15 +36,16 @@ def locate(spark: SparkSession, root: str, patterns: dict[str, str]) -> dict[str
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Fields of each JSON line with its file and physical line number (from 1); blank lines are left out, bad ones have NULL fields.
 
-    A line's number needs its file read as a whole: each file is one row, taken apart in the executors.
+    Files are read in splits (lines.numbered_lines); lines.line_counts says how many lines were blank or bad.
     """
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("original_file"))
-    lines = files.select("original_file", F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).where(F.trim("line") != "")
-    return lines.select("original_file", (F.col("i") + 1).cast("long").alias("record_position"), F.from_json("line", schema).alias("r")).select("original_file", "record_position", "r.*")
+    return parsed_lines(spark, path, schema).where(~F.col("is_blank")).select("original_file", "record_position", "r.*")
 
 
 def records(spark: SparkSession, path: str, kind: str | None = None, schema: str | None = None) -> DataFrame:
-    """Rows of a CSV, JSON, JSON-lines or Parquet path; the kind comes from the suffix."""
+    """Rows of a CSV, JSON, JSON-lines or Parquet path; the kind comes from the suffix.
+
+    Of JSON lines malformed ones are skipped, as a look-up table wants it; lines.line_counts says how many they are.
+    """
     kind = kind or path.rsplit(".", 1)[-1].lower()
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "csv":

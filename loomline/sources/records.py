@@ -11,17 +11,29 @@ from ..functions.text import blank_to_null, html_paragraphs, join_paragraphs, no
 FIRST_YEAR = 2000
 
 
+# What a document's id begins with, by source.
+ID_PREFIX = {"media": "media", "academic": "paper", "corporate": "10k"}
+
+
 def standard(rows: DataFrame, source: str) -> DataFrame:
-    """doc_id, source, year, text, paragraphs and, of company filings, company, ticker, sic, item, filing_date and form_type."""
+    """doc_id, source, year, text, paragraphs and, of company filings, company, ticker, sic, item, filing_date and form_type.
+
+    original_file and record_position (readers.json_lines) are kept where the rows have them; the id of a news item, whose
+    own id may repeat, ends with its line then.
+    """
+    numbered = "record_position" in rows.columns
     filing = source == "corporate"
     has = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
     body = html_paragraphs("content") if filing else F.array(normalize_text("document"))
     out = rows.select(
-        F.concat_ws("_", F.lit(source), F.col("id").cast("string")).alias("doc_id"),
+        F.concat_ws("::", F.lit(ID_PREFIX[source]), F.col("id").cast("string"), *([F.concat(F.lit("row_"), F.col("record_position").cast("string"))] if numbered and source == "media" else [])).alias("doc_id"),
         F.lit(source).alias("source"),
         whole(F.col("year")).cast("int").alias("year"),
         F.filter(body, lambda p: F.trim(p) != "").alias("paragraphs"),
         F.col("id").cast("string").alias("raw_id"),
+        F.col("id").cast("string").alias("source_doc_id"),
+        has("original_file").alias("original_file"),
+        has("record_position").cast("long").alias("record_position"),
         blank_to_null(has("company")).alias("company"),
         blank_to_null(has("ticker")).alias("ticker"),
         blank_to_null(has("sic_primary")).alias("sic"),
