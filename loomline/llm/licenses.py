@@ -85,7 +85,14 @@ See the {name} for more details.
 You should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."""
 _GNU_NAMES = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
 _GNU_IDS = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
-TEMPLATES += [(i, _GNU.format(name=_GNU_NAMES[i.partition("-")[0]], version=i.partition("-")[2].removesuffix(".0"))) for i in _GNU_IDS]
+# Every notice, whole and its first sentence, with either noun, so that among the licenses name and version alone decide.
+TEMPLATES += [
+    (i, text.replace("program", noun).format(name=_GNU_NAMES[i.partition("-")[0]], version=i.partition("-")[2].removesuffix(".0")))
+    for i in _GNU_IDS
+    for noun in ("program", "library")
+    for text in (_GNU, _GNU.partition("\n")[0])
+]
+TEMPLATES += [("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1.")]
 _SPDX = ["Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
 TEMPLATES += [(i, f"SPDX-License-Identifier: {i}") for i in _SPDX]
 TEMPLATES += [(i, f"SPDX-License-Identifier: {i}-{which}") for i in _GNU_IDS for which in ("only", "or-later")]

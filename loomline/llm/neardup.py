@@ -319,19 +319,28 @@ def _links(postings: DataFrame, lengths: DataFrame, candidates: DataFrame, sets:
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE) -> DataFrame:
-    """The rows, all columns, that stay: of each component the row with the least doc_id.
+    """The rows, all columns, that stay: of each component the row with the least doc_id, a NULL one last.
 
-    Rows that repeat a doc_id with the same text count once.
+    Rows are told apart by a 64-bit hash of doc_id and text, so rows with a NULL or a repeated doc_id go or stay by their
+    own texts. Rows equal in both count once, if they have words; texts without words all stay.
     """
-    decided = runtime.stored(near_duplicates(docs, similarity, width).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "kept"), "dedup-decisions")
     name = "__loomline_key"
-    keyed = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    gone = decided.where(~F.col("kept")).select(F.col("key").alias(name)).distinct()
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    found = runtime.stored(near_duplicates(docs.select(key.alias("doc_id"), "text"), similarity, width).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id", "kept"), "dedup-decisions")
+    sizes = found.where(~F.col("kept")).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))  # components of more than one text or id
+    many = runtime.stored(sizes, "dedup-components")
+    n = many.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = runtime.join_by_frequency(found, many, "component_id", "n", max(1, n)).select("key", "component_id").distinct()
+    members = runtime.stored(members, "dedup-members")
+    ids = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    named = runtime.join_bounded(ids, members, ["key"], "inner")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("f")).select(F.col("f.key").alias("key"))
+    gone = runtime.stored(members.join(first, "key", "left_anti").select(F.col("key").alias(name)), "dedup-gone")
+    keyed = docs.withColumn(name, key)
     rest = runtime.join_bounded(keyed, gone, [name], "left_anti")
-    again = decided.where("kept").groupBy("key").count().where("count > 1").select(F.col("key").alias(name))
+    again = runtime.stored(found.groupBy("key").count().where("count > 1").select(F.col("key").alias(name)), "repeated-rows")
     if not again.take(1):
         return rest.drop(name)
-    again = runtime.stored(again, "repeated-ids")
     once = runtime.join_bounded(rest, again, [name], "left_anti")
-    twice = runtime.join_bounded(rest, again, [name], "left_semi").dropDuplicates([name, "text"])
+    twice = runtime.join_bounded(rest, again, [name], "left_semi").dropDuplicates([name])
     return once.unionByName(twice).drop(name)

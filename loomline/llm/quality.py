@@ -6,7 +6,8 @@ P(label 1).
 
 The classifier is fitted on a bounded sample of labelled rows (SAMPLE_PER_LABEL rows of either label, two thirds of them
 for the dictionaries and one third for the calibration, and of the former as many, in a hash order, as SAMPLE_BYTES
-hold), whose texts are taken whole, in blocks; every whole text is scored.
+hold), whose texts are taken whole, in blocks; every whole text is scored. As the sample is drawn by label, the
+calibration is corrected to the rate of label 1 among all labelled documents, which is counted.
 """
 
 from __future__ import annotations
@@ -92,22 +93,24 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int = MOD, held_out: int = HELD_OUT, per_label: int = SAMPLE_PER_LABEL) -> Model:
     """Dictionaries and calibration from labelled rows outside the held-out fold.
 
-    NULL and empty texts and NULL ids teach nothing; rows that repeat a labelled doc_id are read each. Without rows of a
+    NULL and empty texts and NULL ids teach nothing; rows that repeat a labelled doc_id are read each, equal texts of it once. Without rows of a
     label its dictionary is empty, without any the score is 0.5.
     """
     spark = docs.sparkSession
     runtime.prepare(spark)
-    rows = labelled.usable(labels, column, mod, held_out)
+    rows = runtime.stored(labelled.usable(labels, column, mod, held_out), "quality-labels")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    counts = {r[0]: r[1] for r in runtime.join_bounded(ids, rows, ["doc_id"], "inner").groupBy("label").count().collect()}  # two rows
+    rate = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     chosen = [labelled.hashed_sample(rows.where(F.col("label") == k), per_label, 4) for k in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])  # at most 2 * per_label rows
-    texts = runtime.docs_of(docs).join(F.broadcast(sample), "doc_id")
-    texts = texts.withColumn("use", (F.abs(F.xxhash64("doc_id", F.lit(44))) % 3 < 2).cast("int"))
-    # Rows for the dictionaries: whole texts in a hash order, as long as all before them fit in the bytes.
-    size = F.octet_length("text").cast("long")
-    before = Window.partitionBy("label", "use").orderBy(F.xxhash64("doc_id", F.lit(45)), "doc_id", "text")  # at most 2 * per_label rows
-    slim = texts.where(F.col("text") != "").withColumn("through", F.sum(size).over(before))
-    taken = runtime.stored(slim.where((F.col("use") == 0) | (F.col("through") <= SAMPLE_BYTES)).select("doc_id", "label", "use", "text"), "quality-sample")
-    rows = taken.where("use = 1").select("label", "text", "doc_id").orderBy("label", "doc_id", "text").collect()
+    texts = runtime.docs_of(docs).join(F.broadcast(sample), "doc_id").where(F.col("text") != "")
+    texts = runtime.stored(texts.withColumn("use", (F.abs(F.xxhash64("doc_id", F.lit(44))) % 3 < 2).cast("int")).withColumn("key", F.xxhash64("doc_id", "text")), "quality-sample")
+    # Rows for the dictionaries: whole texts in a hash order, as long as all before them fit in the bytes. Sizes alone are ordered.
+    sizes = texts.where("use = 1").select("label", "doc_id", "key", F.octet_length("text").cast("long").alias("size")).distinct()
+    before = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(45)), "doc_id", "key")  # at most per_label rows, but for repeated ids
+    fitting = sizes.withColumn("through", F.sum("size").over(before)).where(F.col("through") <= SAMPLE_BYTES).select("label", "doc_id", "key")
+    rows = texts.where("use = 1").join(fitting, ["label", "doc_id", "key"]).select("label", "text", "doc_id").distinct().orderBy("label", "doc_id", "text").collect()
     dictionaries = [build_dictionary([raw[i : i + BLOCK] for r in rows if r[0] == k for raw in [r[1].encode("utf-8", "surrogatepass")] for i in range(0, len(raw), BLOCK)]) for k in (0, 1)]
     model = Model(dictionaries[1], dictionaries[0])
 
@@ -116,9 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int =
             sizes = np.array([model.sizes(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sizes.T)], ["label", "n", "g", "b"])
 
-    measured = taken.where("use = 0").select("label", "text").mapInArrow(measure, "label int, n long, g long, b long").orderBy("label", "n", "g", "b").collect()
+    measured = texts.where("use = 0").select("label", "text").mapInArrow(measure, "label int, n long, g long, b long").orderBy("label", "n", "g", "b").collect()
     values = np.array([tuple(r) for r in measured], np.int64).reshape(-1, 4)
-    model.calibration = Logistic(Model.features(values[:, 1:]), values[:, 0])
+    model.calibration = Logistic(Model.features(values[:, 1:]), values[:, 0], rate=rate)
     return model
 
 

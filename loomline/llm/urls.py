@@ -118,25 +118,45 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def beside_rules(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """Host and path without what rules can say: the longest host of a rule that it ends with, the longest path that it begins with.
+    """Host and path without what rules can say: as many last labels of every host, and first segments of every path, as a
+    rule has at most.
 
-    For every page, whether a rule fits it or not, or else words of rules would tell labelled pages from the others.
+    For every page, whether a rule fits it or not, and as much of each, or else words of rules, or what is left beside a
+    shorter rule, would tell labelled pages from the others and one verdict from the other.
     """
-    host, path = F.col("host"), F.col("path")
-    for name in sorted({r.partition("/")[0] for r, _ in rules}, key=len):
-        ends = (F.col("host") == name) | F.endswith("host", F.lit("." + name))
-        host = F.when(ends, F.expr(f"left(host, length(host) - {len(name)})")).otherwise(host)
-    for begin in sorted({"/" + r.partition("/")[2] for r, _ in rules}, key=len):
-        path = F.when(F.startswith("path", F.lit(begin)), F.substring("path", len(begin) + 1, 1 << 30)).otherwise(path)
+    most = max((r.partition("/")[0].count(".") + 1 for r, _ in rules), default=0)
+    deepest = max((r.partition("/")[2].count("/") for r, _ in rules), default=0)
+    labels, segments = F.split("host", r"\."), F.split("path", "/")
+    host = F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - most, F.lit(0))), ".")
+    # A path begins with a slash, before which is an empty segment.
+    path = F.array_join(F.slice(segments, F.lit(deepest + 2), F.greatest(F.size(segments) - deepest - 1, F.lit(0))), "/")
     return host, path
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (log odds of block) and host_words for every row of pages.
-
-    A NULL or malformed url has an empty host and path and no tokens, so the prior decides. Even odds, and all odds where
-    no rule blocks or none allows any page, mean allow. Repeated rows count as often as they occur.
-    """
+def cross_scores(urls: DataFrame, folds: int = 5) -> DataFrame:
+    """row, bad, score of the labelled rows of urls (row, tokens, bad), each by the counts of the other folds: held-out scores."""
+    fold = F.pmod(F.xxhash64("row"), F.lit(folds)).cast("int")
+    known = urls.where(F.col("bad").isNotNull()).select("row", "bad", "tokens", fold.alias("fold"))
+    each = known.select("row", "bad", "fold", F.explode("tokens").alias("token"))
+    counts = lambda df, *by: df.groupBy(*by).agg(F.sum("bad").alias("n_bad"), F.sum(1 - F.col("bad")).alias("n_good"))
+    own = counts(each, "token", "fold").withColumnsRenamed({"n_bad": "own_bad", "n_good": "own_good"})
+    total = counts(each, "token")
+    sizes = {r.fold: (r.n_bad, r.n_good) for r in counts(each, "fold").collect()}  # a row per fold
+    rows = {r.fold: (r.n_bad, r.n_good) for r in counts(known, "fold").collect()}
+    out = [sum(v[k] for v in sizes.values()) for k in (0, 1)]
+    pages = [sum(v[k] for v in rows.values()) for k in (0, 1)]
+    kinds = total.count()
+    at = lambda values: F.element_at(F.array(*[F.lit(float(values(f))) for f in range(folds)]), F.col("fold") + 1)
+    bad_tokens, good_tokens = (at(lambda f, k=k: out[k] - sizes.get(f, (0, 0))[k] + kinds + 1) for k in (0, 1))
+    prior = at(lambda f: math.log((pages[0] - rows.get(f, (0, 0))[0] + 1) / (pages[1] - rows.get(f, (0, 0))[1] + 1)))
+    joined = each.select("row", "fold", "token").join(total, "token").join(own, ["token", "fold"])
+    weight = F.log((F.col("n_bad") - F.col("own_bad") + 1.0) / bad_tokens) - F.log((F.col("n_good") - F.col("own_good") + 1.0) / good_tokens)
+    odds = joined.groupBy("row").agg(F.sum(weight).alias("sum"))
+    return known.join(odds, "row", "left").select("row", "bad", F.round(F.coalesce("sum", F.lit(0.0)) + prior, 9).alias("score"))
+
+
+def labelled_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """row, page_id, host, path, fit (the rule), host_words, tokens and bad (1: a rule blocks, 0: allows, NULL: none fits); stored."""
     rules = RULES if rules is None else rules
     spark: SparkSession = pages.sparkSession
     runtime.prepare(spark)
@@ -153,7 +173,16 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]] | None = None) ->
     joined = runtime.join_by_frequency(joined.drop("n_pages"), own_words, "own", "n_pages", 2 * total)
     tokens = F.concat(F.transform("own_words", lambda w: F.concat(F.lit("h:"), w)), F.transform(path_tokens(F.col("own_path")), lambda w: F.concat(F.lit("p:"), w)))
     label = F.when(F.col("fit").isNotNull(), (F.col("fit.verdict") == "block").cast("int"))
-    urls = runtime.stored(joined.select("row", "page_id", "host", "path", "fit", "host_words", tokens.alias("tokens"), label.alias("bad")), "url-tokens")
+    return runtime.stored(joined.select("row", "page_id", "host", "path", "fit", "host_words", tokens.alias("tokens"), label.alias("bad")), "url-tokens")
+
+
+def url_filter(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (log odds of block) and host_words for every row of pages.
+
+    A NULL or malformed url has an empty host and path and no tokens, so the prior decides. Even odds, and all odds where
+    no rule blocks or none allows any page, mean allow. Repeated rows count as often as they occur.
+    """
+    urls = labelled_urls(pages, rules)
     size = F.size("tokens")
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("bad"), 1 - F.col("bad"), F.col("bad") * size, (1 - F.col("bad")) * size, size)]
     bad, good, bad_tokens, good_tokens, n_tokens = urls.agg(*sums).first()

@@ -49,6 +49,27 @@ def test_odd_rows(labelled, odd, none, module):
     assert module.score(odd, nothing).where("score between 0 and 1").count() == odd.count()
 
 
+def test_quality_has_the_rate_of_all_labels(spark):
+    """86 of 100 are good; a sample of as many of either label must not move the scores, nor that of an empty text."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("aeiou") + draw.choice("bdfgklmnprst") for _ in range(draw.randint(1, 3)))
+    docs, labels = [], []
+    for i in range(1500):
+        good = i % 100 < 86
+        words = [word() for _ in range(12)]
+        for _ in range(draw.randrange(3) if good else draw.randrange(1, 4)):
+            words[draw.randrange(12)] = draw.choice(["$$$WIN$$$", "CLICK!!!"])  # both kinds have them, the bad ones more
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame([*docs, (-1, ""), (-2, None)], "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    for per_label in (50, 3000):
+        rows = quality.score(docs, quality.fit(docs, table, per_label=per_label)).collect()
+        scores = {r.doc_id: r.score for r in rows}
+        assert abs(np.mean([v for k, v in scores.items() if k >= 0]) - 0.86) < 0.06
+        assert scores[-1] == scores[-2] and abs(scores[-1] - 0.86) < 0.02
+
+
 def test_filters_keep_columns(labelled, odd):
     docs, labels, truth = labelled
     kept = toxicity.drop_toxic(docs, toxicity.fit(docs, labels))

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from loomline.llm import licenses, urls
 
 FILES = [
@@ -133,6 +135,21 @@ def test_versions_identifiers_and_short_texts(spark):
     assert {r.file_id: r.license for r in licenses.license_scan(df).collect()} == {i: n for i, (_, n) in texts.items()}
 
 
+@pytest.mark.parametrize("noun", ["library", "program"])
+def test_versions_decide_within_a_family(spark, noun):
+    """The standard header of each GNU license under either noun, above code."""
+    code = "\n".join(f"call_{i}(value_{i})" for i in range(60))
+    rows, want = [], {}
+    for i, (name, full) in enumerate([("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"), ("AGPL", "GNU Affero General Public License")]):
+        for version in {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}[name]:
+            key = 10 * i + len(rows)
+            header = GPL3.replace("GNU General Public License", full).replace("version 3", f"version {version}").replace("program", noun)
+            rows.append((key, f"d{key}/f", f"/*\n{header}*/\n{code}"))
+            want[key] = f"{name}-{version if '.' in version else version + '.0'}"
+    got = {r.file_id: r.license for r in licenses.license_scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == want
+
+
 def test_inheritance_equals_brute_force(spark):
     """The nearest directory above with a license file, by walking up."""
     import random
@@ -236,9 +253,7 @@ def bayes(rows, html):
             name, _, prefix = rule.partition("/")
             if fit is None and (host == name or host.endswith("." + name)) and path.startswith("/" + prefix):
                 fit = (name, "/" + prefix, verdict)
-        names = [n for n in ("example.net", "example.com", "net", "org") if host == n or host.endswith("." + n)]
-        begins = [b for b in ("/en/", "/de/", "/fr/", "/") if path.startswith(b)]
-        own, own_path = host[: len(host) - len(names[0])] if names else host, path[len(begins[0]) :] if begins else path
+        own, own_path = ".".join(host.split(".")[:-2]), "/".join(path.split("/")[2:])
         seen.append((fit and fit[2], [*("h:" + w for w in split(own)), *("p:" + w for w in path_words(own_path))]))
     count = {v: Counter(t for f, ts in seen if f == v for t in ts) for v in ("block", "allow")}
     pages = Counter(f for f, _ in seen)
@@ -272,6 +287,32 @@ def test_verdicts_equal_brute_force(spark):
     assert all((v == "block") == bool(i % 2) for i, v in open_pages) and len({v for _, v in open_pages}) == 2
 
 
+def test_no_host_suffix_decides(spark):
+    """Pages of hosts with the same words in front and the same paths get the same verdicts, whatever their domain."""
+    words = ["news", "bets", "garden", "casino", "books", "pills", "m"]
+    labelled = [(f"https://{w}.example.net/{'en' if i % 2 == 0 else 'de'}/a{i}", "") for i, w in enumerate(words[:6] * 9)]
+    open_pages = [(f"https://{w}.{d}/it/x", "") for w in words for d in ("example.org", "example.com", "some.org")]
+    rows = labelled + open_pages
+    got = {r.page_id: r for r in urls.url_filter(spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id int, url string, html string")).collect()}
+    by_word = {}
+    for i in range(len(labelled), len(rows)):
+        assert got[i].rule is None
+        by_word.setdefault(rows[i][0].split("://")[1].split(".")[0], set()).add((got[i].verdict, got[i].score))
+    assert all(len(v) == 1 for v in by_word.values()) and {next(iter(v))[0] for v in by_word.values()} == {"allow", "block"}
+
+
+def test_cross_scores_leave_the_own_fold_out(spark):
+    """With labels that no token tells, held-out scores tell nothing; with labels that one tells, they do."""
+    def auc(rows):
+        bad, good = [r.score for r in rows if r.bad], [r.score for r in rows if not r.bad]
+        return sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good))
+
+    for told in (False, True):
+        pages = [(i, f"https://{'free' if told and i % 2 else 'plain'}x{chr(97 + i % 23)}.a.example.net/{'de' if i % 2 else 'en'}/p", "free plain") for i in range(300)]
+        found = urls.cross_scores(urls.labelled_urls(spark.createDataFrame(pages, "page_id int, url string, html string"))).collect()
+        assert len(found) == 300 and (auc(found) > 0.95 if told else auc(found) < 0.65)
+
+
 def test_odd_pages(spark, odd, none):
     pages = odd.selectExpr("doc_id AS page_id", "text AS url", "text AS html", "score", "label", "token", "row")
     got = urls.url_filter(pages).collect()

@@ -113,6 +113,28 @@ def test_drop_keeps_one_of_each(spark, odd, copies):
     assert neardup.drop_near_duplicates(df).count() == sum(r[3] for r in brute(copies))
 
 
+def test_unlike_rows_of_one_id_stay(spark):
+    """NULL and repeated ids: rows go by their own texts, not by their id."""
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(30)) for w in ("ab", "cd", "ef", "gh"))
+    rows = [(1, one), (None, one), (None, two), (None, three), (4, four), (4, one + " end"), (4, four), (9, None), (9, None), (None, " "), (None, two)]
+    got = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, one), (None, two), (None, three), (4, four), (9, None), (9, None), (None, " ")], key=repr)
+
+
+def test_planted_pairs_are_all_found(spark):
+    """A thousand pairs of Jaccard similarity from 0.85 to 0.95, all of unlike texts, and as many just below."""
+    rows, want = [], 0
+    for i in range(1000):
+        words = [f"w{i}x{k}" for k in range(204)]
+        fresh = 5 + i % 12  # the shingles that hold a new word at the end: fresh of 200
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 204 - fresh] + [f"v{i}x{k}" for k in range(fresh)]))]
+        want += 100 * (200 - fresh) >= 85 * (200 + fresh)
+        words = [f"y{i}x{k}" for k in range(204)]
+        rows += [(10_000 + 2 * i, " ".join(words)), (10_001 + 2 * i, " ".join(words[:186] + [f"z{i}x{k}" for k in range(18)]))]  # 182/218
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).where("doc_id <> component_id").collect()
+    assert len(got) == want == 1000 and all(r.doc_id == r.component_id + 1 and r.doc_id < 10_000 for r in got)
+
+
 def test_thresholds():
     """The most matches that a pair at the threshold misses with a chance of at most a millionth."""
     for n in (64, 128):

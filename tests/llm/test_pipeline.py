@@ -68,8 +68,23 @@ def test_shape(spark, data):
         assert stage(spark, docs.limit(0), root).columns == docs.columns
 
 
+def test_stages_on_odd_rows(spark, data, odd, none, tmp_path):
+    """NULLs, empty, very long and repeated rows and clashing names; each stage takes rows out, none adds or alters any."""
+    root = data[0]
+    before = {repr(r) for r in odd.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, root)
+        assert kept.columns == odd.columns and {repr(r) for r in kept.collect()} <= before, name
+        assert stage(spark, none, root).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, root).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+    spark.read.parquet(f"{root}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{root}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
