@@ -1,7 +1,8 @@
 """Answers of language models as JSON text, under any of the keys that models choose, to one set of fields.
 
 An answer is parsed once, in Arrow batches: as one built-in expression, with a branch for every key and place, it grew
-beyond a driver's 3 GB while it was planned. An object or a list where a plain value is asked for becomes JSON text.
+beyond a driver's 3 GB while it was planned. An object or a list where a plain value is asked for becomes the text that Python
+writes for it.
 NULL and bad JSON count as an answer without keys.
 """
 
@@ -30,6 +31,10 @@ ITEM_TITLE_KEYS = ["step_name", "phase", "stage_name", "title", "Topic", "Phase_
 ITEM_TEXT_KEYS = ["description", "characteristics", "summary", "Summary", "details", "focus", "Primary_Concerns", "concepts", "narrative"]
 ITEM_KEYWORDS_KEYS = ["keywords", "Keywords", "key_concepts", "themes"]
 PHASES = 4
+# What a record says of the topic that was asked about; of these an answer may repeat only the last two.
+IDENTITY = ["subgroup", "source", "assigned_label", "micro_topic_id", "topic_name_original"]
+#: Fields that a default may fill where no key of the answer does.
+DEFAULTED = ["topic_label_refined", "overall_summary", "evolution_pattern", "evidence_note"]
 FIELDS = ["topic_label_refined", "overall_summary", "evolution_pattern", "evidence_note", *[f"phase_{i}_{part}" for i in range(1, PHASES + 1) for part in ("years", "summary")]]
 
 _YEARS = re.compile(r"\d{4}(?:\s*[-–]\s*\d{4})?")
@@ -38,9 +43,7 @@ _Phase = tuple[str, str]
 
 
 def plain(value: object) -> str:
-    """A value as text with single spaces, '' where it says nothing."""
-    if isinstance(value, (dict, list)):
-        value = json.dumps(value, ensure_ascii=False)
+    """A value as text with single spaces, '' where it says nothing; a list or object as Python writes it."""
     text = "" if value is None else " ".join(str(value).split())
     return "" if text.lower() in NULLISH else text
 
@@ -138,14 +141,15 @@ def name_as_label(name: object) -> str:
     return " ".join(re.sub(r"[_-]", " ", text).split()).title()
 
 
-def fields_of(answer: dict, topic_name: str, default_years: str) -> dict[str, str]:
-    """The FIELDS of an answer. What no key fills comes from what there is: the label from the topic's name, the summary
-    from themes, then phases; without a whole phase the summary is the first one."""
+def fields_of(answer: dict, topic_name: str, default_years: str, defaults: dict[str, str] | None = None) -> dict[str, str]:
+    """The FIELDS of an answer. What neither a key nor a default fills comes from what there is: the label from the topic's
+    name, the summary from themes, then phases; without a whole phase the summary is the first one."""
+    given = {f: plain((defaults or {}).get(f)) for f in DEFAULTED}
     name, default = plain(topic_name), plain(default_years)
     found = [*phases(answer, default), *[("", "")] * PHASES]
     own = [(plain(answer.get(f"phase_{i}_years")) or years, plain(answer.get(f"phase_{i}_summary")) or text) for i, (years, text) in enumerate(found[:PHASES], 1)]
     texts = [text for _, text in own if text]
-    summary = first_at(answer, SUMMARY_KEYS)
+    summary = first_at(answer, SUMMARY_KEYS) or given["overall_summary"]
     if not summary and (themes := first_at(answer, THEME_KEYS, listed)):
         summary = f"Temporal synthesis centers on: {themes}."
     if not summary and texts:
@@ -153,9 +157,9 @@ def fields_of(answer: dict, topic_name: str, default_years: str) -> dict[str, st
     if summary and not any(years and text for years, text in own):
         own[0] = (own[0][0] or default or "full period", own[0][1] or summary)
     titles = [text.split(":", 1)[0][:80] for _, text in own if text]
-    pattern = first_at(answer, PATTERN_KEYS) or (" -> ".join(titles) if len(titles) > 1 else "Single phase observation" if titles else "")
-    label = first_at(answer, LABEL_KEYS) or name_as_label(plain(answer.get("topic_name_original")) or name)
-    evidence = plain(answer.get("evidence_note")) or first_at(answer, EVIDENCE_KEYS, listed)
+    pattern = first_at(answer, PATTERN_KEYS) or given["evolution_pattern"] or (" -> ".join(titles) if len(titles) > 1 else "Single phase observation" if titles else "")
+    label = first_at(answer, LABEL_KEYS) or given["topic_label_refined"] or name_as_label(plain(answer.get("topic_name_original")) or name)
+    evidence = plain(answer.get("evidence_note")) or first_at(answer, EVIDENCE_KEYS, listed) or given["evidence_note"]
     return dict(zip(FIELDS, [label, plain(summary), plain(pattern), evidence, *[value for pair in own for value in pair]], strict=True))
 
 
@@ -174,3 +178,38 @@ def _rows(answers: pd.Series, names: pd.Series, years: pd.Series) -> pd.DataFram
 def canonical(answer: Column, topic_name: Column, default_years: Column) -> Column:
     """A struct of FIELDS out of an answer's JSON text; every field is text, '' where there is nothing."""
     return F.pandas_udf(_rows, ", ".join(f"{f} string" for f in FIELDS))(answer, topic_name, default_years)
+
+
+def whole(value: object) -> int | None:
+    """A whole number, or text or a number that is one when its fraction is cut off; else None."""
+    try:
+        return int(float(value)) if value is not None and not isinstance(value, bool) else None
+    except (TypeError, ValueError, OverflowError):
+        return None
+
+
+def record_of(answer: dict, defaults: dict[str, object]) -> dict[str, object]:
+    """IDENTITY and FIELDS. Where a topic comes from is what was asked about, whatever the answer says; its number and name
+    are the answer's own, if it has any. A number that neither has is 0."""
+    name = plain(answer.get("topic_name_original")) or plain(defaults.get("topic_name_original"))
+    number = whole(answer.get("micro_topic_id"))
+    number = whole(defaults.get("micro_topic_id")) if number is None else number
+    own = {f: plain(defaults.get(f)) for f in ("subgroup", "source", "assigned_label")}
+    return {**own, "micro_topic_id": number or 0, "topic_name_original": name, **fields_of(answer, name, defaults.get("default_year_span"), defaults)}
+
+
+def canonical_record(answer: Column, defaults: dict[str, Column]) -> Column:
+    """A struct of IDENTITY and FIELDS out of an answer's JSON text.
+
+    defaults: columns for any of IDENTITY, DEFAULTED and default_year_span. A NULL default is none.
+    """
+    names = list(defaults)
+
+    def rows(answers: pd.Series, given: pd.DataFrame) -> pd.DataFrame:
+        records = given.astype(object).where(given.notna(), None).to_dict("records")
+        return pd.DataFrame([record_of(_parsed(a), d) for a, d in zip(answers, records, strict=True)], columns=[*IDENTITY, *FIELDS])
+
+    schema = ", ".join(f"{f} {'long' if f == 'micro_topic_id' else 'string'}" for f in (*IDENTITY, *FIELDS))
+    packed = F.struct(*[defaults[n].alias(n) for n in names]) if names else F.struct(F.lit(None).cast("string").alias("none"))
+    typed = F.pandas_udf(rows, schema)
+    return typed(answer, packed)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import join_bounded
+
 
 def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
@@ -24,7 +26,7 @@ def proportional(rows: DataFrame, group: str, key: str, total: int, seed: int) -
     """`total` rows with each group's share by largest remainders."""
     quota = quotas(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group, "n", total)
     ranked = rows.withColumn("sample_rank", F.row_number().over(Window.partitionBy(group).orderBy(hash_order(key, seed), key)))
-    return ranked.join(F.broadcast(quota), group).where(F.col("sample_rank") <= F.col("quota"))
+    return join_bounded(ranked, quota, [group]).where(F.col("sample_rank") <= F.col("quota"))
 
 
 def round_robin(rows: DataFrame, group: str, key: str, total: int, seed: int) -> DataFrame:

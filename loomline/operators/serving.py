@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import blank_to_null, clean_text, truncate_text, truncate_words
+from ..functions.vectors import dot
+from ..storage import stored
+from .neighbours import similar_pairs
 from .relational import top_by
 
 
@@ -69,18 +72,22 @@ def filing_parts(c: Column) -> Column:
 
 
 def silhouette(vectors: DataFrame, key: str, group: str, vector: str, per_group: int) -> DataFrame:
-    """Cosine silhouette of at most per_group vectors of each group (a sample by hash): own mean distance against the nearest other group's."""
-    from .sampling import reservoir
+    """Cosine silhouette of at most per_group vectors of each group (a sample by hash): own mean distance against the nearest other group's.
 
-    rows = reservoir(vectors, group, key, per_group, 42).select(key, group, vector)
-    a, b = (rows.select(F.col(key).alias(f"k{s}"), F.col(group).alias(f"g{s}"), F.col(vector).alias(f"v{s}")) for s in ("a", "b"))
-    from ..functions.vectors import dot
+    The mean distance of a unit vector to a group comes from the group's sum of vectors, so a row meets each group once,
+    never each other row. A group of one has no own distance and no silhouette.
+    """
+    from .sampling import reservoir
 
-    # groups * per_group rows on either side: a bounded sample, broadcast
-    pairs = a.join(F.broadcast(b), F.col("ka") != F.col("kb")).withColumn("d", 1 - dot(F.col("va"), F.col("vb")))
-    means = pairs.groupBy("ka", "ga", "gb").agg(F.avg("d").alias("d"))
-    own = F.max(F.when(F.col("ga") == F.col("gb"), F.col("d")))
-    other = F.min(F.when(F.col("ga") != F.col("gb"), F.col("d")))
-    each = means.groupBy("ka", "ga").agg(own.alias("own"), other.alias("other"))
+    rows = stored(reservoir(vectors, group, key, per_group, 42).select(F.lit(1).alias("_all"), F.col(key).cast("string").alias("k"), F.col(group).alias("g"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
+    parts = rows.select("g", F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
+    sums = parts.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    groups = stored(sums.join(sizes, "g").select(F.lit(1).alias("_all"), F.col("g").cast("string").alias("k"), "g", "n", "v"))
+    products = similar_pairs(rows, groups, ["_all"], "k", "v", digits=12).select(F.col("a").alias("k"), F.col("b").alias("name"), "similarity")
+    met = products.join(rows.select("k", "g", dot(F.col("v"), F.col("v")).alias("self")), "k").join(groups.select(F.col("k").alias("name"), F.col("g").alias("other"), "n"), "name")
+    own = F.max(F.when((F.col("g") == F.col("other")) & (F.col("n") > 1), 1 - (F.col("similarity") - F.col("self")) / (F.col("n") - 1)))
+    other = F.min(F.when(F.col("g") != F.col("other"), 1 - F.col("similarity") / F.col("n")))
+    each = met.groupBy("k", "g").agg(own.alias("own"), other.alias("other"))
     value = (F.col("other") - F.col("own")) / F.greatest("own", "other")
-    return each.groupBy(F.col("ga").alias(group)).agg(F.count(F.lit(1)).alias("sampled"), F.round(F.avg(value), 6).alias("silhouette"))
+    return each.groupBy(F.col("g").alias(group)).agg(F.count(F.lit(1)).alias("sampled"), F.round(F.avg(value), 6).alias("silhouette"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot, unit
+from ..storage import join_bounded
 from .relational import top_by
 
 
@@ -40,8 +41,8 @@ def class_terms(terms: DataFrame, topic: str, term: str, k: int, bins: list[str]
 
 def supervised(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """A logistic regression with balanced classes: key, label, predicted_label and probability."""
-    own = Window.partitionBy(label)
-    counts = rows.withColumn("_w", 1.0 / F.count(F.lit(1)).over(own)).withColumn("features", array_to_vector(unit(F.col(vector)))).withColumn("_y", F.col(label).cast("double"))
+    sizes = rows.groupBy(label).agg((1.0 / F.count(F.lit(1))).alias("_w"))
+    counts = join_bounded(rows, sizes, [label]).withColumn("features", array_to_vector(unit(F.col(vector)))).withColumn("_y", F.col(label).cast("double"))
     model = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", maxIter=50, regParam=1e-4, predictionCol="_p", probabilityCol="_prob").fit(counts)
     out = model.transform(counts)
     return out.select(key, label, F.col("_p").cast("int").alias("predicted_label"), F.round(F.array_max(vector_to_array("_prob")), 6).alias("probability"))

@@ -9,6 +9,7 @@ from ..functions import lists, numbers, text
 from ..operators import series
 from ..operators.relational import by_priority, diverse_top, first_by, pivot_counts, replace_changed, resume, without_either
 from ..plans.corpus import BASE_SQL, MACRO_TOPICS, chunks, table
+from ..storage import join_bounded
 from .registry import query
 from .series import _GAP_SQL, _SPEAR_SQL, gaps, spearman
 
@@ -147,7 +148,7 @@ def cascaded_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     direct = rows.where(F.col("decision") == "delete").select("macro_topic", "brand").distinct().withColumn("reason", F.lit("direct"))
     cascaded = rows.where((F.col("decision") == "not related") & F.col("macro_topic").isin("T1", "T2")).select("macro_topic", "brand").distinct().withColumn("reason", F.lit("cascaded"))
     gone = by_priority([direct, cascaded], ["macro_topic", "brand"])
-    kept = base.join(F.broadcast(gone.select("macro_topic", "brand")), ["macro_topic", "brand"], "left_anti")
+    kept = join_bounded(base, gone.select("macro_topic", "brand"), ["macro_topic", "brand"], "left_anti")
     before = base.groupBy("source", "macro_topic").agg(F.count_distinct("document_id").alias("documents_before"))
     after = kept.groupBy("source", "macro_topic").agg(F.count_distinct("document_id").alias("documents_after"))
     groups = gone.groupBy("macro_topic").agg(F.count(F.lit(1)).alias("excluded_groups"))
@@ -163,7 +164,7 @@ JOIN (SELECT source, macro_topic, CAST(sum(k) AS BIGINT) AS n FROM (SELECT b.sou
 def contributor_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the aligned topics together: as a union, and as a sum that counts shared ones again."""
     wanted = reviewed(spark, sf_dir).where(F.col("paper_status") == "aligned").select("macro_topic", "brand").distinct()
-    base = chunks(spark, sf_dir).join(F.broadcast(wanted), ["macro_topic", "brand"], "left_semi")
+    base = join_bounded(chunks(spark, sf_dir), wanted, ["macro_topic", "brand"], "left_semi")
     union = base.groupBy("source", "macro_topic").agg(F.count_distinct("document_id").alias("union_documents"))
     each = base.groupBy("source", "macro_topic", "brand").agg(F.count_distinct("document_id").alias("k"))
     return union.join(each.groupBy("source", "macro_topic").agg(F.sum("k").alias("summed_documents")), ["source", "macro_topic"])

@@ -11,6 +11,7 @@ from ..operators import series, serving
 from ..operators.relational import top_by
 from ..operators.topics import class_terms
 from ..plans.corpus import BASE_SQL, chunks, table
+from ..storage import join_bounded
 from .registry import query
 from .series import _CORR_SQL, _PREV_SQL, LAGS, LEAST, brand_prevalence
 from .vectors import _MNN_SQL, cross_source, embedded
@@ -153,7 +154,7 @@ def exploded_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = chunks(spark, sf_dir)
     lists = base.where(F.col("source") == "corporate").groupBy("macro_topic").agg(F.to_json(F.array_sort(F.collect_set("brand"))).alias("members"))
     members = lists.select("macro_topic", F.explode(F.from_json("members", "array<string>")).alias("brand")).distinct()
-    return base.where(F.col("source") == "media").join(F.broadcast(members), ["macro_topic", "brand"]).groupBy("macro_topic", "brand").agg(F.count_distinct("document_id").alias("documents"))
+    return join_bounded(base.where(F.col("source") == "media"), members, ["macro_topic", "brand"]).groupBy("macro_topic", "brand").agg(F.count_distinct("document_id").alias("documents"))
 
 
 @query(

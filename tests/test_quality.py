@@ -131,3 +131,51 @@ def test_bundle_is_whole_or_absent(spark, tmp_path):
     bundle._loaded.clear()
     with pytest.raises(ContractError, match="4 rows, not 2"):
         bundle.load_bundle(spark, root, token, ["topics"])
+
+
+def test_silhouette_equals_brute_force(spark):
+    from loomline.operators.serving import silhouette
+
+    draw = np.random.default_rng(3)
+    rows = []
+    for g, n in (("a", 12), ("b", 9), ("c", 1)):
+        center = draw.normal(size=6)
+        for _ in range(n):
+            v = center + draw.normal(size=6) / 2
+            rows.append((len(rows), g, (v / np.linalg.norm(v)).tolist()))
+    got = {r.g: (r.sampled, r.silhouette) for r in silhouette(spark.createDataFrame(rows, "id int, g string, v array<double>"), "id", "g", "v", 100).collect()}
+    m, names = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    far = 1 - m @ m.T
+    for g in "ab":
+        values = []
+        for i in np.flatnonzero(names == g):
+            own = far[i][(names == g) & (np.arange(len(rows)) != i)].mean()
+            other = min(far[i][names == h].mean() for h in "abc" if h != g)
+            values.append((other - own) / max(own, other))
+        assert got[g] == (int((names == g).sum()), pytest.approx(np.mean(values), abs=1e-6))
+    assert got["c"] == (1, None)
+
+
+def test_records_of_answers(spark):
+    from loomline.functions import payloads
+
+    rows = spark.createDataFrame([(1, '{"micro_topic_id": "7.9", "source": "x", "summary": ["a", "b"], "topic_name_original": "3_own_name"}', "sub", 5), (2, "bad", None, 5), (3, '{"micro_topic_id": true, "title": "T"}', "sub", None)], "i int, a string, s string, n int")
+    given = {"subgroup": F.col("s"), "source": F.lit("media"), "micro_topic_id": F.col("n"), "overall_summary": F.lit("none"), "evidence_note": F.lit("given"), "default_year_span": F.lit("2001-2003")}
+    got = {r.i: r.f for r in rows.select("i", payloads.canonical_record(F.col("a"), given).alias("f")).collect()}
+    assert (got[1].micro_topic_id, got[1].source, got[1].subgroup, got[1].topic_label_refined, got[1].overall_summary) == (7, "media", "sub", "Own Name", "['a', 'b']")
+    assert (got[2].micro_topic_id, got[2].subgroup, got[2].overall_summary, got[2].evidence_note) == (5, "", "", "given")
+    assert (got[3].micro_topic_id, got[3].topic_label_refined) == (0, "T") and got[1].phase_1_years == "2001-2003"
+
+
+def test_review_buckets_and_merged_groups(spark):
+    from loomline.operators import merged
+
+    included = spark.createDataFrame([(1, "media", 9, 0.9, 2, True, "direct_pair_above_threshold"), (2, "media", 9, 0.1, 0, False, "below_threshold"), (3, "academic", None, None, 0, False, "no_pair")], "id int, source string, best_counterpart int, best_similarity double, qualifying_pairs long, is_included boolean, inclusion_reason string")
+    anchors = spark.createDataFrame([(9, "corporate"), (8, "corporate")], "id int, source string")
+    got = {r.id: (r.bucket, r.best_counterpart, r.inclusion_reason) for r in merged.hybrid_review(included, anchors, "id").collect()}
+    assert got == {1: ("linked", 9, "direct_pair_above_threshold"), 2: ("backlog", 9, "below_threshold"), 3: ("backlog", None, "no_pair"), 8: ("unlinked_anchor", None, "no_external_counterpart")}
+    members = spark.createDataFrame([("s", "G", "b", "L", " x ", True, 3, [2001], ["t", "u"], ["c1"]), ("s", "G", "a", "M", "", False, 5, [1999, 2001], ["v", "t"], ["c2", "c1"]), ("s", "S", "z", "", None, True, 8, [], [], [])], "s string, g string, m string, label string, summary string, is_ready boolean, topic_size long, years array<int>, terms array<string>, chunks array<string>")
+    rows = {r.g: r for r in merged.group_metadata(members, ["s"], "g", "m").collect()}
+    g, s = rows["G"], rows["S"]
+    assert (g.group_size, g.topic_size, g.overall_keywords, g.representative_chunks_json, g.years_present_json, g.heterogeneity_note) == (2, 8, '["v","t","u"]', '["c2","c1"]', "[1999,2001]", merged.NOTES[1])
+    assert (g.cumulative_share, s.cumulative_share, s.active_year_min, s.heterogeneity_note) == (0.5, 1.0, None, merged.NOTES[0])
