@@ -28,6 +28,8 @@ from . import runtime
 TOP = 20
 #: Documents and postings of a shard.
 SHARD_DOCS, SHARD_POSTINGS = 16_384, 1_000_000
+#: Shards that a task searches, one after the other, where there are more than shuffle partitions hold.
+TASK_SHARDS = 8
 #: Items, and signs of their texts, that are searched together; more are searched in several blocks.
 BLOCK_ITEMS, BLOCK_SIGNS = 10_000, 16_000_000
 #: Nodes that the ranges of the items searched at once may have in a shard, and ranges split at once.
@@ -345,7 +347,11 @@ def search(index: Index, items: list[tuple[int, list[bytes]]], k: int = TOP) ->
 
     terms = sorted({int(t) for _, own, _ in queries for t in own})
     chosen = index.shards if len(terms) * 2 > len(index.vocabulary) else index.shards.where(F.col("term").isin([_NAMES, *terms]))
-    return chosen.repartition("shard").sortWithinPartitions("shard", "term").mapInArrow(run, _FOUND)
+    shards = index.shards.where(F.col("term") == _NAMES).count()
+    tasks = -(-shards // TASK_SHARDS)
+    # Shuffle partitions may be too few for a large index; where they aren't, adaptive execution may join small ones.
+    dealt = chosen.repartition("shard") if tasks <= runtime.partitions(spark) else chosen.repartition(tasks, "shard")
+    return dealt.sortWithinPartitions("shard", "term").mapInArrow(run, _FOUND)
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple]]:

@@ -61,6 +61,7 @@ def test_small_shards_and_blocks(spark, monkeypatch):
     docs, items = corpus(9, 120)
     monkeypatch.setattr(treap, "BLOCK_ITEMS", 4)
     monkeypatch.setattr(treap, "HELD_NODES", 50)
+    monkeypatch.setattr(treap, "TASK_SHARDS", 2)
     build = treap.build_index
     monkeypatch.setattr(treap, "build_index", lambda d, v: build(d, v, 10, 150))
     got = treap.ranked_search(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string"), 5)
