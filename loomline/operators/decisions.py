@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clean_text
+from ..functions.text import clean_text, review_decision
 from ..storage import join_bounded, stored
 from .relational import ContractError, require_empty, require_unique
 
@@ -151,3 +151,22 @@ def group_roster(mapping: DataFrame, name: Column | None = None) -> DataFrame:
     listed = lambda c: F.to_json(F.array_sort(F.collect_set(c)))
     title = [] if name is None else [listed(F.nullif(clean_text(name), F.lit(""))).alias("member_topic_names")]
     return mapping.groupBy("group", "final_merge_group_id").agg(F.max("group_size").alias("group_size"), F.max("is_singleton_group").alias("is_singleton_group"), listed(F.col("node")).alias("group_members_json"), *title, listed(F.col("decision_source")).alias("decision_sources"), listed(F.col("effective_group_decision")).alias("effective_group_decisions"))
+
+
+def import_decisions(review: DataFrame, sheet: DataFrame, key: str) -> DataFrame:
+    """The review's rows with the decisions and notes of a sheet that came back, and whether they are from it.
+
+    sheet: key, review_decision, review_note; several sheets may be put together. Blank decisions change nothing. A word
+    that is no decision, a key that the review hasn't, and a key with different decisions are refused; a key that several
+    rows decide alike has their notes, sorted.
+    """
+    said = clean_text(F.col("review_decision"))
+    rows = sheet.select(key, said.alias("_said"), review_decision(said).alias("_decision"), clean_text(F.col("review_note")).alias("_note")).where(F.col("_said") != "")
+    require_empty(rows.where(F.col("_decision") == ""), "an unknown decision")
+    rows = stored(rows)
+    require_empty(join_bounded(rows, review.select(key).distinct(), [key], "left_anti"), "a decision on an unknown row")
+    one = rows.groupBy(key).agg(F.count_distinct("_decision").alias("_n"), F.min("_decision").alias("_decision"), F.array_join(F.array_sort(F.collect_set(F.nullif("_note", F.lit("")))), " || ").alias("_note"))
+    one = stored(one)
+    require_empty(one.where("_n > 1"), "different decisions on a row")
+    out = join_bounded(review, one.drop("_n"), [key], "left")
+    return out.withColumns({"review_decision": F.coalesce("_decision", "review_decision"), "review_note": F.coalesce("_note", "review_note"), "is_imported": F.col("_decision").isNotNull()}).drop("_decision", "_note")

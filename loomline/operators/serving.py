@@ -42,6 +42,15 @@ def merged_records(records: DataFrame, key: str, fields: list[str], order: list[
     return rows.withColumn("record_score", score).withColumn("is_ready", F.col("record_score") == len(fields))
 
 
+def shown_topics(topics: DataFrame, filters: dict[str, list[str]], selected: str | None = None, key: str = "topic_id") -> DataFrame:
+    """Topics that a reader's filters leave (column -> allowed values; none: all), and the selected one whatever they say, with is_selected."""
+    kept = F.lit(True)
+    for column, values in filters.items():
+        kept = kept & F.coalesce(F.col(column).isin(values), F.lit(False)) if values else kept
+    chosen = F.coalesce(F.col(key) == selected, F.lit(False)) if selected is not None else F.lit(False)
+    return topics.where(kept | chosen).withColumn("is_selected", chosen)
+
+
 def nearest_year(rows: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
     """The row of the year nearest to the wanted one, the earlier of two."""
     return top_by(rows.withColumn("distance", F.abs(F.col("year") - wanted)), keys, [F.col("distance"), F.col("year")], 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import comparisons
+from ..operators import comparisons, serving
 from ..operators.relational import top_by
 from ..plans.corpus import chunks
 from ..sources import bundle
@@ -92,6 +92,13 @@ def app_year_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("topic_id", "year", F.to_json("words").alias("top_words_json"), F.to_json("docs").alias("representative_docs_json"))
 
 
+@query(f"WITH {_TOPICS_SQL} SELECT topic_id, source, macro_topic, paper_status, topic_id = 'media::T1::Brand#13' AS is_selected FROM app WHERE (source IN ('academic', 'corporate') AND macro_topic IN ('T1', 'T2') AND paper_status IN ('aligned', 'corporate_anchor')) OR topic_id = 'media::T1::Brand#13'")
+def app_filtered_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees with filters on sources, macro topics and status, and one topic chosen outside them."""
+    filters = {"source": ["academic", "corporate"], "macro_topic": ["T1", "T2"], "paper_status": ["aligned", "corporate_anchor"]}
+    return serving.shown_topics(topics(spark, sf_dir), filters, "media::T1::Brand#13").select("topic_id", "source", "macro_topic", "paper_status", "is_selected")
+
+
 _RELATIONS_SQL = """x AS (SELECT topic_id, source, macro_topic, brand FROM app WHERE paper_status = 'aligned'), c AS (SELECT topic_id, macro_topic, brand FROM app WHERE source = 'corporate'), n AS (SELECT source, macro_topic, brand, count(DISTINCT document_id) AS k FROM base GROUP BY ALL)"""
 
 

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..operators import decisions
 from ..plans.corpus import table
-from .registry import query
+from .comparisons import exclusion_review
+from .registry import ORACLE_SQL, query
 
 # A tree per kind of parts: n parts are leaves n to 2n - 1 in the order of their keys, node i holds nodes 2i and 2i + 1.
 _TREE_SQL = """l AS (SELECT p_type AS grp, p_partkey, p_name, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) + count(*) OVER (PARTITION BY p_type) - 1 AS node, count(*) OVER (PARTITION BY p_type) AS n FROM part),
@@ -68,3 +69,18 @@ def accept_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted nodes that an accepted ancestor overrules, with how many leaves they hold."""
     _, tree, said = _inputs(spark, sf_dir)
     return decisions.accept_conflicts(decisions.interval_labels(tree), decisions.read_decisions(said))
+
+
+@query(
+    f"""WITH ex AS ({ORACLE_SQL["exclusion_review"]}), sh AS (SELECT topic_id, CASE CAST(replace(brand, 'Brand#', '') AS INTEGER) % 7 WHEN 0 THEN 'delete' WHEN 1 THEN 'not related' END AS decision FROM ex)
+SELECT topic_id, documents, counterparts, coalesce(decision, '') AS review_decision, CASE WHEN decision IS NULL THEN '' WHEN documents % 2 = 0 THEN 'first || second' ELSE 'first' END AS review_note, decision IS NOT NULL AS is_imported FROM ex JOIN sh USING (topic_id)"""
+)
+def imported_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review sheet with the decisions that came back, on some rows twice."""
+    review = exclusion_review(spark, sf_dir)
+    n = F.replace("brand", F.lit("Brand#"), F.lit("")).cast("int") % 7
+    word = F.when(n == 0, " DELETE").when(n == 1, "Not  related").otherwise(" ")
+    one = review.select("topic_id", word.alias("review_decision"), F.lit("first").alias("review_note"), "documents")
+    two = one.where("documents % 2 = 0").withColumn("review_note", F.lit(" second "))
+    sheet = one.unionByName(two).drop("documents")
+    return decisions.import_decisions(review, sheet, "topic_id").select("topic_id", "documents", "counterparts", "review_decision", "review_note", "is_imported")

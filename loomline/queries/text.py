@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import lists, numbers, text
 from ..operators.chunking import paragraph_chunks, token_chunks as chunk_windows

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +61,21 @@ def records(spark: SparkSession, path: str, kind: str | None = None, schema: str
     raise ContractError(f"unknown kind of input: {kind}")
 
 
+def subgroup_tables(spark: SparkSession, root: str, name: str, schema: str, wanted: list[str] | None = None) -> DataFrame:
+    """The table of a name below each folder of root, with the folder's name as subgroup, read in one pass.
+
+    name is a file or a folder of parts, its suffix says of what kind. wanted: subgroups that must have the table; only
+    these are read. An error names those that lack it.
+    """
+    missing = [s for s in wanted or [] if not exists(spark, f"{root}/{s}/{name}")]
+    if missing:
+        raise ContractError(f"no {name} for: {', '.join(sorted(missing))}")
+    pattern = f"{{{','.join(wanted)}}}" if wanted else "*"
+    rows = records(spark, f"{root}/{pattern}/{name}", name.rsplit(".", 1)[-1].lower(), schema)
+    folder = F.regexp_extract("_metadata.file_path", f"/([^/]+)/{re.escape(name)}(?:/|$)", 1)
+    return rows.select(folder.alias("subgroup"), *rows.columns)
+
+
 def tolerant_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV, or an empty frame of its schema if there is none."""
     return records(spark, path, "csv", schema) if exists(spark, path) else spark.createDataFrame([], schema)

@@ -50,6 +50,16 @@ def check_rows(spark: SparkSession, expected: dict[str, int], paths: dict[str, s
             raise ContractError(f"{name} has {found} rows, not {n}")
 
 
+def write_embedding_subset(vectors: DataFrame, wanted: DataFrame, key: str, path: str) -> int:
+    """The vectors of the wanted keys as a Parquet table; how many there are. Refused if a key has no vector, or several."""
+    keys = wanted.select(key).distinct()
+    vectors.join(keys, key, "left_semi").write.mode("overwrite").parquet(path)
+    found, n = vectors.sparkSession.read.parquet(path).count(), keys.count()
+    if found != n:
+        raise ContractError(f"{found} vectors for {n} keys")
+    return found
+
+
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
     """A small table as Markdown, at most limit rows in the order given."""
     rows = df.limit(limit).collect()

@@ -106,3 +106,13 @@ def test_contracts(spark):
     with pytest.raises(ContractError):
         decisions.read_decisions(marks((2, "")), "maybe")
     assert [r.decision for r in decisions.read_decisions(marks((2, None)), "accept").collect()] == ["accept"]
+
+
+def test_sheets_that_come_back(spark):
+    review = spark.createDataFrame([(i, "", "") for i in range(4)], "id int, review_decision string, review_note string")
+    sheet = lambda *rows: spark.createDataFrame(rows, "id int, review_decision string, review_note string")
+    got = decisions.import_decisions(review, sheet((0, "Delete ", "b"), (0, "delete", "a"), (1, None, "x"), (2, "NOT RELATED", None)), "id").collect()
+    assert {r.id: (r.review_decision, r.review_note, r.is_imported) for r in got} == {0: ("delete", "a || b", True), 1: ("", "", False), 2: ("not related", "", True), 3: ("", "", False)}
+    for rows, why in (([(0, "perhaps", "")], "unknown decision"), ([(9, "delete", "")], "unknown row"), ([(0, "delete", ""), (0, "not related", "")], "different decisions")):
+        with pytest.raises(ContractError, match=why):
+            decisions.import_decisions(review, sheet(*rows), "id")

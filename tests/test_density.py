@@ -141,7 +141,7 @@ def brute_labels(cost, least):
 @pytest.mark.parametrize(("k", "seed"), [(6, 1), (64, 2)])
 def test_clusters_equal_brute_force(spark, k, seed):
     """Short lists of neighbours leave edges to the search of whole groups; long ones don't. Neither changes a cluster."""
-    rows, df = table(spark, {"x": 60, "y": 40, "z": 3, "one": 1}, seed=seed)
+    rows, df = table(spark, {"x": 48, "y": 30, "z": 3, "one": 1}, seed=seed)
     got = {r.id: (r.micro_topic_id, r.micro_topic_probability) for r in density.density_clusters(df, ["g"], "id", "v", 5, k).collect()}
     assert len(got) == len(rows)
     for g in ("x", "y", "z", "one"):
@@ -153,9 +153,9 @@ def test_clusters_equal_brute_force(spark, k, seed):
 
 
 def test_tree_connects_as_all_pairs_do(spark):
-    rows, df = table(spark, {"x": 120}, seed=5)
+    rows, df = table(spark, {"x": 70}, seed=5)
     points = df.select("g", F.col("id").alias("node"), F.col("v").alias("vector"))
-    samples = spark.createDataFrame([("x", 120, 4)], "g string, n long, samples int")
+    samples = spark.createDataFrame([("x", 70, 4)], "g string, n long, samples int")
     tree = density.spanning_tree(points, ["g"], samples, 5).collect()
     ids, s = sims(rows, "x")
     cost = brute_costs(s, 4)
@@ -163,7 +163,7 @@ def test_tree_connects_as_all_pairs_do(spark):
     for r in tree:
         own[ids.index(r.a), ids.index(r.b)] = own[ids.index(r.b), ids.index(r.a)] = r.cost
     for bar in sorted({r.cost for r in tree}):
-        assert set(pieces(range(120), own, bar)) == set(pieces(range(120), cost, bar))
+        assert set(pieces(range(70), own, bar)) == set(pieces(range(70), cost, bar))
 
 
 def test_noise_alone_and_copies():

@@ -38,6 +38,29 @@ def test_tables_round_trip(spark, tmp_path):
     assert "| 1 |" in writers.markdown_table(df.select("id").orderBy("id"))
 
 
+def test_tables_of_subgroups(spark, tmp_path):
+    for name, ids in (("media_T1", [1, 2]), ("academic_T1", [3]), ("media_T2", [4])):
+        rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, t string")
+        writers.write(rows, f"{tmp_path}/{name}/topics.parquet")
+        (tmp_path / name / "info.csv").write_text("id,t\n" + "".join(f"{i},t{i}\n" for i in ids))
+    for table in ("topics.parquet", "info.csv"):
+        got = readers.subgroup_tables(spark, str(tmp_path), table, "id long, t string")
+        assert sorted((r.subgroup, r.id) for r in got.collect()) == [("academic_T1", 3), ("media_T1", 1), ("media_T1", 2), ("media_T2", 4)]
+        some = readers.subgroup_tables(spark, str(tmp_path), table, "id long, t string", ["media_T1", "media_T2"])
+        assert sorted(r.id for r in some.collect()) == [1, 2, 4]
+    with pytest.raises(ContractError, match="corporate_T9"):
+        readers.subgroup_tables(spark, str(tmp_path), "info.csv", "id long, t string", ["media_T1", "corporate_T9"])
+
+
+def test_subset_of_embeddings(spark, tmp_path):
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "id long, v array<double>")
+    wanted = spark.createDataFrame([(1,), (3,), (3,)], "id long")
+    assert writers.write_embedding_subset(vectors, wanted, "id", f"{tmp_path}/v") == 2
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/v").collect()) == [1, 3]
+    with pytest.raises(ContractError, match="2 vectors for 3 keys"):
+        writers.write_embedding_subset(vectors, wanted.union(spark.createDataFrame([(9,)], "id long")), "id", f"{tmp_path}/w")
+
+
 def test_records(spark):
     rows = spark.createDataFrame([("1", "2005", "1311", "<p>One</p><p>Two</p>"), ("2", "1999", "1311", "<p>x</p>"), ("3", "2005", "9999", "<p>x</p>"), ("4", "x", "1311", "<p>x</p>")], "id string, year string, sic_primary string, content string")
     got = records.standard(rows, "corporate")
