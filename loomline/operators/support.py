@@ -1,33 +1,93 @@
 """What speaks for merging two topics: nine signals per candidate pair, counted and ranked.
 
-A signal's facts come from a table of its own, joined on the pair or on one of its sides; a fact that is missing supports
-nothing.
+A signal's facts come from a table of its own, joined on the pair or on one of its sides, or go with the vectors to where
+the pairs are made; a fact that is missing supports nothing.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import stored
-from .matching import merge_candidates
-from .neighbours import similar_pairs
+from ..storage import join_bounded, stored
+from .neighbours import ranked_pairs, round6
 
 # From where on a fact is a signal.
 LEAST_PROFILE, LEAST_NARRATIVE, LEAST_TERMS, LEAST_YEARS, LEAST_CORRELATION, LEAST_POINTS = 0.65, 0.60, 2, 4, 0.30, 4
 
+#: Cells of similarity in which a group's pairs are ranked.
+CELLS = 64
+#: What measured pairs have besides their similarity and ranks.
+MEASURED = "narrative_similarity double, term_count int, year_count int, doc_correlation double, chunk_correlation double, strict_partner_count int, same_issue_partner_count int, ancestor_distance double"
 
-def candidates(topics: DataFrame, within: list[str], key: str, vector: str, k: int, least: float) -> DataFrame:
-    """within, a, b, similarity, rank_from_a, rank_from_b (NULL where not selected from there), for pairs among the k nearest of a side or at least so similar."""
-    pairs = stored(similar_pairs(topics, None, within, key, vector, k, least))
-    chosen = merge_candidates(pairs, within, k, least, rank_first=True).select(*within, "a", "b")
-    sides = [pairs.select(*within, F.col(x).alias("from"), F.col(y).alias("to"), "similarity") for x, y in (("a", "b"), ("b", "a"))]
-    ranked = sides[0].unionByName(sides[1]).withColumn("rank", F.row_number().over(Window.partitionBy(*within, "from").orderBy(F.desc("similarity"), "to")))
-    ranked = ranked.where((F.col("rank") <= k) | (F.col("similarity") >= least))
-    one = lambda x, y: ranked.select(*within, F.col("from").alias(x), F.col("to").alias(y), F.col("rank").alias(f"rank_from_{x}"))
-    kept = chosen.join(pairs, [*within, "a", "b"])
-    return kept.join(one("a", "b"), [*within, "a", "b"], "left").join(one("b", "a"), [*within, "a", "b"], "left")
+
+def measured_candidates(topics: DataFrame, within: list[str], key: str, vector: str, k: int, least: float) -> DataFrame:
+    """within, a, b, similarity, rank_from_a, rank_from_b (NULL where not selected from there) and MEASURED, for pairs among the k nearest of a side or at least so similar.
+
+    topics have, NULL or empty where unknown: narrative (a vector), terms, years, strict, same (arrays of different whole
+    numbers), docs and chunks (arrays of a value per year, NULL where the topic has none), and above and above_at, the
+    merges that hold the topic and their distances.
+    """
+    facts = ["narrative", "terms", "years", "strict", "same", "docs", "chunks", "above", "above_at"]
+    return ranked_pairs(topics, within, key, vector, k, least, facts=facts, measure=_measure, schema=MEASURED)
+
+
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def _filled(lists: pa.ListArray, fill: float, kind: type) -> np.ndarray:
+    """A row per list, as wide as the longest; fill for what is not there."""
+    lengths = _lengths(lists)
+    out = np.full((len(lists), max(1, lengths.max(initial=0))), fill, kind)
+    flat = lists.flatten()
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat.to_numpy(zero_copy_only=False) if flat.null_count == 0 else pc.fill_null(flat.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> pa.Array:
+    """Pearson's r of rows over the years of either side, absent ones as 0; NULL as in series_correlation."""
+    there = ~(np.isnan(x) & np.isnan(y))
+    x, y = np.nan_to_num(x), np.nan_to_num(y)
+    n = there.sum(1)
+    spread = lambda v: np.where(there, v, np.inf).min(1) < np.where(there, v, -np.inf).max(1)
+    varied = (n >= LEAST_POINTS) & spread(x) & spread(y)
+    dx, dy = (np.where(there, v - (v.sum(1) / np.maximum(n, 1))[:, None], 0.0) for v in (x, y))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = (dx * dy).sum(1) / np.sqrt((dx * dx).sum(1) * (dy * dy).sum(1))
+    return pa.array(round6(np.where(varied, r, 0.0)), mask=~varied)
+
+
+def _measure(a: pa.StructArray, b: pa.StructArray, i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
+    def shared_count(name: str) -> np.ndarray:
+        x, y = (_filled(s.field(name), none, np.int64) for s, none in ((a, -1), (b, -2)))
+        u, v = (np.arange(m.shape[1]) < _lengths(s.field(name))[:, None] for m, s in ((x, a), (y, b)))
+        x, y, u, v = x[i], y[j], u[i], v[j]
+        return ((x[:, :, None] == y[:, None, :]) & u[:, :, None] & v[:, None, :]).sum((1, 2)).astype(np.int32)
+
+    told = [_filled(s.field("narrative"), np.nan, float)[at] for s, at in ((a, i), (b, j))]
+    wide = max(t.shape[1] for t in told)
+    told = [t if t.shape[1] == wide else np.full((len(t), wide), np.nan) for t in told]
+    narrative = (told[0] * told[1]).sum(1)
+    series = {name: _correlation(*(_filled(s.field(name), np.nan, float)[at] for s, at in ((a, i), (b, j)))) for name in ("docs", "chunks")}
+    above = [_filled(s.field("above"), none, np.int64)[at] for s, at, none in ((a, i, -1), (b, j, -2))]
+    far = [_filled(s.field("above_at"), np.inf, float)[at] for s, at in ((a, i), (b, j))]
+    met = (above[0][:, :, None] == above[1][:, None, :]) & np.isfinite(far[0])[:, :, None] & np.isfinite(far[1])[:, None, :]
+    nearest = np.where(met, far[0][:, :, None], np.inf).min((1, 2))
+    return {
+        "narrative_similarity": pa.array(round6(np.nan_to_num(narrative)), mask=np.isnan(narrative)),
+        "term_count": shared_count("terms"),
+        "year_count": shared_count("years"),
+        "doc_correlation": series["docs"],
+        "chunk_correlation": series["chunks"],
+        "strict_partner_count": shared_count("strict"),
+        "same_issue_partner_count": shared_count("same"),
+        "ancestor_distance": pa.array(np.where(np.isfinite(nearest), nearest, 0.0), mask=~np.isfinite(nearest)),
+    }
 
 
 def shared(pairs: DataFrame, sets: DataFrame, within: list[str], key: str, column: str, name: str) -> DataFrame:
@@ -81,6 +141,12 @@ def with_support(pairs: DataFrame, within: list[str]) -> DataFrame:
         F.col("hierarchical_found"),
     ]
     count = sum((F.coalesce(s, F.lit(False)).cast("int") for s in signals), F.lit(0))
-    rows = pairs.withColumn("support_signal_count", count)
-    order = [F.desc("support_signal_count"), F.desc("similarity"), F.desc_nulls_last("narrative_similarity"), F.col("a"), F.col("b")]
-    return rows.withColumn("support_rank", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+    # A group is ranked by cells of the first two keys, which rise with the order; a cell's place comes from how many there are.
+    cell = [*within, "support_signal_count", "_cell"]
+    rows = stored(pairs.withColumn("support_signal_count", count).withColumn("_cell", F.floor(F.col("similarity") * CELLS).cast("int")))
+    sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*within).orderBy(F.desc("support_signal_count"), F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    begin = stored(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    order = [F.desc("similarity"), F.desc_nulls_last("narrative_similarity"), F.col("a"), F.col("b")]
+    placed = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)))
+    return join_bounded(placed, begin, cell).withColumn("support_rank", (F.col("_before") + F.col("_own")).cast("int")).drop("_cell", "_own", "_before")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import dot
 from ..operators import graph, support
 from ..plans.corpus import table
 from ..storage import stored
@@ -44,32 +43,31 @@ def merge_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate pairs of topics with all nine signals, ranked."""
     within = ["label", "source"]
     rows = stored(embedded(spark, sf_dir))
-    pairs = support.candidates(rows, within, "vec_id", "embedding", K, LEAST)
-    next_one = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("n"))
-    for side in ("a", "b"):
-        pairs = pairs.join(next_one.select(F.col("vec_id").alias(side), F.col("n").alias(f"n_{side}")), side, "left")
-    pairs = stored(pairs.withColumn("narrative_similarity", F.round(dot(F.col("n_a"), F.col("n_b")), 6)).drop("n_a", "n_b"))
-    groups = rows.select(*within, "vec_id")
+    next_one = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("narrative"))
     sales = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") - 1).alias("vec_id"), "l_orderkey", F.year("l_shipdate").alias("year"), "l_suppkey", "l_returnflag")
-    years = sales.groupBy("vec_id", "year").agg(F.count_distinct("l_orderkey").cast("double").alias("doc"), F.count(F.lit(1)).cast("double").alias("chunk")).join(groups, "vec_id")
-    partners = lambda flag: F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("l_suppkey")))
-    facts = stored(sales.groupBy("vec_id").agg(F.collect_set("year").alias("years"), partners("R").alias("strict"), partners("A").alias("same")).join(groups, "vec_id"))
-    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("vec_id"), F.array("p_brand", "p_type", F.concat(F.lit("size "), F.col("p_size").cast("string")), F.concat(F.lit("container "), (F.col("p_partkey") % 5).cast("string"))).alias("terms"))
-    out = support.shared(pairs, parts.join(groups, "vec_id"), within, "vec_id", "terms", "term")
-    for column, name in (("years", "year"), ("strict", "strict_partner"), ("same", "same_issue_partner")):
-        out = support.shared(out, facts, within, "vec_id", column, name)
-    out = out.join(support.series_correlation(pairs, years, within, "vec_id", ["doc", "chunk"]), [*within, "a", "b"], "left")
+    sales = stored(sales.join(rows.select("vec_id"), "vec_id", "left_semi"))
+    every = sorted(r[0] for r in sales.select("year").where("year IS NOT NULL").distinct().collect())  # the years, a few
+    values = sales.groupBy("vec_id", "year").agg(F.count_distinct("l_orderkey").cast("double").alias("doc"), F.count(F.lit(1)).cast("double").alias("chunk"))
+    in_year = lambda c: F.array(*[F.max(F.when(F.col("year") == y, F.col(c))) for y in every]).cast("array<double>")
+    years = values.groupBy("vec_id").agg(in_year("doc").alias("docs"), in_year("chunk").alias("chunks"))
+    partners = lambda flag: F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("l_suppkey"))).cast("array<long>")
+    facts = sales.groupBy("vec_id").agg(F.collect_set("year").cast("array<long>").alias("years"), partners("R").alias("strict"), partners("A").alias("same"))
+    words = F.array_distinct(F.array("p_brand", "p_type", F.concat(F.lit("size "), F.col("p_size").cast("string")), F.concat(F.lit("container "), (F.col("p_partkey") % 5).cast("string"))))
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("vec_id"), F.transform(F.filter(words, lambda w: w.isNotNull()), lambda w: F.xxhash64(w)).alias("terms"))
     own = Window.partitionBy(*within).orderBy("vec_id")  # the topics of a group
-    place = groups.withColumn("i", F.row_number().over(own) - 1)
+    place = rows.select(*within, "vec_id").withColumn("i", F.row_number().over(own) - 1)
     name = lambda level: F.concat_ws("/", F.lit(str(level)), "label", "source", F.floor(F.col("i") / 2**level).cast("string"))
     merges = None
     for level in (1, 2, 3):
         nodes = place.select(name(level).alias("parent"), (name(level - 1) if level > 1 else F.col("vec_id").cast("string")).alias("child")).distinct()
         level_rows = nodes.groupBy("parent").agg(F.min("child").alias("left"), F.max("child").alias("right")).withColumn("distance", F.lit(float(level)))
         merges = level_rows if merges is None else merges.unionByName(level_rows)
-    below = stored(graph.leaves(stored(merges)).distinct())
-    ends = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
-    found = graph.closest_ancestor(ends, below).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "ancestor_distance")
-    out = out.join(found, ["a", "b"], "left").withColumn("hierarchical_found", F.col("ancestor_distance").isNotNull())
+    held = graph.leaves(stored(merges)).distinct().groupBy(F.col("leaf").cast("long").alias("vec_id")).agg(F.array_sort(F.collect_list(F.struct("distance", F.xxhash64("parent").alias("id")))).alias("m"))
+    above = held.select("vec_id", F.col("m.id").alias("above"), F.col("m.distance").alias("above_at"))
+    topics = rows
+    for more in (next_one, parts, facts, years, above):
+        topics = topics.join(more, "vec_id", "left")
+    pairs = support.measured_candidates(stored(topics), within, "vec_id", "embedding", K, LEAST)
+    out = pairs.withColumn("hierarchical_found", F.col("ancestor_distance").isNotNull())
     ranked = support.with_support(out.fillna(0, ["rank_from_a", "rank_from_b"]), within)
     return ranked.select(*within, "a", "b", "similarity", "rank_from_a", "rank_from_b", "narrative_similarity", "term_count", "year_count", "doc_correlation", "chunk_correlation", "strict_partner_count", "same_issue_partner_count", "hierarchical_found", "ancestor_distance", "support_signal_count", "support_rank")
