@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import paragraphs_of
+
+#: Rows that Python holds as objects at once.
+SLICE = 128
+
 
 def window_starts(n: Column, budget: int, stride: int) -> Column:
     """Starts of windows of `budget` tokens, each `stride` after the one before, the last being the first that reaches the end."""
@@ -66,11 +71,31 @@ def packed_paragraphs(paragraphs: list[str], most: int, overlap: int, special: i
 
 
 def paragraph_chunks(docs: DataFrame, key: str, paragraphs: str, most: int, overlap: int, special: int) -> DataFrame:
-    """packed_paragraphs for every row, in Arrow batches."""
+    """packed_paragraphs for every row, in slices of Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, "chunk_number", "chunk_text", "token_count", "chunk_start_token", "chunk_end_token"]
+        types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        for part in slices(batches):
+            rows = [(k, i + 1, *c) for k, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, c in enumerate(packed_paragraphs(p or [], most, overlap, special))]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return docs.select(F.col(key).cast("long"), paragraphs).mapInArrow(run, f"{key} long, chunk_number int, chunk_text string, token_count int, chunk_start_token int, chunk_end_token int")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """At most so many rows at a time, so that what Python holds does not grow with the rows of a batch."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
+def page_paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key and the paragraphs of each page, in slices of Arrow batches."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, i + 1, *c) for k, p in zip(frame[key], frame[paragraphs], strict=True) for i, c in enumerate(packed_paragraphs([] if p is None else list(p), most, overlap, special))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_number", "chunk_text", "token_count", "chunk_start_token", "chunk_end_token"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([paragraphs_of(h) for h in part.column(1).to_pylist()], pa.list_(pa.string()))], [key, "paragraphs"])
 
-    return docs.select(F.col(key).cast("long"), paragraphs).mapInPandas(run, f"{key} long, chunk_number int, chunk_text string, token_count int, chunk_start_token int, chunk_end_token int")
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, paragraphs array<string>")
