@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -42,6 +43,11 @@ RELATION_KEYWORDS: list[tuple[str, list[str]]] = [
 KEEP_WORDS = ["true", "yes", "1", "keep"]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of the value, which is worked out once however often use names it; in branches Spark repeats it for each name."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def clean_text(c: Column) -> Column:
     """White space runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _SPACE, " "))
@@ -119,16 +125,20 @@ def keyword_class(c: Column, classes: list[tuple[str, list[str]]], synonyms: lis
 
     Words for nothing are judged as they are written: 'none' has 'no' in it.
     """
-    text = F.regexp_replace(F.regexp_replace(F.lower(clean_text(c)), r"[-\s/]+", "_"), r"^_+|_+$", "")
-    out = text
-    for name, words in reversed(classes):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(text, F.lit(w))
-        out = F.when(hit, name).otherwise(out)
-    for name, words in reversed(synonyms):
-        out = F.when(text.isin(words), name).otherwise(out)
-    return F.when(text.isin([name for name, _ in classes]), text).otherwise(out)
+    label = F.regexp_replace(F.regexp_replace(F.lower(clean_text(c)), r"[-\s/]+", "_"), r"^_+|_+$", "")
+
+    def judged(text: Column) -> Column:
+        out = text
+        for name, words in reversed(classes):
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | F.contains(text, F.lit(w))
+            out = F.when(hit, name).otherwise(out)
+        for name, words in reversed(synonyms):
+            out = F.when(text.isin(words), name).otherwise(out)
+        return F.when(text.isin([name for name, _ in classes]), text).otherwise(out)
+
+    return bound(label, judged)
 
 
 def keep_or_exclude(c: Column) -> Column:

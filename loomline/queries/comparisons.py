@@ -69,7 +69,9 @@ SELECT word, {class_sql("label", text.SAME_ISSUE_KEYWORDS, "label", text.SAME_IS
 )
 def word_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the texts as a one-word answer to the questions of a pair comparison."""
-    texts = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))).unionByName(table(spark, sf_dir, "events").select(F.col("event_type").alias("text")))
+    # Names and types repeat, so each is cut into words once.
+    named = [table(spark, sf_dir, name).select(F.col(c).alias("text")).distinct() for name, c in (("part", "p_name"), ("events", "event_type"))]
+    texts = table(spark, sf_dir, "documents").select("text").unionByName(named[0]).unionByName(named[1])
     word = F.col("word")
     rows = texts.select(F.explode(F.split(text.clean_text(F.col("text")), " ")).alias("word")).distinct()
     return rows.select(
