@@ -46,22 +46,30 @@ def compared(answer: Column) -> Column:
     """
     names = [*CLASSES, *TEXTS, KEEP]
     raw = F.from_json(answer, ", ".join(f"{c} string" for c in names))
-    classes = {c: text.keyword_class(raw[c], *words) for c, words in CLASSES.items()}
-    texts = {c: text.drop_nullish(raw[c]) for c in TEXTS}
-    note = F.coalesce(F.nullif(texts[TEXTS[1]], F.lit("")), F.nullif(F.trim(raw[TEXTS[1]]), F.lit("")), F.lit(NO_NOTE))
-    keep = F.lower(text.drop_nullish(raw[KEEP])).isin(text.KEEP_WORDS)
-    fields = {**classes, **texts, TEXTS[1]: note, KEEP: keep}
-    return F.when(raw.isNotNull() & answer.isNotNull(), F.struct(*[fields[c].alias(c) for c in names]))
+
+    def fields(raw: Column) -> Column:
+        classes = {c: text.keyword_class(raw[c], *words) for c, words in CLASSES.items()}
+        texts = {c: text.drop_nullish(raw[c]) for c in TEXTS}
+        note = F.coalesce(F.nullif(texts[TEXTS[1]], F.lit("")), F.nullif(F.trim(raw[TEXTS[1]]), F.lit("")), F.lit(NO_NOTE))
+        keep = F.lower(text.drop_nullish(raw[KEEP])).isin(text.KEEP_WORDS)
+        every = {**classes, **texts, TEXTS[1]: note, KEEP: keep}
+        return F.when(raw.isNotNull(), F.struct(*[every[c].alias(c) for c in names]))
+
+    return F.when(answer.isNotNull(), text.bound(raw, fields))
 
 
 def is_ready(fields: Column) -> Column:
     """Every text is there and every class is one of the allowed ones."""
-    known = [fields[c].isin([name for name, _ in words]) for c, (words, _) in CLASSES.items()]
-    filled = [fields[c] != "" for c in TEXTS]
-    every = F.lit(True)
-    for c in (*known, *filled):
-        every = every & c
-    return F.coalesce(every, F.lit(False))
+
+    def every(fields: Column) -> Column:
+        out = F.lit(True)
+        for c, (words, _) in CLASSES.items():
+            out = out & fields[c].isin([name for name, _ in words])
+        for c in TEXTS:
+            out = out & (fields[c] != "")
+        return out
+
+    return F.coalesce(text.bound(fields, every), F.lit(False))
 
 
 def latest(ledger: DataFrame) -> DataFrame:
