@@ -101,7 +101,7 @@ def clean_label(c: Column) -> Column:
 
 def tokens(c: Column, least: int = 3) -> Column:
     """Lower-case runs of a-z of at least so many letters."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z]+)"), F.lit(1)), lambda t: F.length(t) >= least)
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"[a-z]{{{max(1, least)},}}"), F.lit(0))
 
 
 def yes_or_no(c: Column) -> Column:

@@ -34,7 +34,8 @@ def pair_npmi(lists: DataFrame, documents: DataFrame, group: list[str], topic_te
     df = lists.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("n"))
     met = join_bounded(lists, own, [*group, "term"]).groupBy(*group, "topic", "doc").agg(F.array_sort(F.collect_list("term")).alias("ts"))
     pairs = lambda c: F.flatten(F.transform(c, lambda a: F.transform(F.filter(c, lambda b: b > a), lambda b: F.struct(a.alias("term_a"), b.alias("term_b")))))
-    counts = met.select(*group, "topic", F.explode(pairs("ts")).alias("p")).groupBy(*group, "topic", "p.term_a", "p.term_b").agg(F.count(F.lit(1)).alias("pair_documents"))
+    alike = met.groupBy(*group, "topic", "ts").agg(F.count(F.lit(1)).alias("_n"))  # documents with the same terms of a topic make their pairs once
+    counts = alike.select(*group, "topic", "_n", F.explode(pairs("ts")).alias("p")).groupBy(*group, "topic", "p.term_a", "p.term_b").agg(F.sum("_n").alias("pair_documents"))
     every = own.groupBy(*group, "topic").agg(F.array_sort(F.collect_list("term")).alias("ts")).select(*group, "topic", F.explode(pairs("ts")).alias("p")).select(*group, "topic", "p.term_a", "p.term_b")
     sides = [df.select(*group, F.col("term").alias(f"term_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b")]
     rows = every.join(counts, [*group, "topic", "term_a", "term_b"], "left").join(sides[0], [*group, "term_a"], "left").join(sides[1], [*group, "term_b"], "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot, unit
-from ..storage import join_bounded
+from ..storage import join_bounded, stored
 from .relational import top_by
 
 
@@ -30,7 +30,7 @@ def cluster(rows: DataFrame, key: str, vector: str, k: int, floor: float, seed:
 def class_terms(terms: DataFrame, topic: str, term: str, k: int, bins: list[str] | None = None) -> DataFrame:
     """The k terms of each topic (and bin) with the largest class-based TF-IDF: tf in the topic times log(1 + mean topic size / total of the term)."""
     keys = [topic, *(bins or [])]
-    tf = terms.groupBy(*keys, term).agg(F.count(F.lit(1)).alias("n"))
+    tf = stored(terms.groupBy(*keys, term).agg(F.count(F.lit(1)).alias("n")))  # else the texts are cut for each of its uses
     size = Window.partitionBy(*keys)
     total = tf.groupBy(term).agg(F.sum("n").alias("_total"))
     mean = tf.groupBy(*keys).agg(F.sum("n").alias("_size")).agg(F.avg("_size").alias("_mean"))
