@@ -22,12 +22,16 @@ def relation_rows(anchors: DataFrame, externals: DataFrame, keys: list[str], lev
     return rows.select(name.alias("relation_id"), F.lit(level).alias("relation_level"), "*", gap("first_active_year").alias("first_active_year_gap"), gap("peak_year").alias("peak_year_gap"))
 
 
-def anchor_series(series_keys: DataFrame, chunks: DataFrame, keys: list[str], totals: list[str]) -> DataFrame:
-    """For every series key and year: chunks, documents and their shares of all of totals, and of the year's."""
-    counts = series.annual_counts(chunks.join(series_keys, keys, "left_semi"), keys, "year_document_count", "year_frequency")
-    by_year = series.annual_counts(chunks, totals, "annual_source_macro_document_count", "_rows").drop("_rows")
-    overall = chunks.groupBy(*totals).agg(F.count_distinct("document_id").alias("denominator"))
-    grid = series_keys.crossJoin(F.broadcast(series.years_of(chunks))).join(counts, [*keys, "year"], "left").join(by_year, [*totals, "year"], "left").join(overall, totals, "left")
+def anchor_series(series_keys: DataFrame, chunks: DataFrame, keys: list[str], totals: list[str], cells: DataFrame | None = None) -> DataFrame:
+    """For every series key and year: chunks, documents and their shares of all of totals, and of the year's.
+
+    cells: document_cells of the chunks, where they are there already.
+    """
+    cells = series.document_cells(chunks, keys, totals) if cells is None else cells
+    counts = cells.select(*keys, "year", F.col("d").alias("year_document_count"), F.col("f").alias("year_frequency"))
+    by_year = cells.groupBy(*totals, "year").agg(F.sum("d_year").alias("annual_source_macro_document_count"))
+    overall = cells.groupBy(*totals).agg(F.sum("d_total").alias("denominator"))
+    grid = series_keys.crossJoin(F.broadcast(series.years_of(cells))).join(counts, [*keys, "year"], "left").join(by_year, [*totals, "year"], "left").join(overall, totals, "left")
     filled = grid.fillna(0, ["year_document_count", "year_frequency", "annual_source_macro_document_count", "denominator"])
     return filled.withColumn("relative_share", F.round(numbers.safe_share(F.col("year_frequency"), F.col("denominator")), 9)).withColumn("annual_document_prevalence", F.round(numbers.safe_share(F.col("year_document_count"), F.col("annual_source_macro_document_count")), 9))
 

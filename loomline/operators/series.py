@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import safe_ratio, safe_share
 from ..functions.stats import average_rank, pearson
+from ..storage import spread, stored
 
 
 def annual_counts(chunks: DataFrame, keys: list[str], documents: str = "document_count", rows: str = "chunk_count") -> DataFrame:
@@ -15,6 +16,22 @@ def annual_counts(chunks: DataFrame, keys: list[str], documents: str = "document
     return chunks.groupBy(*keys, "year").agg(F.count_distinct("document_id").alias(documents), F.count(F.lit(1)).alias(rows))
 
 
+def document_cells(chunks: DataFrame, keys: list[str], totals: list[str]) -> DataFrame:
+    """Distinct documents (d) and chunk rows (f) per keys and year. Sums of d_year are those of totals and year, of d_total those of totals.
+
+    keys: totals and others. A document's rows meet in one task, where it is marked once per totals and year and once per
+    totals, so one shuffle does and no task holds more than its share of rows. Stored. chunks should be cheap to count.
+    """
+    each = [*keys, "year", "document_id"]
+    once = spread(chunks.select(*each), "document_id").groupBy(*each).agg(F.count(F.lit(1)).alias("f"))
+    own = Window.partitionBy(*totals, "document_id").orderBy("year")
+    first = F.row_number().over(own) == 1
+    first_in_year = first | ~F.lag("year").over(own).eqNullSafe(F.col("year"))
+    marked = once.select(*each, "f", first.alias("_t"), first_in_year.alias("_y"))
+    known = F.col("document_id").isNotNull()
+    return stored(marked.groupBy(*keys, "year").agg(F.count_if(known).alias("d"), F.sum("f").alias("f"), F.count_if(known & F.col("_y")).alias("d_year"), F.count_if(known & F.col("_t")).alias("d_total")))
+
+
 def years_of(df: DataFrame) -> DataFrame:
     """Every year from the first to the last: a few rows."""
     ends = df.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).where(F.col("lo").isNotNull())

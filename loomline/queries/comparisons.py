@@ -9,6 +9,7 @@ from ..functions import lists, numbers, payloads, sentences, text
 from ..operators import comparisons, relations, series
 from ..operators.relational import first_by, top_by
 from ..plans.corpus import BASE_SQL, chunks, table
+from ..storage import stored
 from .registry import query
 from .review import _REVIEW_SQL, reviewed
 from .series import _CLASS_SQL, _GAP_SQL, _PREV_SQL, _SPEAR_SQL, BRAND, brand_prevalence, gaps, pair_best, spearman, with_q
@@ -126,13 +127,14 @@ t AS (SELECT source, macro_topic, brand, count(DISTINCT topic) AS k, to_json(lis
 SELECT macro_topic, brand, source, year, {_ANCHOR_VALUES}, coalesce(k, 0) AS contributing_external_group_count, coalesce(CAST(j AS VARCHAR), '[]') AS contributing_external_groups_json
 FROM a CROSS JOIN r CROSS JOIN yrs LEFT JOIN v USING (source, macro_topic, brand, year) LEFT JOIN y USING (source, macro_topic, year) LEFT JOIN o USING (source, macro_topic) LEFT JOIN t USING (source, macro_topic, brand)"""
 )
-def aligned_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def aligned_series(spark: SparkSession, sf_dir: str, base: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """For every corporate anchor three series, its own and those of the topics of either source that are aligned with it."""
-    base = chunks(spark, sf_dir)
+    base = stored(chunks(spark, sf_dir).select(*BRAND, "topic", "year", "document_id")) if base is None else base
     roles = F.explode(F.array(*map(F.lit, ["corporate", "academic", "media"]))).alias("source")
     keys = base.where("source = 'corporate'").select("macro_topic", "brand").distinct().select("macro_topic", "brand", roles)
-    rows = comparisons.anchor_series(keys, base, BRAND, ["source", "macro_topic"])
-    groups = base.where("source <> 'corporate'").groupBy(*BRAND).agg(F.count_distinct("topic").alias("contributing_external_group_count"), lists.sorted_json(F.col("topic")).alias("contributing_external_groups_json"))
+    rows = comparisons.anchor_series(keys, base, BRAND, ["source", "macro_topic"], cells)
+    topics = base.where("source <> 'corporate'").select(*BRAND, "topic").distinct()
+    groups = topics.groupBy(*BRAND).agg(F.count("topic").alias("contributing_external_group_count"), lists.sorted_json(F.col("topic")).alias("contributing_external_groups_json"))
     return rows.join(groups, BRAND, "left").fillna(0, ["contributing_external_group_count"]).fillna("[]", ["contributing_external_groups_json"])
 
 
@@ -141,10 +143,11 @@ def aligned_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 v AS (SELECT source, macro_topic, brand, year, count(*) AS f, count(DISTINCT document_id) AS n FROM base GROUP BY ALL), y AS (SELECT source, macro_topic, year, count(DISTINCT document_id) AS d FROM base GROUP BY ALL), o AS (SELECT source, macro_topic, count(DISTINCT document_id) AS denominator FROM base GROUP BY ALL)
 SELECT macro_topic, brand, source, year, {_ANCHOR_VALUES} FROM a CROSS JOIN yrs LEFT JOIN v USING (source, macro_topic, brand, year) LEFT JOIN y USING (source, macro_topic, year) LEFT JOIN o USING (source, macro_topic)"""
 )
-def unpaired_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unpaired_series(spark: SparkSession, sf_dir: str, base: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """Series of the external topics that are kept without an anchor."""
-    keys = reviewed(spark, sf_dir).where("paper_status = 'external_relevant_unpaired'").select(*BRAND).distinct()
-    return comparisons.anchor_series(keys, chunks(spark, sf_dir), BRAND, ["source", "macro_topic"])
+    base = stored(chunks(spark, sf_dir).select(*BRAND, "year", "document_id")) if base is None else base
+    keys = reviewed(spark, sf_dir, base).where("paper_status = 'external_relevant_unpaired'").select(*BRAND).distinct()
+    return comparisons.anchor_series(keys, base, BRAND, ["source", "macro_topic"], cells)
 
 
 _TOGETHER_SQL = """CASE WHEN r IS NULL THEN 'The same-year Spearman association is not available.'

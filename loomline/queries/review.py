@@ -23,10 +23,11 @@ _REVIEW_SQL = f"""{BASE_SQL}, review AS (
 )"""
 
 
-def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reviewed(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     n = F.replace("brand", F.lit("Brand#"), F.lit("")).cast("int") % 7
     decision = F.when(n == 0, " Delete").when(n == 1, "Not related ").otherwise("keep")
-    topics = chunks(spark, sf_dir).where(F.col("source") != "corporate").select("source", "macro_topic", "brand").distinct()
+    base = chunks(spark, sf_dir) if base is None else base
+    topics = base.where(F.col("source") != "corporate").select("source", "macro_topic", "brand").distinct()
     rows = topics.withColumn("decision", text.review_decision(decision))
     return rows.withColumn("paper_status", text.decision_status(F.col("decision")))
 

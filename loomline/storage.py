@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 2_000_000
+#: Rows that a task of a spread table has, about.
+TASK_ROWS = 1_000_000
 _own: dict[str, str] = {}
 
 
@@ -33,3 +35,9 @@ def stored(df: DataFrame) -> DataFrame:
 def join_bounded(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcasts right if it has at most limit rows; beyond that the join shuffles. right should be cheap to count."""
     return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)
+
+
+def spread(df: DataFrame, column: str, rows: int = TASK_ROWS) -> DataFrame:
+    """df with all rows of a value of column in one task, and as many tasks as its rows want. df should be cheap to count."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), column)
