@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import narratives
 from ..plans.corpus import BASE_SQL, chunks
+from ..storage import stored
 from .registry import query
 from .series import _REL_SQL, BRAND, relation_summary
 
@@ -29,10 +30,11 @@ _BRAND_SQL = _told("narr", "source, macro_topic, brand", "brand")
 _TOPIC_SQL = _told("tops", "source, macro_topic, brand, topic", "topic")
 
 
-def told(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+def told(spark: SparkSession, sf_dir: str, keys: list[str], base: DataFrame | None = None) -> DataFrame:
     """keys, first_year, peak_year and the fields of a narrative."""
-    base, label = chunks(spark, sf_dir), F.col(keys[-1])
-    years = base.groupBy(*keys, "year").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("d"))
+    base, label = chunks(spark, sf_dir) if base is None else base, F.col(keys[-1])
+    # Stored: both the facts and the phases are made of these few rows.
+    years = stored(base.groupBy(*keys, "year").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("d")))
     most = F.max(F.struct("n", (-F.col("year")).alias("y")))
     facts = years.groupBy(*keys).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), (-most["y"]).alias("peak_year"), F.sum("n").alias("total"), F.sum("d").alias("total_d"), F.min("n").alias("least"), F.count_if(F.col("n") < 3).alias("thin"))
     number = F.floor(4 * (F.col("year") - F.col("first_year")) / (F.col("last_year") - F.col("first_year") + 1)).cast("int") + 1
