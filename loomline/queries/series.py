@@ -134,15 +134,18 @@ LEFT JOIN d da ON da.source = source_a AND da.macro_topic = p.macro_topic AND da
 LEFT JOIN d db ON db.source = source_b AND db.macro_topic = p.macro_topic AND db.year = p.year"""
 )
 def pair_annual_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = chunks(spark, sf_dir)
-    topics = base.select("source", "macro_topic", "topic").distinct()
+    keys = ["source", "macro_topic", "topic"]
+    cells = series.document_cells(stored(chunks(spark, sf_dir).select(*keys, "year", "document_id")), keys, keys[:2])
+    topics = cells.select(*keys).distinct()
     pairs = None
     for a, b in DYADS:
         left = topics.where(F.col("source") == a).select("macro_topic", "topic")
         both = left.join(topics.where(F.col("source") == b).select("macro_topic", "topic"), ["macro_topic", "topic"])
         both = both.select(F.concat_ws("__", "macro_topic", "topic", F.lit(a)).alias("pair_id"), "macro_topic", F.lit(a).alias("source_a"), F.col("topic").alias("topic_a"), F.lit(b).alias("source_b"), F.col("topic").alias("topic_b"))
         pairs = both if pairs is None else pairs.unionByName(both)
-    return series.pair_series(pairs, series.annual_counts(base, ["source", "macro_topic", "topic"]), series.annual_counts(base, ["source", "macro_topic"]))
+    counts = cells.select(*keys, "year", F.col("d").alias("document_count"), F.col("f").alias("chunk_count"))
+    totals = cells.groupBy(*keys[:2], "year").agg(F.sum("d_year").alias("document_count"), F.sum("f").alias("chunk_count"))
+    return series.pair_series(pairs, counts, totals)
 
 
 @query(
