@@ -78,6 +78,10 @@ def _sketcher(width: int) -> Sketcher:
     return _sketchers.setdefault(width, Sketcher(width))
 
 
+def _forget() -> None:
+    _sketchers.clear()
+
+
 def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, digest of the set and signature (both NULL without words) for every whole text."""
 
@@ -91,7 +95,7 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "digest", "signature"]
             )
 
-    return runtime.docs_of(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature array<int>")
+    return runtime.docs_of(docs).mapInArrow(runtime.tidy(run, _forget), "doc_id long, n_shingles long, digest binary, signature array<int>")
 
 
 def _full_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
@@ -107,7 +111,7 @@ def _full_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
             sets = [sketcher.shingles(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([sketcher.digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["digest", "shingles"])
 
-    sets = rows.select("text").mapInArrow(run, "digest binary, shingles array<long>")
+    sets = rows.select("text").mapInArrow(runtime.tidy(run, _forget), "digest binary, shingles array<long>")
     return runtime.stored(runtime.join_bounded(sets, candidates.select("digest", "c"), ["digest"], "inner", n).select("c", "shingles").dropDuplicates(["c"]), "sets", n, SET_FILE)
 
 
@@ -136,7 +140,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 keep.append(100 * common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(runtime.tidy(run), "a long, b long")
 
 
 def _block_pairs(lists: DataFrame, similarity: int, least_posted: int, least_all: int) -> DataFrame:
@@ -208,7 +212,7 @@ def _block_pairs(lists: DataFrame, similarity: int, least_posted: int, least_all
             yield from out(groups(held.combine_chunks(), True)[0])
 
     ordered = lists.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-    return ordered.select("token", "x", "y", "c", "comp", "n_shingles", "n_alone", "mask", "signature", "first").mapInArrow(run, "a long, b long")
+    return ordered.select("token", "x", "y", "c", "comp", "n_shingles", "n_alone", "mask", "signature", "first").mapInArrow(runtime.tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE) -> DataFrame:

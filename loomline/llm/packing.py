@@ -246,7 +246,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, joine
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return runtime.stored(runtime.docs_of(docs).mapInArrow(cut, schema), "pieces")
+    return runtime.stored(runtime.docs_of(docs).mapInArrow(runtime.tidy(cut), schema), "pieces")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, joined: bool = False, groups: tuple[int, ...] = GROUPS) -> DataFrame:
@@ -275,4 +275,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             columns = [*batch.columns[:5], pa.array(sequences[at] + key - keys[at]), pa.array(offsets[at])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(runtime.tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int =
             sizes = np.array([model.sizes(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sizes.T)], ["label", "n", "g", "b"])
 
-    measured = texts.where("use = 0").select("label", "text").mapInArrow(measure, "label int, n long, g long, b long").orderBy("label", "n", "g", "b").collect()
+    measured = texts.where("use = 0").select("label", "text").mapInArrow(runtime.tidy(measure), "label int, n long, g long, b long").orderBy("label", "n", "g", "b").collect()
     values = np.array([tuple(r) for r in measured], np.int64).reshape(-1, 4)
     model.calibration = Logistic(Model.features(values[:, 1:]), values[:, 0], rate=rate)
     return model
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: Model, mod: int = MOD, held_out: int = HELD_OU
             sizes, scores = model.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(sizes[:, 1]), pa.array(sizes[:, 2])], ["doc_id", "score", "good_bytes", "bad_bytes"])
 
-    out = runtime.docs_of(docs).mapInArrow(run, "doc_id long, score double, good_bytes long, bad_bytes long")
+    out = runtime.docs_of(docs).mapInArrow(runtime.tidy(run), "doc_id long, score double, good_bytes long, bad_bytes long")
     return out.select("doc_id", (runtime.fold_of(F.col("doc_id"), mod) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "good_bytes", "bad_bytes")
 
 
@@ -142,10 +142,11 @@ def keep_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows, all columns, whose text scores at least `least`. A NULL text is empty: the base rate is its score. Equal texts go or stay together."""
     runtime.prepare(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def value(texts):
+    def run(batches):
         import pandas as pd
 
-        return pd.Series(model.score(["" if t is None else t for t in texts])[1])
+        for texts in batches:
+            yield pd.Series(model.score(["" if t is None else t for t in texts])[1])
 
+    value = F.pandas_udf(runtime.tidy(run), "double", F.PandasUDFType.SCALAR_ITER)
     return docs.where(value(F.col("text")) >= least)

@@ -4,10 +4,15 @@ skew-safe joins, size-checked broadcasts and ordered buckets."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,30 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def release() -> None:
+    """Gives memory that this process holds but does not use back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator], drop: Callable[[], None] = lambda: None) -> Callable[[Iterator], Iterator]:
+    """run, a function over a task's batches; at its end drop is called and memory goes back, for workers live on beside later stages."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            drop()
+            release()
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset, as in tests, a temporary one, in local mode only."""
     sc = spark.sparkContext

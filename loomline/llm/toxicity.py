@@ -109,6 +109,10 @@ class Model:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_seen": {}}
 
+    def forget(self) -> None:
+        """Drops the scores that are kept of texts seen before."""
+        self._seen.clear()
+
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         return _unit({self.vocabulary[t]: n for t, n in counts.items() if t in self.vocabulary}, self.idf)
 
@@ -182,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MO
     # One example for each text, or copies would make any of its words look like a sign of its label.
     once = chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("label").alias("label"), F.max("label").alias("most"))
     chosen = once.where(F.col("label") == F.col("most")).select("doc_id", "text", "label")
-    rows = runtime.stored(chosen.mapInArrow(count, "doc_id long, label int, terms array<string>, counts array<int>"), "toxicity-sample")
+    rows = runtime.stored(chosen.mapInArrow(runtime.tidy(count), "doc_id long, label int, terms array<string>, counts array<int>"), "toxicity-sample")
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     by_term = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("a"))
     a, m = F.col("a").cast("double"), F.col("n").cast("double")
@@ -204,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MO
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["term", "n"])
 
-    counted = texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per kept term
+    counted = texts.select("text").mapInArrow(runtime.tidy(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per kept term
     df = np.zeros(len(vocabulary) + 1)
     for r in counted:
         df[r[0]] = r[1]
@@ -240,7 +244,7 @@ def score(docs: DataFrame, model: Model, mod: int = MOD, held_out: int = HELD_OU
             near = ["; ".join(f"{i}:{s:.4f}:{y}" for i, s, y in e) for _, e in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(near, pa.string())], ["doc_id", "score", "evidence"])
 
-    out = runtime.docs_of(docs).mapInArrow(run, "doc_id long, score double, evidence string")
+    out = runtime.docs_of(docs).mapInArrow(runtime.tidy(run, lambda: shared.value.forget()), "doc_id long, score double, evidence string")
     return out.select("doc_id", (runtime.fold_of(F.col("doc_id"), mod) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
@@ -250,10 +254,11 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     runtime.prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def value(texts):
+    def run(batches):
         import pandas as pd
 
-        return pd.Series([shared.value.score("" if t is None else t)[0] for t in texts], dtype="float64")
+        for texts in batches:
+            yield pd.Series([shared.value.score("" if t is None else t)[0] for t in texts], dtype="float64")
 
+    value = F.pandas_udf(runtime.tidy(run, lambda: shared.value.forget()), "double", F.PandasUDFType.SCALAR_ITER)
     return docs.where(value(F.col("text")) < threshold)

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from loomline.llm import graph, neardup
@@ -147,3 +148,24 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 600)], "a long, b long")
     roots = {r.node: r.root for r in graph.components(edges).collect()}
     assert set(roots.values()) == {0, 500} and len(roots) == 103
+
+
+def test_workers_keep_no_hashes(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    assert len(neardup.sketches(docs).collect()) == 40
+
+    def held(batches):
+        from loomline.llm import neardup
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(neardup._sketchers)] * batch.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(32, numPartitions=8).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_tidy_ends_with_its_task():
+    from loomline.llm import runtime
+
+    ended = []
+    assert list(runtime.tidy(lambda batches: (2 * b for b in batches), lambda: ended.append(1))(iter([1, 2]))) == [2, 4]
+    assert ended == [1]
