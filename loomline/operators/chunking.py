@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import paragraphs_of
 
-#: Rows that Python holds as objects at once.
-SLICE = 128
+#: Rows that Python holds as objects at once, and rows of an Arrow batch of pages.
+SLICE, BATCH = 128, 500
 
 
 def window_starts(n: Column, budget: int, stride: int) -> Column:
@@ -70,18 +70,33 @@ def packed_paragraphs(paragraphs: list[str], most: int, overlap: int, special: i
     return out
 
 
-def paragraph_chunks(docs: DataFrame, key: str, paragraphs: str, most: int, overlap: int, special: int) -> DataFrame:
-    """packed_paragraphs for every row, in slices of Arrow batches."""
+_CHUNK_FIELDS = ["chunk_number", "chunk_text", "token_count", "chunk_start_token", "chunk_end_token"]
+_CHUNK_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+
+
+def _chunks(rows: DataFrame, key: str, lists: Callable[[pa.Array], list], most: int, overlap: int, special: int) -> DataFrame:
+    """packed_paragraphs of what lists makes of the second column, in slices of Arrow batches; the first is the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [key, "chunk_number", "chunk_text", "token_count", "chunk_start_token", "chunk_end_token"]
-        types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
         for part in slices(batches):
-            rows = [(k, i + 1, *c) for k, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, c in enumerate(packed_paragraphs(p or [], most, overlap, special))]
-            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            rows = [(k, i + 1, *c) for k, p in zip(part.column(0).to_pylist(), lists(part.column(1)), strict=True) for i, c in enumerate(packed_paragraphs(p or [], most, overlap, special))]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in _CHUNK_TYPES]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CHUNK_TYPES, strict=True)], [key, *_CHUNK_FIELDS])
+
+    return rows.mapInArrow(run, f"{key} long, chunk_number int, chunk_text string, token_count int, chunk_start_token int, chunk_end_token int")
+
+
+def paragraph_chunks(docs: DataFrame, key: str, paragraphs: str, most: int, overlap: int, special: int) -> DataFrame:
+    """packed_paragraphs for every row."""
+    return _chunks(docs.select(F.col(key).cast("long"), paragraphs), key, lambda lists: lists.to_pylist(), most, overlap, special)
+
 
-    return docs.select(F.col(key).cast("long"), paragraphs).mapInArrow(run, f"{key} long, chunk_number int, chunk_text string, token_count int, chunk_start_token int, chunk_end_token int")
+def page_chunks(pages: DataFrame, key: str, html: str, most: int, overlap: int, special: int) -> DataFrame:
+    """paragraph_chunks of page_paragraphs in one pass of small Arrow batches, so that a task has one Python worker, not two."""
+    conf = pages.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return _chunks(pages.select(F.col(key).cast("long"), html), key, lambda texts: [paragraphs_of(h.as_py()) for h in texts], most, overlap, special)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists, numbers, text
-from ..operators.chunking import page_paragraphs, paragraph_chunks, token_chunks as chunk_windows
+from ..operators.chunking import page_chunks, page_paragraphs, token_chunks as chunk_windows
 from ..operators.relational import top_by
 from ..plans.corpus import table
 from ..storage import stored
@@ -123,7 +123,7 @@ def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of each page packed into chunks of at most 64 tokens."""
-    return paragraph_chunks(page_paragraphs(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id", "paragraphs", 64, 8, 2)
+    return page_chunks(table(spark, sf_dir, "pages"), "page_id", "html", 64, 8, 2)
 
 
 @query("SELECT event_type, count(*) AS events, CAST(count(k) AS BIGINT) AS with_k, CAST(sum(k) AS BIGINT) AS sum_k, CAST(count(DISTINCT k) AS BIGINT) AS distinct_k FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
