@@ -1,7 +1,7 @@
 """Decisions of reviewers on the nodes of merge trees, carried down to final groups of leaves.
 
-A tree of merges is labelled by an Euler tour whose list is ranked by doubling its pointers, so a chain as deep as the
-tree is large takes as few rounds as a balanced one. What rules a leaf is folded along its path to the root in the same
+A tree of merges is labelled by an Euler tour. Its list is shortened by a third in each round until pointers of what is left
+are doubled, so a chain as deep as the tree is large takes as few rounds as a balanced one. What rules a leaf is folded along its path to the root in the same
 way: the outermost accepted node, the deepest one under manual review, the nearest one with any decision.
 """
 
@@ -20,6 +20,8 @@ DECISIONS = ("accept", "reject", "review")
 SOURCES = {"accept": "hierarchical_accept", "reject": "hierarchical_reject_singleton", "blank": "hierarchical_blank_default_reject", "review": "hierarchical_review_manual", "none": "no_branchlet_singleton"}
 #: Doublings after which pointers still move only if the merges are no forest.
 ROUNDS = 48
+#: Places of tours that are ranked by doubling.
+FEW_PLACES = 100_000
 
 
 def children(tree: DataFrame) -> DataFrame:
@@ -28,35 +30,89 @@ def children(tree: DataFrame) -> DataFrame:
     return require_unique(stored(sides.select("group", "c.node", "parent", "c.sibling")), ["group", "node"])
 
 
-def interval_labels(tree: DataFrame) -> DataFrame:
-    """group, node, root, first, last, leaf_count for the nodes of merges (group, parent, left, right).
+def _tour(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes (group, node), and the places of the tours of their trees.
 
-    first and last are the places of entering and leaving a node on the tour of its tree, so a node is below another one
-    of the same root if its interval is inside the other's.
+    A place: group, node, side (0: enter, 1: leave, 2: both, of a leaf), prev and next with their sides, and w, how many
+    steps it is to the next one.
     """
-    below = children(tree)
-    merges = tree.select("group", F.col("parent").alias("node"), F.col("left"))
+    kind = tree.schema["parent"].dataType
+    sides = tree.select("group", "parent", F.explode(F.array(F.struct(F.col("left").alias("node"), F.lit(None).cast(kind).alias("before"), F.col("right").alias("behind")), F.struct(F.col("right").alias("node"), F.col("left").alias("before"), F.lit(None).cast(kind).alias("behind")))).alias("c"))
+    below = require_unique(stored(sides.select("group", "c.node", "parent", "c.before", "c.behind")), ["group", "node"])
+    merges = tree.select("group", F.col("parent").alias("node"), "left", "right")
     nodes = below.select("group", "node").unionByName(merges.select("group", "node")).distinct()
+    # Whether the neighbours on the tour are leaves says which of their places it is.
+    inner = merges.select("group", "node").distinct()
+    is_inner = lambda rows, c: rows.join(inner.select("group", F.col("node").alias(c), F.lit(True).alias(f"_{c}")), ["group", c], "left")
     facts = nodes.join(below, ["group", "node"], "left").join(merges, ["group", "node"], "left")
-    place = lambda node, side: F.struct(node.alias("node"), F.lit(side).alias("side"))
-    enter = facts.select("group", "node", F.lit(0).alias("side"), F.when(F.col("left").isNull(), place(F.col("node"), 1)).otherwise(place(F.col("left"), 0)).alias("next"))
-    leave = facts.select("group", "node", F.lit(1).alias("side"), F.when(F.col("sibling").isNotNull(), place(F.col("sibling"), 0)).when(F.col("parent").isNotNull(), place(F.col("parent"), 1)).alias("next"))
-    # Every place has one before it, so no pointer is shared: each join below is by keys that occur once on either side.
-    rows = stored(enter.unionByName(leave).withColumn("after", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long")).withColumn("root", F.when(F.col("next").isNull(), F.col("node"))))
+    for c in ("before", "behind", "left", "right"):
+        facts = is_inner(facts, c)
+    first, last = (lambda c: F.when(F.col(f"_{c}"), 0).otherwise(2)), (lambda c: F.when(F.col(f"_{c}"), 1).otherwise(2))
+    place = lambda c, side: F.struct(F.col(c).alias("node"), side.cast("int").alias("side"))
+    up = lambda side: F.when(F.col("parent").isNotNull(), place("parent", F.lit(side)))
+    come = F.when(F.col("before").isNotNull(), place("before", last("before"))).otherwise(up(0))
+    go = F.when(F.col("behind").isNotNull(), place("behind", first("behind"))).otherwise(up(1))
+    entry = lambda side, prev, next_: F.struct(F.lit(side).alias("side"), prev.alias("prev"), next_.alias("next"))
+    both = F.array(entry(0, come, place("left", first("left"))), entry(1, place("right", last("right")), go))
+    rows = facts.select("group", "node", F.explode(F.when(F.col("left").isNull(), F.array(entry(2, come, go))).otherwise(both)).alias("e"))
+    flat = [F.col(f"e.{c}.{x}").alias(f"{c}_{x}") for c in ("prev", "next") for x in ("node", "side")]
+    return nodes, stored(rows.select("group", "node", "e.side", *flat, F.when(F.col("e.next").isNull(), 0).when(F.col("e.side") == 2, 2).otherwise(1).cast("long").alias("w")))
+
+
+def _without_some(rows: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """The places that stay, linked past the others, and the others: those whose hash is less than both neighbours', about a third."""
+    draw = lambda c: F.xxhash64("group", f"{c}node", f"{c}side", F.lit(salt))
+    ends = F.col("prev_node").isNotNull() & F.col("next_node").isNotNull()
+    marked = rows.withColumn("_gone", ends & (draw("") < draw("prev_")) & (draw("") < draw("next_")))
+    gone, links = marked.where("_gone").drop("_gone"), ["prev_node", "prev_side", "next_node", "next_side", "w"]
+    nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(f"_{c}") for c in links]
+    told = lambda to, of: gone.select("group", F.col(f"{to}_node").alias("node"), F.col(f"{to}_side").alias("side"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in links], *[(F.col(c) if c in of else F.lit(None).cast(rows.schema[c].dataType)).alias(f"_{c}") for c in links])
+    every = marked.where("NOT _gone").select("group", "node", "side", *links, *nothing).unionByName(told("prev", links[2:])).unionByName(told("next", links[:2]))
+    one = every.groupBy("group", "node", "side").agg(*[F.max(c).alias(c) for c in [*links, *(f"_{c}" for c in links)]])
+    kept = one.select("group", "node", "side", *[F.coalesce(f"_{c}", c).alias(c) for c in links[:4]], (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"))
+    return stored(kept), stored(gone.select("group", "node", "side", "next_node", "next_side", "w"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """group, node, side, root and after, the steps to the end of its tour, of places whose pointers are doubled."""
+    ahead_of = F.struct(F.col("next_node").alias("node"), F.col("next_side").alias("side"))
+    rows = rows.select("group", "node", "side", F.when(F.col("next_node").isNotNull(), ahead_of).alias("next"), F.col("w").alias("after"), F.when(F.col("next_node").isNull(), F.col("node")).alias("root"))
     for _ in range(ROUNDS):
         open_rows = rows.where(F.col("next").isNotNull())
         if not open_rows.take(1):
-            break
+            return rows.drop("next")
         ahead = rows.select("group", F.struct("node", "side").alias("next"), F.col("next").alias("_next"), F.col("after").alias("_after"), F.col("root").alias("_root"))
         moved = open_rows.join(ahead, ["group", "next"]).select("group", "node", "side", F.col("_next").alias("next"), (F.col("after") + F.col("_after")).alias("after"), F.col("_root").alias("root"))
         rows = stored(rows.where(F.col("next").isNull()).unionByName(moved))
-    else:
-        raise ContractError("the merges do not form a forest")
-    both = rows.groupBy("group", "root", "node").agg(F.max(F.when(F.col("side") == 0, F.col("after"))).alias("_in"), F.max(F.when(F.col("side") == 1, F.col("after"))).alias("_out"))
+    raise ContractError("the merges do not form a forest")
+
+
+def interval_labels(tree: DataFrame, few: int = FEW_PLACES) -> DataFrame:
+    """group, node, root, first, last, leaf_count for the nodes of merges (group, parent, left, right).
+
+    first and last are the places of entering and leaving a node on the tour of its tree, so a node is below another one
+    of the same root if its interval is inside the other's. Up to few places are ranked by doubling; of more, a third
+    leaves each round and gets its rank back from the next one, so what is moved grows with the places alone.
+    """
+    nodes, rows = _tour(tree)
+    left_out: list[DataFrame] = []
+    n = rows.count()
+    while n > few and len(left_out) < 2 * ROUNDS:
+        rows, gone = _without_some(rows, len(left_out))
+        left_out.append(gone)
+        n = rows.count()
+    known = _ranked(rows)
+    while left_out:
+        ahead = known.select("group", F.col("node").alias("next_node"), F.col("side").alias("next_side"), "after", "root")
+        back = left_out.pop().join(ahead, ["group", "next_node", "next_side"]).select("group", "node", "side", (F.col("w") + F.col("after")).alias("after"), "root")
+        known = known.unionByName(stored(back))
+    came, went = F.when(F.col("side") != 1, F.col("after")), F.when(F.col("side") == 1, F.col("after")).when(F.col("side") == 2, F.col("after") - 1)
+    both = known.groupBy("group", "root", "node").agg(F.max(came).alias("_in"), F.max(went).alias("_out"))
+    both = stored(both)
     if both.where(F.col("root").isNull()).take(1) or both.count() != nodes.count():
         raise ContractError("the merges do not form a forest")
     whole = both.where(F.col("node") == F.col("root")).select("group", "root", F.col("_in").alias("_whole"))
-    placed = both.join(whole, ["group", "root"])
+    placed = join_bounded(both, whole, ["group", "root"])
     first, last = F.col("_whole") - F.col("_in"), F.col("_whole") - F.col("_out")
     return stored(placed.select("group", "node", "root", first.alias("first"), last.alias("last"), ((last - first + 3) / 4).cast("long").alias("leaf_count")))
 

@@ -116,3 +116,19 @@ def test_sheets_that_come_back(spark):
     for rows, why in (([(0, "perhaps", "")], "unknown decision"), ([(9, "delete", "")], "unknown row"), ([(0, "delete", ""), (0, "not related", "")], "different decisions")):
         with pytest.raises(ContractError, match=why):
             decisions.import_decisions(review, sheet(*rows), "id")
+
+
+@pytest.mark.parametrize(("kind", "n"), [("chain", 60), ("random", 50), ("two", 30)])
+def test_shortened_tours_equal_a_walk(spark, kind, n):
+    merges = forest(kind, 5, n)
+    tree = spark.createDataFrame([(g, *m) for g in ("x", "y") for m in merges], "group string, parent long, left long, right long")
+    got = decisions.interval_labels(tree, few=60).collect()
+    assert {(r.group, r.node): (r.root, r.first, r.last, r.leaf_count) for r in got} == {(g, k): v for g in ("x", "y") for k, v in walk(merges).items()}
+
+
+def test_a_third_of_the_places_leaves(spark):
+    tree = spark.createDataFrame([("x", *m) for m in forest("chain", 5, 400)], "group string, parent long, left long, right long")
+    rows = decisions._tour(tree)[1]
+    kept, gone = decisions._without_some(rows, 0)
+    assert kept.count() + gone.count() == rows.count() == 400 + 2 * 399
+    assert 0.25 * rows.count() < gone.count() < 0.42 * rows.count()
