@@ -9,7 +9,10 @@ that pass are confirmed on the full sets. Before that, what a candidate has alon
 
 A long list is a group of near copies, whose pairs would grow with its square. There, members are first compared with
 one pivot of the list; those that turn out connected need no further comparison, and what remains are pairs between
-different components. They are compared in blocks of a list, so no task and no group grows with a list.
+different components. What a member of such a list has more or less than a pivot is a small set: two members of different components
+can only be linked if they share enough of it, so the rarest differences, as a prefix again, make new and short lists, whose
+pairs do not grow with the square of the group. Members too unlike the pivot stay in their list. Lists are compared in
+blocks, so no task and no group grows with a list.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ COORDINATES, POSTED = 128, 64
 MISS = 1e-6
 #: Lists longer than this go through pivots first; rounds of these; members of a list in one block.
 LONG_LIST, PIVOT_ROUNDS, BLOCK = 64, 2, 256
+#: Rounds of lists by differences from a pivot; a member less similar to it than so many per cent has none.
+DIFFERENCE_ROUNDS, FAR = 2, 50
 #: Rows with signatures that are broadcast at most.
 WIDE_ROWS = 10_000
 #: Rows with signatures, and with full sets, in one file.
@@ -144,7 +149,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _block_pairs(lists: DataFrame, similarity: int, least_posted: int, least_all: int) -> DataFrame:
-    """Pairs of different components in blocks of lists (token, x, y, c, comp, n_shingles, n_alone, mask, signature, first), each pair in one list only."""
+    """Pairs of different components in blocks of lists (token, x, y, c, comp, n_shingles, n_alone, mask, signature, first), each pair in one list of coordinates only.
+
+    Tokens below 0 are lists by differences, in which a pair may come again.
+    """
 
     def compare(token: int, g: dict[str, np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray] | None:
         if same:
@@ -163,7 +171,7 @@ def _block_pairs(lists: DataFrame, similarity: int, least_posted: int, least_all
             ok = (equal[:, :POSTED].sum(1) >= least_posted) & (equal.sum(1) >= least_all)
             p, q, equal = p[ok], q[ok], equal[ok, :POSTED]
             bits = ((g["mask"][p] & g["mask"][q])[:, None] >> np.arange(POSTED, dtype=np.uint64)) & np.uint64(1)
-            mine = (equal & (bits > 0)).argmax(1) == token >> 32  # in the first list of those that both are in
+            mine = (equal & (bits > 0)).argmax(1) == token >> 32 if token >= 0 else slice(None)  # in the first list of those that both are in
             out.append((p[mine], q[mine]))
         if not out:
             return None
@@ -263,6 +271,95 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int =
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
 
 
+def _block_units(members: DataFrame) -> DataFrame:
+    """Lists (token, c, comp, mask, n_open) dealt into blocks, a row for each pair of blocks that a member meets in."""
+    blocks = F.ceil(F.col("n_open") / BLOCK).cast("int")
+    members = members.select("token", "c", "comp", "mask", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
+    units = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return units.select("token", "c", "comp", "mask", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"))
+
+
+def _differences(meetings: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each (p, c): sizes of both sets, n_less (in p's set alone), n_more (in c's alone), and these differences unless c is far from p."""
+    pivot, own = sets.select(F.col("c").alias("p"), F.col("shingles").alias("pivot_set")), sets.select("c", F.col("shingles").alias("own_set"))
+    rows = runtime.join_salted(meetings, pivot, "p", "c").join(own, "c").select("p", "p_comp", "c", "comp", "n_alone", "pivot_set", "own_set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, lists = [], []
+            for x, y in zip(batch.column(5), batch.column(6), strict=True):
+                x, y = (v.values.to_numpy() for v in (x, y))
+                other = np.setxor1d(x, y, assume_unique=True)
+                more = (len(other) + len(y) - len(x)) // 2
+                sizes.append((len(x), len(other) - more, more))
+                lists.append(other if 100 * (len(x) + more - len(other)) >= FAR * (len(x) + more) else other[:0])
+            counts = np.array(sizes, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *[pa.array(counts[:, i]) for i in range(3)], pa.array(lists, pa.list_(pa.int64()))], ["p", "p_comp", "c", "comp", "n_alone", "n_pivot", "n_less", "n_more", "differences"])
+
+    return rows.mapInArrow(runtime.tidy(run), "p long, p_comp long, c long, comp long, n_alone long, n_pivot long, n_less long, n_more long, differences array<long>")
+
+
+def _difference_lists(members: DataFrame, facts: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of long lists (token, c, comp, mask, n_open): links to pivots, shorter lists (token, c, comp, mask), and units of members that are linked with those that are not.
+
+    With pivot P, X and Y share |P| - less(X) - less(Y) + o shingles, o being the differences from P that both have. So they are
+    linked if 2 (100 + s) o >= A(X) + A(Y), A = 200 less + 2 s more - (100 - s) |P|, which is above 0 unless both are linked
+    to P. Two that differ in less than 100 - s per cent can't have one below FAR and the other 100 - s above it; those that are
+    not above it, the zone and all below, stay in their list, so in the zone only meetings with the core are left to see.
+    """
+    n = members.count()
+    alone = facts.select("c", "n_alone", (F.col("n_alone") / F.col("n_shingles")).alias("alone"))
+    members = runtime.stored(runtime.join_bounded(members, alone, ["c"], "inner"), "long-open-lists", n)
+    pivots = members.groupBy("token").agg(F.min_by(F.struct("c", "comp"), F.struct("alone", F.xxhash64("c"))).alias("p"), F.count(F.lit(1)).alias("size"))
+    members = runtime.join_by_frequency(members.drop("n_open", "alone"), runtime.stored(pivots, "pivots", n // LONG_LIST), "token", "size", n)
+    members = runtime.stored(members.select("token", "c", "comp", "mask", "n_alone", F.col("p.c").alias("p"), F.col("p.comp").alias("p_comp")), "met-lists", n)
+    meetings = runtime.stored(members.select("p", "p_comp", "c", "comp", "n_alone").distinct(), "pivot-meetings", n)
+    n_met = meetings.count()
+    met = runtime.stored(_differences(meetings, sets), "differences", n_met, SET_FILE)
+    common, union, pn = F.col("n_pivot") - F.col("n_less"), F.col("n_pivot") + F.col("n_more"), F.col("n_pivot")
+    near = met.where(common * 100 >= union * FAR).withColumns({"linked": common * 100 >= union * similarity, "a": F.col("n_less") * 200 + F.col("n_more") * (2 * similarity) - pn * (100 - similarity)})
+    links = near.where(F.col("linked") & (F.col("comp") != F.col("p_comp"))).select(F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")).distinct()
+    core = common * 100 >= union * (FAR + 100 - similarity)
+    staying = met.where(~core).select("p", "c")
+    rest = members.join(staying, ["p", "c"], "left_semi").select("token", "c", "comp", "mask")
+
+    # With the most differences that each can share, a member that no partner's bounds allow is not cut into them.
+    near = near.withColumn("slack", (F.col("n_less") + F.col("n_more") - F.col("n_alone")) * (2 * (100 + similarity)) - F.col("a")).withColumn("core", core)
+    sides = {"linked": F.col("linked"), "other": ~F.col("linked"), "core": ~F.col("linked") & F.col("core")}
+    ends = [agg(F.when(of, F.col(c))).alias(f"{name}_{side}") for side, of in sides.items() for name, agg, c in (("least", F.min, "a"), ("most", F.max, "slack"))]
+    may = lambda side: (F.col("a") <= F.col(f"most_{side}")) & (F.col("slack") >= F.col(f"least_{side}"))
+    for _ in range(2):  # again among those left
+        bounds = near.groupBy("p").agg(*ends)
+        bounds = runtime.stored(bounds.where(F.col("least_other").isNotNull()), "pivot-bounds", n_met)
+        near = near.drop(*[f"{name}_{side}" for name in ("least", "most") for side in sides])
+        near = runtime.join_bounded(near, bounds, ["p"], "inner")
+        near = near.withColumns({"facing": F.when(F.col("linked"), may("other")).otherwise(may("linked") & (F.col("comp") != F.col("p_comp"))), "among": ~F.col("linked") & F.when(F.col("core"), may("other")).otherwise(may("core"))})
+        near = near.where("facing OR among")
+    key = F.struct("p", F.col("d")).alias("at")
+    single = runtime.stored(near.select("p", "c", F.explode("differences").alias("d")).select("p", "c", key), "member-differences")
+    counts = runtime.stored(single.groupBy("at").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shared-differences")
+    total = counts.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    shared = runtime.join_by_frequency(single, counts, "at", "f", max(1, total)).groupBy("p", "c").agg(F.array_sort(F.collect_list(F.struct("f", F.col("at.d").alias("d")))).alias("shared"))
+    needed = lambda least: F.greatest(F.ceil((F.col("a") + F.col(least)) / (2 * (100 + similarity))), F.lit(1))
+    prefix = lambda least: F.slice("shared", F.lit(1), F.greatest(F.size("shared") - needed(least) + 1, F.lit(0)).cast("int"))
+    rows = runtime.stored(near.drop("differences").join(shared, ["p", "c"]).withColumn("comp", F.when(F.col("linked"), F.col("p_comp")).otherwise(F.col("comp"))), "shared-of-members", n_met, SET_FILE)
+    token = lambda kind: (-1 - (F.pmod(F.xxhash64("p", "d.d"), F.lit(2**61)) * 2 + kind)).alias("token")
+    mask = F.lit(0).cast("long").alias("mask")
+    others = rows.where("among").select("p", "c", "comp", F.explode(F.when(F.col("core"), prefix("least_other")).otherwise(prefix("least_core"))).alias("d")).select(token(0), "c", "comp", mask)
+
+    # Linked members with others: a block of one side meets each block of the other.
+    facing = rows.where("facing").select("p", "c", "comp", F.col("linked").alias("first"), F.explode(F.when(F.col("linked"), prefix("least_other")).otherwise(prefix("least_linked"))).alias("d"))
+    facing = runtime.stored(facing.select(token(1), "c", "comp", mask, "first"), "facing-lists")
+    sizes = facing.groupBy("token").agg(F.count_if("first").alias("n_first"), F.count_if(~F.col("first")).alias("n_other"), F.count(F.lit(1)).alias("size")).where("n_first > 0 AND n_other > 0")
+    sizes = runtime.stored(sizes, "facing-sizes")
+    facing = runtime.join_by_frequency(facing, sizes, "token", "size", max(1, facing.count()))
+    left, right = (F.ceil(F.col(k) / BLOCK).cast("int") for k in ("n_first", "n_other"))
+    facing = facing.select("token", "c", "comp", "mask", "first", left.alias("left"), F.pmod(F.xxhash64("c"), F.when(F.col("first"), left).otherwise(right)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.when(F.col("first"), right).otherwise(left) - 1)).alias("other"))
+    x, y = F.when(F.col("first"), F.col("own")).otherwise(F.col("other")), F.when(F.col("first"), F.col("other")).otherwise(F.col("own"))
+    across = facing.select("token", "c", "comp", "mask", x.alias("x"), (F.col("left") + y).cast("int").alias("y"), "first")
+    return links, runtime.stored(rest.unionByName(others), "shorter-lists"), across
+
+
 def _bit(token):
     """The bit of a token's coordinate."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(token, 32).cast("int"))
@@ -309,13 +406,19 @@ def _links(postings: DataFrame, lengths: DataFrame, candidates: DataFrame, sets:
             found = new if found is None else found.unionByName(new)
             roots = graph.components(found)
             parts = runtime.stored(postings.select("c").distinct().join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("comp")), "parts", n_facts)
-    members = runtime.join_bounded(postings, parts, ["c"], "inner")
-    open_lists = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n_open")).where(F.col("lo") < F.col("hi")).select("token", "n_open")
-    members = runtime.join_by_frequency(members, runtime.stored(open_lists, "open-lists", n_rows), "token", "n_open", max(1, n_rows))
-    blocks = F.ceil(F.col("n_open") / BLOCK).cast("int")
-    members = members.select("token", "c", "comp", "mask", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
-    units = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("token", "c", "comp", "mask", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"))
+    members = runtime.join_bounded(postings.select("token", "c", "mask"), parts, ["c"], "inner")
+    units = None
+    for r in range(DIFFERENCE_ROUNDS + 1):
+        sizes = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n_open")).where(F.col("lo") < F.col("hi")).select("token", "n_open")
+        sizes = runtime.stored(sizes, "open-lists", n_rows)
+        again = r < DIFFERENCE_ROUNDS and sizes.where(F.col("n_open") > LONG_LIST).take(1)
+        members = runtime.join_by_frequency(members, sizes, "token", "n_open", max(1, n_rows))
+        own = _block_units(members.where(F.col("n_open") <= LONG_LIST) if again else members)
+        units = own if units is None else units.unionByName(own)
+        if not again:
+            break
+        new, members, across = _difference_lists(members.where(F.col("n_open") > LONG_LIST), facts, sets, similarity)
+        found, units = found.unionByName(new) if found is not None else new, units.unionByName(across)
     lists = runtime.join_bounded(units, facts, ["c"], "inner", n_facts, WIDE_ROWS)
     pairs = runtime.stored(_block_pairs(lists, similarity, t_posted, t_all).distinct(), "block-pairs")
     rest = runtime.stored(confirmed(pairs, sets, similarity), "links", pairs.count() + n_facts, SET_FILE)

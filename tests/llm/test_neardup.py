@@ -87,6 +87,38 @@ def test_large_groups_are_exact(spark, copies, monkeypatch):
     assert run(spark.createDataFrame(copies, "doc_id long, text string").repartition(5)) == brute(copies)
 
 
+def _around(n, near, seed=5):
+    """A base text, copies with words changed in near or one fewer places, so that they are near the bar, and a copy of one of those."""
+    pick = random.Random(seed)
+    base = [f"w{i}" for i in range(140)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        text = list(base)
+        for j, k in enumerate(sorted(pick.sample(range(28), near if i % 3 else near - 1))):
+            text[5 * k + 2] = f"new{i}x{j}"
+        rows.append((i, " ".join(text)))
+    return [*rows, (n, rows[1][1] + " one more word")]
+
+
+def test_a_ball_of_near_copies_has_no_square_of_pairs(spark, monkeypatch):
+    seen = []
+    confirmed = neardup.confirmed
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "confirmed", counted)
+    made = []
+    for n in (150, 300):
+        seen.clear()
+        rows = _around(n, 4)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert run(df) == brute(rows)
+        made.append(sum(seen))
+    assert made[1] < 3 * made[0] and made[1] < 10 * 300, made
+
+
 def test_pivots_of_many_are_split(spark, copies, monkeypatch):
     """The wide joins beyond the broadcast limit, with every list and every key taken for a long one."""
     from loomline.llm import runtime
