@@ -47,7 +47,22 @@ def best_widths(ids: np.ndarray) -> list[int]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    kind = np.dtype("<u1" if width <= 8 else "<u2" if width <= 16 else "<u4")
+    """Values below 2**16 are shifted together, eight into width bytes; wider ones go bit by bit."""
+    if width < 16:
+        out = []
+        for i in range(0, len(values), 1 << 15):
+            part = values[i : i + (1 << 15)].astype(np.uint32)
+            n = len(part)
+            part = np.pad(part, (0, -n % 8))
+            two = part[0::2].astype(np.uint64) | part[1::2].astype(np.uint64) << np.uint64(width)
+            four = two[0::2] | two[1::2] << np.uint64(2 * width)
+            words = np.zeros((len(four) // 2, 1 if width <= 8 else 2), "<u8")
+            words[:, 0] = four[0::2] | four[1::2] << np.uint64(4 * width)
+            if width > 8:
+                words[:, 1] = four[1::2] >> np.uint64(64 - 4 * width)
+            out.append(words.view(np.uint8)[:, :width].tobytes()[: (n * width + 7) // 8])
+        return b"".join(out)
+    kind = np.dtype("<u2" if width <= 16 else "<u4")
     out = []
     for i in range(0, len(values), 1 << 19):  # whole bytes, for the number is a multiple of 8
         part = values[i : i + (1 << 19)].astype(kind)
@@ -57,8 +72,23 @@ def _pack(values: np.ndarray, width: int) -> bytes:
 
 
 def _unpack(data: memoryview, count: int, width: int) -> np.ndarray:
-    kind = np.dtype("<u1" if width <= 8 else "<u2" if width <= 16 else "<u4")
     out = np.empty(count, np.uint32)
+    if width < 16:
+        for i in range(0, count, 1 << 15):
+            n = min(1 << 15, count - i)
+            raw = np.frombuffer(data, np.uint8, (n * width + 7) // 8, i * width // 8)
+            words = np.zeros((-(-n // 8), 8 if width <= 8 else 16), np.uint8)
+            words[:, :width] = np.pad(raw, (0, len(words) * width - len(raw))).reshape(-1, width)
+            words = words.view("<u8")
+            last = words[:, 0] >> np.uint64(4 * width)
+            if width > 8:
+                last |= words[:, 1] << np.uint64(64 - 4 * width)
+            rows = np.empty((len(words), 8), np.uint32)
+            for k in range(8):
+                rows[:, k] = (words[:, 0] if k < 4 else last) >> np.uint64(k % 4 * width) & np.uint64((1 << width) - 1)
+            out[i : i + n] = rows.reshape(-1)[:n]
+        return out
+    kind = np.dtype("<u2" if width <= 16 else "<u4")
     for i in range(0, count, 1 << 19):
         n = min(1 << 19, count - i)
         raw = np.frombuffer(data, np.uint8, (n * width + 7) // 8, i * width // 8)
@@ -87,7 +117,7 @@ def encode(part: int, sequence: int, doc_ids: list[int | None], starts: list[int
         if not last:
             flags = (rest >> np.uint32(width)) > 0
             body += [np.packbits(flags, bitorder="little").tobytes(), _PAD, _directory(flags).tobytes(), _PAD]
-            rest = rest[flags] >> np.uint32(width)
+            rest = rest[np.flatnonzero(flags)] >> np.uint32(width)
     docs = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(starts, "<u8").tobytes(), bytes(d is None for d in doc_ids)]
     out = b"".join([_HEAD.pack(MAGIC, part, sequence, len(doc_ids), len(ids), len(widths)), *levels, *docs, *body])
     return out + struct.pack("<I", zlib.crc32(out))
@@ -166,7 +196,7 @@ class Segment:
             low = _unpack(self._data[chunks:], count, width)
             if k < len(self._levels) - 1:
                 flags = np.unpackbits(np.frombuffer(self._data, np.uint8, (count + 7) // 8, bitmap), count=count, bitorder="little").astype(bool)
-                low[flags] |= out << np.uint32(width)
+                low[np.flatnonzero(flags)] |= out << np.uint32(width)
             out = low
         return out
 

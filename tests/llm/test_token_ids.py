@@ -1,4 +1,5 @@
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -27,6 +28,27 @@ def test_any_ids_come_back(ids):
     assert segment.document(1).tolist() == ids[len(ids) // 2 :]
 
 
+def test_chunks_are_packed_by_words():
+    """The bytes are those of packing bit by bit, in less time."""
+    bits = lambda v, w: np.packbits(np.unpackbits(v.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=w, bitorder="little").reshape(-1), bitorder="little").tobytes()
+    draw = np.random.default_rng(3)
+    for width in range(1, 33):
+        for n in (0, 1, 7, 8, 1001, 2**19 + 5):
+            values = draw.integers(0, 2**width, n, dtype=np.uint64).astype(np.uint32)
+            packed = dac._pack(values, width)
+            assert packed == bits(values, width)
+            assert np.array_equal(dac._unpack(memoryview(packed), n, width), values)
+    values, best = draw.integers(0, 16, 2**19, dtype=np.uint32), []
+    for pack in (dac._pack, lambda v, w: bits(v.astype(np.uint32), w)):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            pack(values, 4)
+            times.append(time.process_time() - start)
+        best.append(min(times))
+    assert best[0] < 0.8 * best[1], best
+
+
 def test_widths_are_best():
     ids = np.array([1] * 1000 + [40_000] * 10, np.uint32)
     sizes = {tuple(w): len(dac.encode(0, 0, [], [], ids)) for w in [dac.best_widths(ids)]}
