@@ -6,6 +6,8 @@ the pairs are made; a fact that is missing supports nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,13 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import join_bounded, stored
-from .neighbours import ranked_pairs, round6
+from .neighbours import Pack, ranked_pairs, round6
 
 # From where on a fact is a signal.
 LEAST_PROFILE, LEAST_NARRATIVE, LEAST_TERMS, LEAST_YEARS, LEAST_CORRELATION, LEAST_POINTS = 0.65, 0.60, 2, 4, 0.30, 4
 
 #: Cells of similarity in which a group's pairs are ranked.
 CELLS = 64
+#: Pairs that a task packs at once, and that it unpacks at once.
+PACKED, UNPACKED = 1 << 18, 1 << 20
+#: What is known of a topic besides its vector.
+FACTS = ["narrative", "terms", "years", "strict", "same", "docs", "chunks", "above", "above_at"]
 #: What measured pairs have besides their similarity and ranks.
 MEASURED = "narrative_similarity double, term_count int, year_count int, doc_correlation double, chunk_correlation double, strict_partner_count int, same_issue_partner_count int, ancestor_distance double"
 
@@ -32,8 +38,7 @@ def measured_candidates(topics: DataFrame, within: list[str], key: str, vector:
     numbers), docs and chunks (arrays of a value per year, NULL where the topic has none), and above and above_at, the
     merges that hold the topic and their distances.
     """
-    facts = ["narrative", "terms", "years", "strict", "same", "docs", "chunks", "above", "above_at"]
-    return ranked_pairs(topics, within, key, vector, k, least, facts=facts, measure=_measure, schema=MEASURED)
+    return ranked_pairs(topics, within, key, vector, k, least, facts=FACTS, prepare=_prepare, measure=_measure, schema=MEASURED)
 
 
 def _lengths(lists: pa.ListArray) -> np.ndarray:
@@ -62,22 +67,36 @@ def _correlation(x: np.ndarray, y: np.ndarray) -> pa.Array:
     return pa.array(round6(np.where(varied, r, 0.0)), mask=~varied)
 
 
-def _measure(a: pa.StructArray, b: pa.StructArray, i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
+def _prepare(facts: pa.StructArray) -> dict[str, np.ndarray]:
+    """Facts as matrices of a row per topic, and the lengths of its sets."""
+    out = {c: _filled(facts.field(c), np.nan, float) for c in ("narrative", "docs", "chunks")} | {"above_at": _filled(facts.field("above_at"), np.inf, float)}
+    for c in ("terms", "years", "strict", "same", "above"):
+        out[c], out[f"{c}_n"] = _filled(facts.field(c), 0, np.int64), _lengths(facts.field(c))
+    return out
+
+
+def _measure(a: dict[str, np.ndarray], b: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
+    def met(name: str) -> Iterator[tuple[int, np.ndarray]]:
+        """For each place in a's list where in b's its value is."""
+        wide = [max(1, s[f"{name}_n"][at].max(initial=0)) for s, at in ((a, i), (b, j))]
+        x, y = a[name][i, : wide[0]], b[name][j, : wide[1]]
+        there = np.arange(wide[1]) < b[f"{name}_n"][j, None]
+        for c in range(wide[0]):
+            yield c, (x[:, c : c + 1] == y) & there & (c < a[f"{name}_n"][i])[:, None]
+
     def shared_count(name: str) -> np.ndarray:
-        x, y = (_filled(s.field(name), none, np.int64) for s, none in ((a, -1), (b, -2)))
-        u, v = (np.arange(m.shape[1]) < _lengths(s.field(name))[:, None] for m, s in ((x, a), (y, b)))
-        x, y, u, v = x[i], y[j], u[i], v[j]
-        return ((x[:, :, None] == y[:, None, :]) & u[:, :, None] & v[:, None, :]).sum((1, 2)).astype(np.int32)
+        return sum((np.count_nonzero(same, axis=1) for _, same in met(name)), np.zeros(len(i), np.int64)).astype(np.int32)
 
-    told = [_filled(s.field("narrative"), np.nan, float)[at] for s, at in ((a, i), (b, j))]
+    told = [s["narrative"][at] for s, at in ((a, i), (b, j))]
     wide = max(t.shape[1] for t in told)
     told = [t if t.shape[1] == wide else np.full((len(t), wide), np.nan) for t in told]
     narrative = (told[0] * told[1]).sum(1)
-    series = {name: _correlation(*(_filled(s.field(name), np.nan, float)[at] for s, at in ((a, i), (b, j)))) for name in ("docs", "chunks")}
-    above = [_filled(s.field("above"), none, np.int64)[at] for s, at, none in ((a, i, -1), (b, j, -2))]
-    far = [_filled(s.field("above_at"), np.inf, float)[at] for s, at in ((a, i), (b, j))]
-    met = (above[0][:, :, None] == above[1][:, None, :]) & np.isfinite(far[0])[:, :, None] & np.isfinite(far[1])[:, None, :]
-    nearest = np.where(met, far[0][:, :, None], np.inf).min((1, 2))
+    series = {name: _correlation(*(s[name][at] for s, at in ((a, i), (b, j)))) for name in ("docs", "chunks")}
+    nearest, far = np.full(len(i), np.inf), b["above_at"][j]
+    for c, same in met("above"):
+        own = a["above_at"][i, c]
+        same &= np.isfinite(far[:, : same.shape[1]])
+        nearest = np.where(np.isfinite(own) & same.any(1), np.minimum(nearest, own), nearest)
     return {
         "narrative_similarity": pa.array(round6(np.nan_to_num(narrative)), mask=np.isnan(narrative)),
         "term_count": shared_count("terms"),
@@ -90,6 +109,168 @@ def _measure(a: pa.StructArray, b: pa.StructArray, i: np.ndarray, j: np.ndarray)
     }
 
 
+#: A pair in whole numbers, those that order it first; what is in millionths; and what stands for NULL.
+WORDS = ["similarity", "narrative_similarity", "a", "b", "rank_from_a", "rank_from_b", "term_count", "year_count", "doc_correlation", "chunk_correlation", "strict_partner_count", "same_issue_partner_count", "ancestor_distance"]
+MILLIONTHS = {"similarity", "narrative_similarity", "doc_correlation", "chunk_correlation"}
+NONE = np.iinfo(np.int64).min
+
+
+def _signals(of: dict[str, np.ndarray]) -> np.ndarray:
+    """How many of the nine signals a pair has, from columns in which NULL is NaN or 0."""
+    least = {"similarity": LEAST_PROFILE, "narrative_similarity": LEAST_NARRATIVE, "term_count": LEAST_TERMS, "year_count": LEAST_YEARS, "doc_correlation": LEAST_CORRELATION, "chunk_correlation": LEAST_CORRELATION, "strict_partner_count": 1, "same_issue_partner_count": 1}
+    return sum(((of[c] >= bar).astype(np.int64) for c, bar in least.items()), (~np.isnan(of["ancestor_distance"])).astype(np.int64))
+
+
+def _cells(signals: np.ndarray, similarity: np.ndarray, narrative: np.ndarray, cells: int) -> np.ndarray:
+    """Cells that rise with the order of a group's pairs: of fewer signals, then of less similarity; copies are parted by their narrative."""
+    one = 1_000_000
+    told = np.where(narrative == NONE, 64, 63 - np.clip(narrative * 64 // one, 0, 63))
+    within = np.where(similarity > one, 0, np.where(similarity == one, 1 + told, 66 + cells - 1 - np.clip(similarity * cells // one, 0, cells - 1)))
+    return (9 - signals) * (cells + 66) + within
+
+
+def _packer(pairs_at_once: int) -> Pack:
+    def pack(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+        """_code, _before, _pairs: a strip's pairs, a cell at a time, as compressed words, and how many of them are before each cell."""
+        cells = max(1, min(CELLS, n * n >> 14), n * n >> 23)
+        counts = np.zeros(10 * (cells + 66), np.int64)
+
+        def flushed(held: list[np.ndarray]) -> pa.RecordBatch:
+            words = np.concatenate(held, axis=1)
+            order = np.lexsort((-words[0], words[-1]))
+            words = words[:, order]
+            codes, begins = np.unique(words[-1], return_index=True)
+            ends = [*begins[1:], words.shape[1]]
+            blobs = [_pressed(words[:-1, b:e]) for b, e in zip(begins, ends, strict=True)]
+            return batch_of(codes, None, blobs)
+
+        def batch_of(codes: np.ndarray, before: np.ndarray | None, blobs: list[bytes] | None) -> pa.RecordBatch:
+            columns = [pa.array(codes, pa.int32()), pa.nulls(len(codes), pa.int64()) if before is None else pa.array(before), pa.nulls(len(codes), pa.binary()) if blobs is None else pa.array(blobs, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["_code", "_before", "_pairs"])
+
+        held, size = [], 0
+        for batch in batches:
+            of, words = {}, []
+            for c in WORDS:
+                v = batch.column(c)
+                whole = pa.types.is_integer(v.type)
+                of[c] = x = pc.fill_null(v, 0 if whole else np.nan).to_numpy(zero_copy_only=False)
+                if c in MILLIONTHS:
+                    words.append(np.where(np.isnan(x), NONE, np.rint(np.nan_to_num(x) * 1e6).astype(np.int64)))
+                else:
+                    words.append(x.astype(np.int64) if whole else x.astype(float).view(np.int64))
+            code = _cells(_signals(of), words[0], words[1], cells)
+            np.add.at(counts, code, 1)
+            held.append(np.stack([*words, code]))
+            size += len(code)
+            if size >= pairs_at_once:
+                yield flushed(held)
+                held, size = [], 0
+        if size:
+            yield flushed(held)
+        before = np.cumsum(counts) - counts
+        codes = np.flatnonzero(before)
+        yield batch_of(codes, before[codes], None)
+
+    return pack
+
+
+def _pressed(words: np.ndarray) -> bytes:
+    """Words by columns and bytes, compressed, after how many there are in a column."""
+    planes = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1, 8).transpose(0, 2, 1)
+    return words.shape[1].to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpressed(blob: pa.Buffer) -> np.ndarray:
+    n = int.from_bytes(blob[:8].to_pybytes(), "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=n * len(WORDS) * 8, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(len(WORDS), 8, n).transpose(0, 2, 1)).view(np.int64).reshape(len(WORDS), n)
+
+
+def _order(words: np.ndarray) -> np.ndarray:
+    similarity, narrative, a, b = words[:4]
+    return np.lexsort((b, a, np.where(narrative == NONE, np.iinfo(np.int64).max, -narrative), -similarity))
+
+
+def _in_order(blobs: list[pa.Buffer], most: int) -> Iterator[np.ndarray]:
+    """The pairs of a cell in order, about so many at once; what is more is unpacked again for each part."""
+    total = sum(int.from_bytes(b[:8].to_pybytes(), "little") for b in blobs)
+    if total <= most:
+        words = np.concatenate([_unpressed(b) for b in blobs], axis=1)
+        yield words[:, _order(words)]
+        return
+    step = max(1, most // 64)
+    parts = np.concatenate([w[:, _order(w)][:, ::step] for w in map(_unpressed, blobs)], axis=1)
+    parts = parts[:, _order(parts)]
+    parts = parts[:, max(1, -(-parts.shape[1] * most // (2 * total))) - 1 :: max(1, parts.shape[1] * most // (2 * total))]
+
+    def part(words: np.ndarray) -> np.ndarray:
+        """How many of the parts' ends are before each pair."""
+        n = parts.shape[1]
+        order = _order(np.concatenate([parts[:4], words[:4]], axis=1))  # equal ones: the end comes first
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(order < n)
+        return out[n:]
+
+    for p in range(parts.shape[1] + 1):
+        words = np.concatenate([w[:, part(w) == p] for w in map(_unpressed, blobs)], axis=1)
+        yield words[:, _order(words)]
+
+
+def ranked_candidates(topics: DataFrame, within: list[str], key: str, vector: str, k: int, least: float, packed: int = PACKED, unpacked: int = UNPACKED, **strips: int) -> DataFrame:
+    """measured_candidates with hierarchical_found, support_signal_count and support_rank, as with_support ranks them.
+
+    A pair is shuffled once, as a few compressed bytes, to the task of its cell of signals and similarity, and nothing of
+    it is written. Each strip tells each cell how many of its pairs are before it, so a cell's task knows where it begins.
+    """
+    groups = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in topics.select(*within).schema)
+    kind = topics.schema[key].dataType.simpleString()
+    cells = ranked_pairs(topics, within, key, vector, k, least, facts=FACTS, prepare=_prepare, measure=_measure, schema="_code int, _before long, _pairs binary", pack=_packer(packed), **strips)
+    names = ["a", "b", "similarity", "rank_from_a", "rank_from_b", *(c.split()[0] for c in MEASURED.split(", "))]
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(group: list[pa.Scalar], code: int, before: int, blobs: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
+            for words in _in_order(blobs, unpacked) if blobs else ():
+                for begin in range(0, words.shape[1], PACKED):
+                    of = dict(zip(WORDS, words[:, begin : begin + PACKED], strict=True))
+                    n = len(of["a"])
+                    columns = {}
+                    for c in names:
+                        if c in MILLIONTHS:
+                            columns[c] = pa.array(of[c] / 1e6, mask=of[c] == NONE)
+                        elif c == "ancestor_distance":
+                            far = np.ascontiguousarray(of[c]).view(float)
+                            columns[c] = pa.array(far, mask=np.isnan(far))
+                        elif c in ("a", "b"):
+                            columns[c] = pa.array(of[c], pa.int64() if kind == "bigint" else pa.int32())
+                        else:
+                            columns[c] = pa.array(of[c].astype(np.int32), mask=(of[c] == 0) if c.startswith("rank") else None)
+                    columns["hierarchical_found"] = columns["ancestor_distance"].is_valid()
+                    numbers = {c: pc.fill_null(v, np.nan if pa.types.is_floating(v.type) else 0).to_numpy(zero_copy_only=False) for c, v in columns.items() if c in WORDS}
+                    columns["support_signal_count"] = pa.array(_signals(numbers).astype(np.int32))
+                    columns["support_rank"] = pa.array(np.arange(before + 1, before + n + 1, dtype=np.int32))
+                    before += n
+                    yield pa.RecordBatch.from_arrays([*(pa.repeat(g, n) for g in group), *columns.values()], [*within, *columns])
+
+        unit = state = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {n: c[r] for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                group = [row[w] for w in within]
+                if (now := (*(g.as_py() for g in group), row["_code"].as_py())) != unit:
+                    if state:
+                        yield from out(*state)
+                    unit, state = now, [group, now[-1], 0, []]
+                state[2] += row["_before"].as_py() or 0
+                if row["_pairs"].is_valid:
+                    state[3].append(row["_pairs"].as_buffer())
+        if state:
+            yield from out(*state)
+
+    schema = f"{groups}, a {kind}, b {kind}, similarity double, rank_from_a int, rank_from_b int, {MEASURED}, hierarchical_found boolean, support_signal_count int, support_rank int"
+    return cells.repartition(*within, "_code").sortWithinPartitions(*within, "_code").mapInArrow(rank, schema)
+
+
 def shared(pairs: DataFrame, sets: DataFrame, within: list[str], key: str, column: str, name: str) -> DataFrame:
     """Adds name_count and name_jaccard (NULL if both are empty) of a set-valued column of both sides; a missing set is empty."""
     out = pairs

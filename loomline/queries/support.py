@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import graph, support
 from ..plans.corpus import table
-from ..storage import stored
+from ..storage import join_bounded, stored
 from .registry import query
 from .vectors import _EMB_SQL, embedded
 
@@ -45,7 +45,7 @@ def merge_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(embedded(spark, sf_dir))
     next_one = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("narrative"))
     sales = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") - 1).alias("vec_id"), "l_orderkey", F.year("l_shipdate").alias("year"), "l_suppkey", "l_returnflag")
-    sales = stored(sales.join(rows.select("vec_id"), "vec_id", "left_semi"))
+    sales = stored(join_bounded(sales, rows.select("vec_id"), ["vec_id"], "left_semi"))
     every = sorted(r[0] for r in sales.select("year").where("year IS NOT NULL").distinct().collect())  # the years, a few
     values = sales.groupBy("vec_id", "year").agg(F.count_distinct("l_orderkey").cast("double").alias("doc"), F.count(F.lit(1)).cast("double").alias("chunk"))
     in_year = lambda c: F.array(*[F.max(F.when(F.col("year") == y, F.col(c))) for y in every]).cast("array<double>")
@@ -67,7 +67,5 @@ def merge_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     topics = rows
     for more in (next_one, parts, facts, years, above):
         topics = topics.join(more, "vec_id", "left")
-    pairs = support.measured_candidates(stored(topics), within, "vec_id", "embedding", K, LEAST)
-    out = pairs.withColumn("hierarchical_found", F.col("ancestor_distance").isNotNull())
-    ranked = support.with_support(out.fillna(0, ["rank_from_a", "rank_from_b"]), within)
+    ranked = support.ranked_candidates(stored(topics), within, "vec_id", "embedding", K, LEAST).fillna(0, ["rank_from_a", "rank_from_b"])
     return ranked.select(*within, "a", "b", "similarity", "rank_from_a", "rank_from_b", "narrative_similarity", "term_count", "year_count", "doc_correlation", "chunk_correlation", "strict_partner_count", "same_issue_partner_count", "hierarchical_found", "ancestor_distance", "support_signal_count", "support_rank")
