@@ -55,48 +55,52 @@ def _filled(lists: pa.ListArray, fill: float, kind: type) -> np.ndarray:
 
 
 def _correlation(x: np.ndarray, y: np.ndarray) -> pa.Array:
-    """Pearson's r of rows over the years of either side, absent ones as 0; NULL as in series_correlation."""
+    """Pearson's r of columns over the years of either side, absent ones as 0; NULL as in series_correlation."""
     there = ~(np.isnan(x) & np.isnan(y))
     x, y = np.nan_to_num(x), np.nan_to_num(y)
-    n = there.sum(1)
-    spread = lambda v: np.where(there, v, np.inf).min(1) < np.where(there, v, -np.inf).max(1)
+    n = there.sum(0)
+    spread = lambda v: np.where(there, v, np.inf).min(0) < np.where(there, v, -np.inf).max(0)
     varied = (n >= LEAST_POINTS) & spread(x) & spread(y)
-    dx, dy = (np.where(there, v - (v.sum(1) / np.maximum(n, 1))[:, None], 0.0) for v in (x, y))
+    dx, dy = (np.where(there, v - v.sum(0) / np.maximum(n, 1), 0.0) for v in (x, y))
     with np.errstate(invalid="ignore", divide="ignore"):
-        r = (dx * dy).sum(1) / np.sqrt((dx * dx).sum(1) * (dy * dy).sum(1))
+        r = (dx * dy).sum(0) / np.sqrt((dx * dx).sum(0) * (dy * dy).sum(0))
     return pa.array(round6(np.where(varied, r, 0.0)), mask=~varied)
 
 
 def _prepare(facts: pa.StructArray) -> dict[str, np.ndarray]:
-    """Facts as matrices of a row per topic, and the lengths of its sets."""
-    out = {c: _filled(facts.field(c), np.nan, float) for c in ("narrative", "docs", "chunks")} | {"above_at": _filled(facts.field("above_at"), np.inf, float)}
+    """The narratives, a row per topic; other facts as matrices of a column per topic, and the lengths of its sets."""
+    by_topic = lambda name, fill, kind: np.ascontiguousarray(_filled(facts.field(name), fill, kind).T)
+    out = {"narrative": _filled(facts.field("narrative"), np.nan, float), "above_at": by_topic("above_at", np.inf, float)} | {c: by_topic(c, np.nan, float) for c in ("docs", "chunks")}
     for c in ("terms", "years", "strict", "same", "above"):
-        out[c], out[f"{c}_n"] = _filled(facts.field(c), 0, np.int64), _lengths(facts.field(c))
+        out[c], out[f"{c}_n"] = by_topic(c, 0, np.int64), _lengths(facts.field(c))
     return out
 
 
 def _measure(a: dict[str, np.ndarray], b: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
-    def met(name: str) -> Iterator[tuple[int, np.ndarray]]:
-        """For each place in a's list where in b's its value is."""
-        wide = [max(1, s[f"{name}_n"][at].max(initial=0)) for s, at in ((a, i), (b, j))]
-        x, y = a[name][i, : wide[0]], b[name][j, : wide[1]]
-        there = np.arange(wide[1]) < b[f"{name}_n"][j, None]
-        for c in range(wide[0]):
-            yield c, (x[:, c : c + 1] == y) & there & (c < a[f"{name}_n"][i])[:, None]
+    def met(name: str) -> Iterator[tuple[int, int, np.ndarray]]:
+        """For each place in a's list and in b's, where the two values are the same."""
+        lengths = a[f"{name}_n"][i], b[f"{name}_n"][j]
+        x, y = (s[name][: n.max(initial=0)].take(at, axis=1) for s, at, n in ((a, i, lengths[0]), (b, j, lengths[1])))
+        there = [np.arange(len(v))[:, None] < n for v, n in zip((x, y), lengths, strict=True)]
+        for c in range(len(x)):
+            for d in range(len(y)):
+                yield c, d, (x[c] == y[d]) & there[0][c] & there[1][d]
 
     def shared_count(name: str) -> np.ndarray:
-        return sum((np.count_nonzero(same, axis=1) for _, same in met(name)), np.zeros(len(i), np.int64)).astype(np.int32)
+        count = np.zeros(len(i), np.int32)
+        for _, _, same in met(name):
+            count += same
+        return count
 
     told = [s["narrative"][at] for s, at in ((a, i), (b, j))]
     wide = max(t.shape[1] for t in told)
     told = [t if t.shape[1] == wide else np.full((len(t), wide), np.nan) for t in told]
     narrative = (told[0] * told[1]).sum(1)
-    series = {name: _correlation(*(s[name][at] for s, at in ((a, i), (b, j)))) for name in ("docs", "chunks")}
-    nearest, far = np.full(len(i), np.inf), b["above_at"][j]
-    for c, same in met("above"):
-        own = a["above_at"][i, c]
-        same &= np.isfinite(far[:, : same.shape[1]])
-        nearest = np.where(np.isfinite(own) & same.any(1), np.minimum(nearest, own), nearest)
+    series = {name: _correlation(*_as_wide(a[name].take(i, axis=1), b[name].take(j, axis=1))) for name in ("docs", "chunks")}
+    nearest = np.full(len(i), np.inf)
+    for c, d, same in met("above"):
+        own, far = a["above_at"][c][i], b["above_at"][d][j]
+        nearest = np.where(same & np.isfinite(own) & np.isfinite(far) & (own < nearest), own, nearest)
     return {
         "narrative_similarity": pa.array(round6(np.nan_to_num(narrative)), mask=np.isnan(narrative)),
         "term_count": shared_count("terms"),
@@ -109,6 +113,12 @@ def _measure(a: dict[str, np.ndarray], b: dict[str, np.ndarray], i: np.ndarray,
     }
 
 
+def _as_wide(*series: np.ndarray) -> list[np.ndarray]:
+    """Series of as many years as the longest has; none is known of the years that are added."""
+    most = max(map(len, series))
+    return [v if len(v) == most else np.concatenate([v, np.full((most - len(v), v.shape[1]), np.nan)]) for v in series]
+
+
 #: A pair in whole numbers, those that order it first; what is in millionths; and what stands for NULL.
 WORDS = ["similarity", "narrative_similarity", "a", "b", "rank_from_a", "rank_from_b", "term_count", "year_count", "doc_correlation", "chunk_correlation", "strict_partner_count", "same_issue_partner_count", "ancestor_distance"]
 MILLIONTHS = {"similarity", "narrative_similarity", "doc_correlation", "chunk_correlation"}
@@ -137,12 +147,10 @@ def _packer(pairs_at_once: int) -> Pack:
 
         def flushed(held: list[np.ndarray]) -> pa.RecordBatch:
             words = np.concatenate(held, axis=1)
-            order = np.lexsort((-words[0], words[-1]))
-            words = words[:, order]
-            codes, begins = np.unique(words[-1], return_index=True)
-            ends = [*begins[1:], words.shape[1]]
-            blobs = [_pressed(words[:-1, b:e]) for b, e in zip(begins, ends, strict=True)]
-            return batch_of(codes, None, blobs)
+            words = words[:, np.lexsort((-words[0], words[-1]))]
+            begins = np.flatnonzero(np.diff(words[-1], prepend=-1))
+            planes, ends = _planes(words[:-1]), [*begins[1:], words.shape[1]]
+            return batch_of(words[-1][begins], None, [_pressed(planes[:, :, b:e]) for b, e in zip(begins, ends, strict=True)])
 
         def batch_of(codes: np.ndarray, before: np.ndarray | None, blobs: list[bytes] | None) -> pa.RecordBatch:
             columns = [pa.array(codes, pa.int32()), pa.nulls(len(codes), pa.int64()) if before is None else pa.array(before), pa.nulls(len(codes), pa.binary()) if blobs is None else pa.array(blobs, pa.binary())]
@@ -175,16 +183,24 @@ def _packer(pairs_at_once: int) -> Pack:
     return pack
 
 
-def _pressed(words: np.ndarray) -> bytes:
-    """Words by columns and bytes, compressed, after how many there are in a column."""
-    planes = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1, 8).transpose(0, 2, 1)
-    return words.shape[1].to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+def _planes(words: np.ndarray) -> np.ndarray:
+    """The bytes of words, the lowest ones of a column first."""
+    return np.stack([(words >> 8 * k).astype(np.uint8) for k in range(8)], axis=1)
+
+
+def _pressed(planes: np.ndarray) -> bytes:
+    """The bytes of pairs, compressed, after how many pairs they are."""
+    return planes.shape[2].to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpressed(blob: pa.Buffer) -> np.ndarray:
     n = int.from_bytes(blob[:8].to_pybytes(), "little")
-    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=n * len(WORDS) * 8, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(planes.reshape(len(WORDS), 8, n).transpose(0, 2, 1)).view(np.int64).reshape(len(WORDS), n)
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=n * len(WORDS) * 8, codec="zstd"), np.uint8).reshape(len(WORDS), 8, n)
+    words = planes[:, 7].astype(np.int64)
+    for k in range(6, -1, -1):
+        words <<= 8
+        words |= planes[:, k]
+    return words
 
 
 def _order(words: np.ndarray) -> np.ndarray:

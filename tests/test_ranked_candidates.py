@@ -49,7 +49,7 @@ def test_parts_of_a_cell_are_in_order(unpacked):
     words = draw.integers(0, 4, (len(support.WORDS), 400))
     words[2] = draw.permutation(400)
     words[1, ::9] = support.NONE
-    blobs = [support.pa.py_buffer(support._pressed(words[:, b : b + 70])) for b in range(0, 400, 70)]
+    blobs = [support.pa.py_buffer(support._pressed(support._planes(words[:, b : b + 70]))) for b in range(0, 400, 70)]
     parts = list(support._in_order(blobs, unpacked))
     assert len(parts) > 5 and (np.concatenate(parts, axis=1) == words[:, support._order(words)]).all()
 
